@@ -37,33 +37,24 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
     """Smallest id reachable from each node: ``node, component``. Nodes without an edge do not appear.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until the edge set stands still: the number of
-    rounds grows with the logarithm of the longest path, every round has edges at most linear in the input, minima
-    are pre-aggregated before the shuffle, and each round is checkpointed.
+    Alternates large-star and small-star steps (Kiveris et al. 2014) on edges kept as (higher, lower) until every node has
+    one edge, to a node without one: the number of rounds grows with the logarithm of the longest path, every round has
+    edges at most linear in the input, and minima are pre-aggregated before the shuffle. A node's minimum is looked up in a
+    broadcast table only where a count shows it to be small; beyond, both sides are plain shuffles that Spark can split.
     """
     e = cut(
-        edges.where(F.col(src) != F.col(dst))
-        .select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .distinct()
+        edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).distinct()
     )
-    seen = None
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        big = cut(
-            both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = cut(big.groupBy("u").agg(F.min("v").alias("m")))
-        e = cut(
-            big.join(low, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        mark = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if mark == seen:
+        low = small_side(cut(e.groupBy("hi").agg(F.min("lo").alias("m"))).select(F.col("hi").alias("x"), "m"))
+        # large star: an edge's lower end becomes that end's own minimum
+        big = e.join(low, e["lo"] == low["x"], "left").select("hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved"))
+        state = big.agg(F.count("*"), F.count_if("moved"), F.count_distinct("hi")).first()
+        if state[1] == 0 and state[0] == state[2]:
             break
-        seen = mark
-    tops = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
+        low = small_side(cut(big.groupBy("hi").agg(F.min("lo").alias("m"))).select(F.col("hi").alias("x"), "m"))
+        # small star: all lower ends of a node, and the node, go to the least of them
+        rest = big.join(low, big["hi"] == low["x"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        e = cut(rest.unionByName(low.select(F.col("x").alias("hi"), F.col("m").alias("lo"))).distinct())
+    tops = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
+    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(tops)
