@@ -40,14 +40,37 @@ def graph_diff(a: DataFrame, b: DataFrame, by: tuple[str, ...] = KEY) -> DataFra
     return one.select(*cols, side.alias("side"))
 
 
+#: Up to so many axioms the closure is worked out by the driver and is a local table with a known size.
+LOCAL_AXIOMS = 20_000
+
+
 def subclass_closure(ontology: DataFrame, max_depth: int = 64) -> DataFrame:
     """GRF4: reflexive-transitive ``sub, super`` over the subclass axioms; cycles end, since pairs are a set.
 
-    Ontologies are small next to instance data; each step doubles the length of the paths known.
+    Ontologies are small next to instance data. Beyond ``LOCAL_AXIOMS`` rows the pairs are joined with themselves until
+    nothing is new; each step doubles the length of the paths known.
     """
-    axioms = ontology.where(F.col("p") == SUBCLASS).select(F.col("s").alias("sub"), F.col("o").alias("super")).distinct()
-    named = ontology.where(F.col("p") == TYPE).select("s").unionByName(ontology.where(F.col("p") == SUBCLASS).select("s")).unionByName(ontology.where(F.col("p") == SUBCLASS).select(F.col("o").alias("s")))
-    pairs = axioms.unionByName(named.distinct().select(F.col("s").alias("sub"), F.col("s").alias("super"))).distinct()
+    is_sub = F.col("p") == SUBCLASS
+    ends = F.when(is_sub, F.array("s", "o")).otherwise(F.array("s"))
+    facts = ontology.where(is_sub | (F.col("p") == TYPE)).select(F.when(is_sub, F.col("s")).alias("sub"), F.when(is_sub, F.col("o")).alias("super"), ends.alias("ends")).distinct()
+    some = facts.limit(LOCAL_AXIOMS + 1).collect()
+    if len(some) <= LOCAL_AXIOMS:
+        up: dict[str, set[str]] = {}
+        for r in some:
+            for x in r["ends"]:
+                up.setdefault(x, set())
+            if r["sub"] is not None:
+                up[r["sub"]].add(r["super"])
+        pairs = []
+        for x in up:
+            seen, todo = {x}, [x]
+            while todo:
+                new = up[todo.pop()] - seen
+                seen |= new
+                todo += new
+            pairs += [(x, y) for y in seen]
+        return ontology.sparkSession.createDataFrame(pairs, "sub string, super string")
+    pairs = facts.where("sub is not null").select("sub", "super").unionByName(facts.select(F.explode("ends").alias("sub")).select("sub", F.col("sub").alias("super"))).distinct()
     known, length = pairs.count(), 1
     while length < max_depth:
         a, b = pairs.alias("a"), pairs.alias("b")
