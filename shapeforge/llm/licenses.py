@@ -71,7 +71,8 @@ def _document_frequencies(vocabulary: frozenset[bytes]):
         for pdf in it:
             for t in pdf["text"]:
                 seen.update(vocabulary.intersection(_WORD.findall(lowered(t))))
-        yield pd.DataFrame({"token": [w.decode("utf-8") for w in seen], "n": list(seen.values())})
+        if seen:
+            yield pd.DataFrame({"token": [w.decode("utf-8") for w in seen], "n": list(seen.values())})
 
     return run
 

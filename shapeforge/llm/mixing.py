@@ -101,12 +101,14 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, alpha: float = 0.7, i
     )
     topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col(text_col))
     new = ("mix_topic", "mix_tokens", "mix_probability", "mix_weight", "mix_kept")
+    # a row travels as one struct, so its columns may have any names
     own = [c for c in docs.columns if c not in new]
-    held = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(topic, F.lit(NONE)).alias("mix_topic"), token_count(F.col(text_col)).alias("mix_tokens"))
-    on = (F.coalesce(held["source"].cast("string"), F.lit(NONE)) == F.col("c_source")) & (F.coalesce(held["lang"].cast("string"), F.lit(NONE)) == F.col("c_lang")) & (F.col("mix_topic") == F.col("c_topic"))
-    joined = held.join(by_cell, on, "left")
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(f"c_{c}") for c in AXES[:2]],
+        F.coalesce(topic, F.lit(NONE)).alias("c_topic"), token_count(F.col(text_col)).alias("n"),
+    )
+    joined = held.join(by_cell, [f"c_{c}" for c in AXES], "left")
     return joined.select(
-        *[held[f"`{c}`"] for c in own], "mix_topic", "mix_tokens",
-        F.col("p").alias("mix_probability"), F.col("w").alias("mix_weight"),
-        (uniform(held[f"`{id_col}`"]) < F.col("p")).alias("mix_kept"),
+        *[F.col(f"row.`{c}`").alias(c) for c in own], F.col("c_topic").alias("mix_topic"), F.col("n").alias("mix_tokens"),
+        F.col("p").alias("mix_probability"), F.col("w").alias("mix_weight"), (uniform(F.col(f"row.`{id_col}`")) < F.col("p")).alias("mix_kept"),
     )
