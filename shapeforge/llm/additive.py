@@ -32,7 +32,7 @@ BOOKS, WORDS, BEAM = 8, 256, 4
 SAMPLE = 8192
 SHARD, QUERY_TILE = 8192, 1024
 #: Candidates of each tile that are reranked exactly.
-SHORTLIST = 400
+SHORTLIST = 1000
 
 
 @dataclass
