@@ -227,7 +227,8 @@ _EXTRA = "CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END"
 
 
 def _rows(spark, sf_dir):
-    return shred.shredded(st.order_documents(spark, sf_dir))
+    # parsing costs far more than its bytes suggest: kept from being coalesced into a few tasks
+    return shred.shredded(st.order_documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "doc_id"))
 
 
 def _typed(spark, sf_dir, rows=None):

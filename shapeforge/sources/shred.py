@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +16,11 @@ _ROW = (
     "path string, parent_path string, line int, col int, text string, n_children int, "
     "attrs array<struct<ns:string,name:string,value:string>>, message string"
 )
-_COLUMNS = [c.strip().split(" ")[0] for c in _ROW.split(", ")]
+_ATTRIBUTE = pa.struct([("ns", pa.string()), ("name", pa.string()), ("value", pa.string())])
+_TYPES = {"int": pa.int32(), "string": pa.string(), "array<struct<ns:string,name:string,value:string>>": pa.list_(_ATTRIBUTE)}
+_FIELDS = pa.schema([(name, _TYPES[kind]) for name, kind in (c.strip().split(" ") for c in _ROW.split(", "))])
+#: Places in a row that are filled in after it was begun.
+_TEXT, _CHILDREN = _FIELDS.get_field_index("text"), _FIELDS.get_field_index("n_children")
 #: Rows handed back at once.
 _CHUNK = 20_000
 
@@ -26,33 +30,32 @@ def _split_name(name: str) -> tuple[str | None, str]:
     return (ns or None), local.rsplit(":", 1)[-1]
 
 
-def parse(doc_id: str, content: bytes) -> list[dict]:
+def parse(doc_id: str, content: bytes) -> list[list]:
     """Element rows of a document; an ``error`` row alone if it is not well formed. Lines and columns count from 1."""
     parser = expat.ParserCreate(namespace_separator="}")
     parser.ordered_attributes, parser.buffer_text = True, True
-    rows: list[dict] = []
-    stack: list[tuple[dict, dict, list]] = []
+    rows: list[list] = []
+    stack: list[tuple[list, dict, list]] = []
     top: dict = defaultdict(int)
 
     def start(name, attributes):
         ns, local = _split_name(name)
-        parent, counts, _ = stack[-1] if stack else (None, top, None)
+        if stack:
+            parent, counts, _ = stack[-1]
+            up, up_seq = parent[8], parent[2]
+            parent[_CHILDREN] += 1
+        else:
+            counts, up, up_seq = top, "", None
         counts[local] += 1
-        up = parent["path"] if parent else ""
-        if parent:
-            parent["n_children"] += 1
-        pairs = zip(attributes[::2], attributes[1::2], strict=True)
-        row = dict(
-            doc_id=doc_id, kind="element", seq=len(rows), parent_seq=parent["seq"] if parent else None, depth=len(stack), ns=ns, local_name=local,
-            sibling_index=counts[local], path=f"{up}/{local}[{counts[local]}]", parent_path=up, line=parser.CurrentLineNumber,
-            col=parser.CurrentColumnNumber + 1, text=None, n_children=0, attrs=[dict(zip(("ns", "name"), _split_name(k)), value=v) for k, v in pairs], message=None,
-        )
+        n = counts[local]
+        attrs = [dict(zip(("ns", "name"), _split_name(k)), value=v) for k, v in zip(attributes[::2], attributes[1::2], strict=True)] if attributes else []
+        row = [doc_id, "element", len(rows), up_seq, len(stack), ns, local, n, f"{up}/{local}[{n}]", up, parser.CurrentLineNumber, parser.CurrentColumnNumber + 1, None, 0, attrs, None]
         rows.append(row)
         stack.append((row, defaultdict(int), []))
 
     def end(_):
         row, _, texts = stack.pop()
-        row["text"] = "".join(texts)
+        row[_TEXT] = "".join(texts)
 
     def chars(data):
         if stack:
@@ -62,32 +65,29 @@ def parse(doc_id: str, content: bytes) -> list[dict]:
     try:
         parser.Parse(content, True)
     except expat.ExpatError as e:
-        return [dict.fromkeys(_COLUMNS) | dict(doc_id=doc_id, kind="error", line=e.lineno, col=e.offset + 1, message=str(e), path="/", attrs=[])]
+        return [[doc_id, "error", None, None, None, None, None, None, "/", None, e.lineno, e.offset + 1, None, None, [], str(e)]]
     return rows
 
 
-def _parse_batches(it):
-    for pdf in it:
-        rows: list[dict] = []
-        for doc_id, content in zip(pdf["doc_id"], pdf["content"], strict=True):
-            rows += parse(doc_id, bytes(content) if content is not None else b"")
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS)
+
+
+def _parse_batches(batches):
+    for batch in batches:
+        rows: list[list] = []
+        for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
+            rows += parse(doc_id.as_py(), content.as_py() or b"")
             while len(rows) >= _CHUNK:
-                yield _frame(rows[:_CHUNK])
+                yield _batch(rows[:_CHUNK])
                 rows = rows[_CHUNK:]
         if rows:
-            yield _frame(rows)
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_COLUMNS)
-    for c in ("seq", "parent_seq", "depth", "sibling_index", "line", "col", "n_children"):
-        out[c] = out[c].astype("Int32")
-    return out
+            yield _batch(rows)
 
 
 def shredded(documents: DataFrame) -> DataFrame:
     """One pass of the parser: element and error rows together. Write or persist it before taking more than one part."""
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInPandas(_parse_batches, _ROW)
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(_parse_batches, _ROW)
 
 
 def elements(rows: DataFrame) -> DataFrame:
