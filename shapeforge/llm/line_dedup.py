@@ -26,16 +26,18 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _key_hash(line: Column, min_chars: int) -> Column:
-    """128 bits of the key, as two longs; null for keys that are too short to count."""
-    key = line_key(line)
-    hashed = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("line"), key).alias("b"))
-    return F.when(F.char_length(key) >= min_chars, hashed)
+def key_hashes(text: Column, min_chars: int) -> Column:
+    """Array with 128 bits of each line's key, as two longs, in order; null for keys that are too short to count.
+
+    The keys are worked out in an array of their own, so each is worked out once.
+    """
+    keys = F.transform(split_lines(text), line_key)
+    return F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit("line"), k).alias("b"))))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Hashes of the line keys found in at least ``min_docs`` documents: ``a, b`` (128 bits)."""
-    keys = F.array_distinct(F.filter(F.transform(split_lines(F.col(text_col)), lambda x: _key_hash(x, min_chars)), lambda x: x.isNotNull()))
+    keys = F.array_distinct(F.filter(key_hashes(F.col(text_col), min_chars), lambda x: x.isNotNull()))
     per_doc = docs.select(F.col(id_col).alias("id"), F.explode(keys).alias("k")).select("id", "k.a", "k.b").distinct()
     return per_doc.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("a", "b")
 
@@ -51,7 +53,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     lines = docs.select(
         F.col(id_col).alias("i"),
         mark(F.col(text_col)).alias("t"),
-        F.posexplode(F.transform(split_lines(F.col(text_col)), lambda x: _key_hash(x, min_chars))).alias("p", "k"),
+        F.posexplode(key_hashes(F.col(text_col), min_chars)).alias("p", "k"),
     ).select("i", "t", "p", "k.a", "k.b")
     # rows with one doc_id and one text have the same lines, so their positions may be gathered together
     gone = lines.join(frequent, ["a", "b"], "left_semi").groupBy("i", "t").agg(F.collect_set("p").alias("gone"))
