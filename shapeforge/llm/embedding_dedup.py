@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,34 +69,45 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _check(threshold: float, pdf: pd.DataFrame) -> pd.DataFrame:
+_FOUND = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("edge", pa.bool_())])
+
+
+def _check(threshold: float, block: pa.Table) -> pa.Table:
     """Links of one bucket's block pair: rows of side 0 against rows of side 1 (or the block against itself)."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    block = block.combine_chunks()
+    x = block.column("x").chunk(0)
+    size = np.diff(x.offsets.to_numpy())
+    if (size != size[0]).any():  # two buckets that share a name: each length by itself
+        return pa.concat_tables([_check(threshold, block.filter(pa.array(size == d))) for d in np.unique(size)])
+    u = _unit(x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(size), -1))
+    side, rep, n = (block.column(c).to_numpy() for c in ("side", "rep", "n"))
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1)
     same = not len(right)
     right = left if same else right
-    x, y = _unit(matrix(left["x"])), _unit(matrix(right["x"]))
-    links = x @ y.T >= threshold
-    table = int(pdf["tab"].iloc[0])
-    if table:
-        kx = np.frombuffer(b"".join(left["keys"]), np.int32).reshape(len(left), -1)[:, :table]
-        ky = np.frombuffer(b"".join(right["keys"]), np.int32).reshape(len(right), -1)[:, :table]
+    links = u[left] @ u[right].T >= threshold
+    if same:
+        np.fill_diagonal(links, False)
+    table = block.column("tab")[0].as_py()
+    if table and links.any():
+        keys = np.frombuffer(b"".join(block.column("keys").to_pylist()), np.int32).reshape(len(size), -1)[:, :table]
         i, j = np.nonzero(links)
         for at in range(0, len(i), 65536):  # pairs that met in an earlier table were counted there
             a, b = i[at : at + 65536], j[at : at + 65536]
-            met = (kx[a] == ky[b]).any(1)
+            met = (keys[left[a]] == keys[right[b]]).any(1)
             links[a[met], b[met]] = False
-    if same:
-        np.fill_diagonal(links, False)
-    rid, cid = left["rep"].to_numpy(np.int64), right["rep"].to_numpy(np.int64)
-    counts = [(rid, links @ right["n"].to_numpy(np.int64))]
+    if not links.any():
+        return _FOUND.empty_table()
+    rid, cid = rep[left], rep[right]
+    counts = [(rid, links @ n[right])]
     if not same:
-        counts.append((cid, links.T @ left["n"].to_numpy(np.int64)))
+        counts.append((cid, links.T @ n[left]))
     a, b = _forest(links, rid, cid, same)
     who = np.concatenate([w[c > 0] for w, c in counts] + [a])
-    return pd.DataFrame({
+    return pa.table({
         "rep": who, "other": np.concatenate([np.full(len(who) - len(a), -1), b]),
         "n": np.concatenate([c[c > 0] for _, c in counts] + [np.zeros(len(a), np.int64)]), "edge": np.arange(len(who)) >= len(who) - len(a),
-    })
+    }, schema=_FOUND)
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95, seed: int = 5) -> DataFrame:
@@ -135,7 +147,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
         "tab", "key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "rep"
     )
     pairs = pairs.join(hashed.select("rep", "n", "x", "keys"), "rep")
-    found = cut(pairs.groupBy("tab", "key", "b0", "b1").applyInPandas(lambda pdf: _check(threshold, pdf), "rep long, other long, n long, edge boolean"))
+    found = cut(pairs.groupBy("tab", "key", "b0", "b1").applyInArrow(lambda block: _check(threshold, block), "rep long, other long, n long, edge boolean"))
     degree = found.where("not edge").groupBy("rep").agg(F.sum("n").alias("d"))
     groups = connected_components(found.where("edge"), "rep", "other").select(F.col("node").alias("rep"), "component")
     by_class = classes.join(degree, "rep", "left").join(groups, "rep", "left")
