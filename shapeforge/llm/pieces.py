@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
-#: Parts kept by a worker in its newer table; when it is full it becomes the older one, from which parts in use move back.
-TABLE = 400_000
+#: Parts kept by a worker in its newer table (only those met before, by a bit each); when it is full it becomes the older one, from which parts in use move back.
+TABLE = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -95,16 +95,19 @@ class Known(dict):
 
     def __init__(self, coder: Coder):
         super().__init__()
-        self.coder, self.older = coder, {}
+        self.coder, self.older, self.met = coder, {}, bytearray(1 << 22)
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
             inner = self.coder.cut.findall(part)
             ids = b"".join(map(self.__getitem__, inner)) if len(inner) > 1 else self.coder.part_ids(part).tobytes() if part else b""
-        if len(part) <= 64:
+        slot = hash(part) & 0x3FFFFF
+        if not self.met[slot]:
+            self.met[slot] = 1
+        elif len(part) <= 64:
             if len(self) >= TABLE:
-                self.older = dict(self)
+                self.older, self.met = dict(self), bytearray(1 << 22)
                 self.clear()
             self[part] = ids
         return ids
@@ -114,8 +117,6 @@ class Coder:
     """Encoder and decoder of one model; built once a worker."""
 
     def __init__(self, model: dict):
-        import ahocorasick
-
         self.dummy = model["dummy"]
         self.ids, self.score, self.bytes, self.surface = {}, {}, [None] * 256, []
         self.unknown = 0
@@ -131,15 +132,24 @@ class Coder:
                 self.surface.append(" ⁇ ".encode() if kind == UNKNOWN else b"")
         self.is_byte = np.array([k == BYTE for _, _, k in model["pieces"]])
         self.names = [p for p, _, _ in model["pieces"]]
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (len(piece), i))
-        self.automaton.make_automaton()
+        self._automaton = None
         self.cut = self.parting()
         self.fits: dict[int, bool] = {}
         self.known = Known(self)
         self.newline = self.cut is not None and not any("\n" in p for p in self.ids)
 
+    @property
+    def automaton(self):
+        """Built when a text is first encoded; decoding does without."""
+        if self._automaton is None:
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            for piece, i in self.ids.items():
+                self._automaton.add_word(piece, (len(piece), i))
+            self._automaton.make_automaton()
+        return self._automaton
+
     def parting(self) -> re.Pattern | None:
         """Parts of a text that no vocabulary entry crosses; None where entries cross all the places tried."""
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -171,7 +181,7 @@ class Coder:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the characters of entries a and b gives back a and b."""
-        if len(self.fits) > 8 * TABLE:
+        if len(self.fits) > 4 * TABLE:
             self.fits.clear()
         x, y = self.names[a], self.names[b]
         known = self.fits[a << 32 | b] = self.merged(x + y) == [x, y]
@@ -300,9 +310,11 @@ def model_path(path: str | None = None) -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``id_col, out array<int>`` of every whole text. The model is read once, by the driver; its size is that of a vocabulary."""
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``id_col, out array<int>`` of every whole text; with ``decoded`` also a column of that name with the ids decoded again,
+    in the same worker. The model is read once, by the driver; its size is that of a vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path(path)))
+    names = [id_col, out, *([decoded] if decoded else [])]
 
     def run(batches):
         coder = _coder(shared)
@@ -312,9 +324,13 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 coded = [coder.encode_bytes(text) for text in part.column(1).to_pylist()]
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], [id_col, out])
+                columns = [part.column(0), lists]
+                if decoded:
+                    columns.append(pa.array([coder.decode(np.frombuffer(x, np.int32)) for x in coded], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, `{out}` array<int>")
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, `{out}` array<int>" + (f", `{decoded}` string" if decoded else "")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", out: str = "decoded") -> DataFrame:

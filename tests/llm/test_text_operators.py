@@ -147,6 +147,8 @@ def test_sentencepiece_is_exact(spark):
     for r in pieces.decode(pieces.encode(docs)).collect():
         want = sp.encode(texts[r.doc_id] or "")
         assert list(r.ids) == want and r.decoded == sp.decode(want)
+    both = {r.doc_id: (list(r.ids), r.back) for r in pieces.encode(docs, decoded="back").collect()}
+    assert both == {i: (sp.encode(t or ""), sp.decode(sp.encode(t or ""))) for i, t in enumerate(texts)}
     coder = pieces.Coder(pieces.read_model(pieces.model_path()))
     for _ in range(200):
         ids = [rng.choice([rng.randrange(3, 259), rng.randrange(259, 32000)]) for _ in range(8)]
