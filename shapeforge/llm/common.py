@@ -45,14 +45,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = cut(
         edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).distinct()
     )
+    # no round has more edges than it was given, so one count tells for all of them
+    hint = F.broadcast if e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
     for _ in range(max_rounds):
-        low = small_side(cut(e.groupBy("hi").agg(F.min("lo").alias("m"))).select(F.col("hi").alias("x"), "m"))
+        low = hint(cut(e.groupBy("hi").agg(F.min("lo").alias("m"))).select(F.col("hi").alias("x"), "m"))
         # large star: an edge's lower end becomes that end's own minimum
         big = e.join(low, e["lo"] == low["x"], "left").select("hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved"))
         state = big.agg(F.count("*"), F.count_if("moved"), F.count_distinct("hi")).first()
         if state[1] == 0 and state[0] == state[2]:
             break
-        low = small_side(cut(big.groupBy("hi").agg(F.min("lo").alias("m"))).select(F.col("hi").alias("x"), "m"))
+        low = hint(cut(big.groupBy("hi").agg(F.min("lo").alias("m"))).select(F.col("hi").alias("x"), "m"))
         # small star: all lower ends of a node, and the node, go to the least of them
         rest = big.join(low, big["hi"] == low["x"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         e = cut(rest.unionByName(low.select(F.col("x").alias("hi"), F.col("m").alias("lo"))).distinct())

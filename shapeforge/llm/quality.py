@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .hashing import LOWER, pieces, word_hashes
 
 #: The fit uses at most so many labelled and so many unlabelled documents, the first by hash of the doc_id.
-LABELLED, UNLABELLED = 6000, 6000
+LABELLED, UNLABELLED = 4000, 2000
 SOURCES = 32
 TEXT_DIMS, META_DIMS = 256 + 10, 8 + SOURCES + 3
 
@@ -85,10 +85,10 @@ class Logistic:
     shift: float = 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 300, l2: float = 1e-3) -> Logistic:
-        x = x.astype(np.float64)
+        x = x.astype(np.float32)
         self.mean, self.std = x.mean(0), x.std(0)
         self.std[self.std < 1e-6] = np.inf  # constant features carry nothing
-        z = (x - self.mean) / self.std
+        z = ((x - self.mean) / self.std).astype(np.float32)
         w, b, vw, vb = np.zeros(z.shape[1]), 0.0, np.zeros(z.shape[1]), 0.0
         weight = weight / weight.sum()
         rate = 0.5
