@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,37 @@ def test_near_duplicates(spark):
     assert None not in got and len(got) == n + 6
 
 
+def test_near_duplicates_that_meet_in_a_common_passage(spark):
+    rng = random.Random(9)
+    passage = [f"common{k}" for k in range(120)]
+    rows = []
+    for i in range(30):
+        own = [f"own{rng.randrange(10**6)}" for _ in range(80)]
+        # every other word of the own text differs: no run of five words survives, and the similarity is 0.81
+        copy = [w if k % 2 or k > 74 else f"copy{rng.randrange(10**6)}" for k, w in enumerate(own)]
+        rows += [(i, " ".join(passage + own), "en", "s", 1), (i + 30, " ".join(passage + copy), "en", "s", 1)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: i % 30 for i in range(60)}
+
+
+def test_blocks_rule_out_only_by_bounds():
+    rng = random.Random(10)
+    words = [np.array([rng.randrange(400) for _ in range(rng.randint(5, 30))], np.uint64) for _ in range(20)]
+    for _ in range(40):
+        copy = rng.choice(words).copy()
+        copy[rng.randrange(len(copy))] = 999
+        words.append(copy)
+    texts = [" ".join(f"w{x}" for x in w) for w in words]
+    block = next(order_minhash._profiles([pd.DataFrame({"doc": range(len(texts)), "text": texts})]))
+    block["part"], block["side"] = block["doc"] // 2, 0
+    links = {(a, b) for a in range(60) for b in range(a) if a // 2 != b // 2 and edit_distance(list(words[a]), list(words[b])) <= int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)}
+    links = {(b, a) for a, b in links}
+    for side in (0, block["doc"] % 2):
+        found = set(order_minhash._possible(block.assign(side=side), 0.8).itertuples(index=False, name=None))
+        want = {(a, b) for a, b in links if np.isscalar(side) or (a + b) % 2}
+        assert want and want <= found and len(found) < 300 and all(a < b and a // 2 != b // 2 for a, b in found)
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["Ab cé, ab", None, "", "cé AB " + "q" * (1 << 20) + " ab"]
     h, bounds = hashing.word_hashes(texts)
