@@ -1,12 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A text is cut into blocks at blank lines (and, so that a template inside a long paragraph is met too, every block of
-more than ``WINDOW`` words is also looked at in half-overlapping windows of that many words). A block meets a template
-when it holds at least ``threshold`` of the template's distinct words. Tokens are ordered by how many documents of the
-whole corpus hold them, rarest first; a block can only meet a template if it holds one of the first
-``size - ceil(threshold * size) + 1`` of its tokens (prefix filter), has at least ``ceil(threshold * size)`` distinct
-words (length filter), and the tokens left from its first met position suffice (positional filter). What passes is
-counted exactly, so no block over the threshold is missed.
+The blocks of a text are its parts between blank lines and, for each template, all runs of ``SPREAD`` times as many
+words as the template has, at every position and across blank lines, so that a template spread over paragraphs is met
+too. A block meets a template when it holds at least ``threshold`` of the template's distinct words. Tokens are ordered
+by how many documents of the whole corpus hold them, rarest first; a block can only meet a template if it holds one of
+the first ``size - ceil(threshold * size) + 1`` of its tokens (prefix filter), has at least ``ceil(threshold * size)``
+distinct words (length filter), and the tokens left from its first met position suffice (positional filter). The whole
+text holds all that its blocks hold, so only templates that it meets are looked for in them, and there counted exactly:
+no block over the threshold is missed.
 
 Places of the base phrases (their words standing consecutively) are found besides, on the same words.
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,8 @@ TEMPLATES = {
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
 }
-#: A block of more words is also looked at in windows of this many words.
-WINDOW = 160
+#: A run has this many times the words of the template, so up to as many foreign words may stand between them.
+SPREAD = 2
 
 _UPPER = bytes(range(65, 91))
 _TO_LOWER = bytes.maketrans(_UPPER, bytes(range(97, 123)))
@@ -85,10 +86,10 @@ def token_order(docs: DataFrame, tokens: dict[str, frozenset[bytes]], text_col:
 
 
 class PrefixIndex:
-    """Inverted index over the templates' prefixes in the global order."""
+    """Inverted index over the templates' prefixes in the global order; ``widths``: words of a run for each template."""
 
-    def __init__(self, tokens: dict[str, frozenset[bytes]], order: dict[bytes, int], threshold: float):
-        self.tokens, self.threshold, self.by_token = tokens, threshold, defaultdict(list)
+    def __init__(self, tokens: dict[str, frozenset[bytes]], order: dict[bytes, int], threshold: float, widths: dict[str, int]):
+        self.tokens, self.threshold, self.widths, self.by_token = tokens, threshold, widths, defaultdict(list)
         for label, own in tokens.items():
             ranked = sorted(own, key=lambda w: (order.get(w, 0), w))
             need = max(1, math.ceil(threshold * len(ranked) - 1e-9))
@@ -114,11 +115,41 @@ class PrefixIndex:
 
 def _blocks(words_of, low: bytes):
     for part in _BREAK.split(low):
-        words = words_of(part)
-        yield words
-        if len(words) > WINDOW:
-            for at in range(0, len(words) - WINDOW // 2, WINDOW // 2):
-                yield words[at : at + WINDOW]
+        yield words_of(part)
+
+
+def _densest(words: list[bytes], own: frozenset[bytes], width: int) -> int:
+    """The most distinct words of ``own`` that stand in any ``width`` consecutive words."""
+    hits: deque = deque()
+    inside: Counter = Counter()
+    best = 0
+    for at, w in enumerate(words):
+        if w in own:
+            hits.append(at)
+            inside[w] += 1
+            while hits[0] <= at - width:
+                gone = words[hits.popleft()]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+            best = max(best, len(inside))
+    return best
+
+
+def _meets(low: bytes, index: PrefixIndex) -> dict[str, float]:
+    """The largest containment of each template in a block of the text, where it is over the threshold."""
+    words = _WORD.findall(low)
+    whole = index.meet(set(words))
+    if not whole or not _BREAK.search(low):
+        return whole
+    parts = [set(part) for part in _blocks(_WORD.findall, low)]
+    found = {}
+    for label in whole:
+        own = index.tokens[label]
+        n = max(_densest(words, own, index.widths[label]), *(len(own & part) for part in parts))
+        if n >= max(1, math.ceil(index.threshold * len(own) - 1e-9)):
+            found[label] = n / len(own)
+    return found
 
 
 def scan_text(text: str | None, index: PrefixIndex, phrases) -> tuple:
@@ -134,11 +165,7 @@ def scan_text(text: str | None, index: PrefixIndex, phrases) -> tuple:
     score, more = (1.0 if places else 0.0), {}
     # the rarest check first: without a prefix token of some template no block of the text can meet it
     if any(w in low for w in index.prefix_tokens):
-        for words in _blocks(_WORD.findall, low):
-            block = set(words)
-            if not index.prefix_tokens.isdisjoint(block):
-                for label, share in index.meet(block).items():
-                    more[label] = max(share, more.get(label, 0.0))
+        more = _meets(low, index)
     both = sorted(labels | set(more))
     return (
         len(starts), len(places), min(places, default=None), max(places, default=None),
@@ -151,8 +178,10 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict[str,
 
     ``score`` is the largest containment met, 1 where a base phrase stands, else 0.
     """
-    tokens = template_tokens(TEMPLATES if templates is None else templates)
-    index = PrefixIndex(tokens, token_order(docs, tokens, text_col), threshold)
+    templates = TEMPLATES if templates is None else templates
+    tokens = template_tokens(templates)
+    widths = {label: SPREAD * len(_WORD.findall(lowered(t))) for label, t in templates.items()}
+    index = PrefixIndex(tokens, token_order(docs, tokens, text_col), threshold, widths)
     shared = docs.sparkSession.sparkContext.broadcast((index, _phrases(BASE_PHRASES if phrases is None else phrases)))
     kind = dict(docs.dtypes)[id_col]
 

@@ -138,6 +138,34 @@ def test_licenses_against_brute_force(spark):
     assert "mit-text" in got[0].labels and "gpl-header" in got[1].labels and "mit-text" in got[2].labels
 
 
+def test_licenses_over_blank_lines(spark):
+    rng = random.Random(11)
+    apache, bsd = licenses.TEMPLATES["apache-header"], licenses.TEMPLATES["bsd-text"]
+    apache = apache.replace("http www apache org licenses LICENSE-2.0", "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n")
+    bsd = bsd.replace("are met: ", "are met:\n\n  1. ")
+    own = {"long": " ".join(f"term{k}" for k in range(300)), "short": "alpha beta gamma delta epsilon"}
+    texts = [
+        prose(rng, 90) + "\n\n" + apache + "\n\n" + prose(rng, 40), bsd, prose(rng, 115) + " " + own["long"].replace("term150", "\n\n") + " " + prose(rng, 500),
+        "alpha beta " + prose(rng, 3) + "\n\ngamma delta " + prose(rng, 9), "alpha beta " + prose(rng, 15) + "\n\ngamma delta", "epsilon\n\n" * 3 + "alpha beta gamma alpha", None,
+    ]
+    docs = table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    labels = set()
+    for templates in (licenses.TEMPLATES, own):
+        got = {r.doc_id: r for r in licenses.scan_licenses(docs, templates=templates, phrases={}).collect()}
+        words_of = lambda t: re.findall("[0-9a-z]+", (t or "").lower())
+        for i, t in enumerate(texts):
+            words, want = words_of(t), {}
+            for label, template in templates.items():
+                tokens, width = set(words_of(template)), 2 * len(words_of(template))
+                blocks = [words[k : k + width] for k in range(max(1, len(words)))] + [words_of(part) for part in re.split(r"\n\s*\n", t or "")]
+                share = max(len(tokens & set(block)) / len(tokens) for block in blocks)
+                if share >= 0.8:
+                    want[label] = share
+            assert got[i].labels == ",".join(sorted(want)) and got[i].score == pytest.approx(max([0.0, *want.values()]))
+            labels |= {(i, label) for label in want}
+    assert labels == {(0, "apache-header"), (1, "bsd-text"), (2, "long"), (3, "short"), (5, "short")}
+
+
 def test_sentencepiece_is_exact(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
