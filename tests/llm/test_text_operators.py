@@ -242,6 +242,30 @@ def test_near_duplicates_that_meet_in_a_common_passage(spark):
     assert got == {i: i % 30 for i in range(60)}
 
 
+def test_recall_of_isolated_pairs_at_the_threshold(spark):
+    rng = random.Random(12)
+    fresh = lambda: f"w{rng.randrange(10**9)}"
+    rows, sizes = [], [5, 6, 7, 8, 9] * 8 + [10, 12, 15, 20, 40, 60] * 10 + [120, 250] * 25
+    for k, n in enumerate(sizes):
+        a = [fresh() for _ in range(n)]
+        b = list(a)
+        if n < 10 and k % 2:  # one word more
+            b.insert(rng.randrange(n), fresh())
+        else:
+            for at in rng.sample(range(n), int(0.2 * n + 1e-9)):
+                b[at] = fresh()
+        assert edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9
+        rows += [(2 * k, " ".join(a), "en", "s", 1), (2 * k + 1, " ".join(b), "en", "s", 1)]
+    four = [fresh() for _ in range(4)]
+    rows += [(1000, " ".join(four), "en", "s", 1), (1001, " ".join([*four, "more"]), "en", "s", 1), (1002, " ".join(["other", *four[1:]]), "en", "s", 1)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(table(spark, rows)).collect()}
+    assert (got[1000], got[1001], got[1002]) == (1000, 1000, 1002)
+    found = [got[2 * k + 1] == 2 * k for k in range(len(sizes))]
+    assert all(x for x, n in zip(found, sizes, strict=True) if n < 9)
+    for low, high, least in ((9, 64, 0.95), (65, 1000, 0.84)):
+        assert np.mean([x for x, n in zip(found, sizes, strict=True) if low <= n <= high]) >= least
+
+
 def test_blocks_rule_out_only_by_bounds():
     rng = random.Random(10)
     words = [np.array([rng.randrange(400) for _ in range(rng.randint(5, 30))], np.uint64) for _ in range(20)]
