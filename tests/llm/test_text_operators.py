@@ -266,22 +266,25 @@ def test_recall_of_isolated_pairs_at_the_threshold(spark):
         assert np.mean([x for x, n in zip(found, sizes, strict=True) if low <= n <= high]) >= least
 
 
-def test_blocks_rule_out_only_by_bounds():
+def test_block_gives_a_forest_of_its_links():
     rng = random.Random(10)
-    words = [np.array([rng.randrange(400) for _ in range(rng.randint(5, 30))], np.uint64) for _ in range(20)]
+    words = [[rng.randrange(400) for _ in range(rng.randint(5, 30))] for _ in range(20)]
     for _ in range(40):
-        copy = rng.choice(words).copy()
+        copy = list(rng.choice(words))
         copy[rng.randrange(len(copy))] = 999
         words.append(copy)
-    texts = [" ".join(f"w{x}" for x in w) for w in words]
-    block = next(order_minhash._profiles([pd.DataFrame({"doc": range(len(texts)), "text": texts})]))
-    block["part"], block["side"] = block["doc"] // 2, 0
-    links = {(a, b) for a in range(60) for b in range(a) if a // 2 != b // 2 and edit_distance(list(words[a]), list(words[b])) <= int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)}
-    links = {(b, a) for a, b in links}
-    for side in (0, block["doc"] % 2):
-        found = set(order_minhash._possible(block.assign(side=side), 0.8).itertuples(index=False, name=None))
-        want = {(a, b) for a, b in links if np.isscalar(side) or (a + b) % 2}
-        assert want and want <= found and len(found) < 300 and all(a < b and a // 2 != b // 2 for a, b in found)
+    block = pd.DataFrame({"doc": range(60), "text": [" ".join(f"w{x}" for x in w) for w in words], "bucket": -(2**63), "part": [i // 2 for i in range(60)]})
+    for side in (block["doc"] * 0, block["doc"] % 2):
+        found = list(order_minhash._block_links(block.assign(side=side), 0.8, *order_minhash.plan(0.8)).itertuples(index=False, name=None))
+        links = [(b, a) for a in range(60) for b in range(a) if (not side.any() or (a + b) % 2) and edit_distance(words[a], words[b]) <= int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)]
+
+        def parts(edges):
+            top = [i // 2 for i in range(60)]
+            for a, b in edges:
+                top = [top[a] if x == top[b] else x for x in top]
+            return {tuple(i for i in range(60) if top[i] == x) for x in top}
+
+        assert found and set(found) <= set(links) and parts(found) == parts(links) and len(found) == 30 - len(parts(links))
 
 
 def test_word_hashes_tell_words_apart():
