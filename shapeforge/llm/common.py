@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,20 +13,34 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; a local one is made only where the session names none."""
+    """The checkpoint folder all executors share. A folder of this machine is made only for a local session that names none."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shapeforge-checkpoint-"))
         known = sc.getCheckpointDir()
     return known
 
 
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table to the shared folder and read from there, and the table's path."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so lost executors cost little."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` from a table in the shared folder: lineage ends there, so lost executors cost little."""
+    return store(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ``store`` that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -37,26 +52,32 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
     """Smallest id reachable from each node: ``node, component``. Nodes without an edge do not appear.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) on edges kept as (higher, lower) until every node has
-    one edge, to a node without one: the number of rounds grows with the logarithm of the longest path, every round has
-    edges at most linear in the input, and minima are pre-aggregated before the shuffle. A node's minimum is looked up in a
-    broadcast table only where a count shows it to be small; beyond, both sides are plain shuffles that Spark can split.
+    Alternates large-star and small-star steps (Kiveris et al. 2014) on edges kept as (higher, lower) until a round changes
+    nothing, so every node has one edge, to a node without one: the number of rounds grows with the logarithm of the longest
+    path, every round has edges at most linear in the input, and minima are pre-aggregated before the shuffle. A round is
+    one job over plain shuffles that Spark can split; the table of the round before is deleted. Raises if ``max_rounds``
+    rounds were not enough.
     """
-    e = cut(
+    spark = edges.sparkSession
+    e, path = store(
         edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).distinct()
     )
-    # no round has more edges than it was given, so one count tells for all of them
-    hint = F.broadcast if e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else (lambda df: df)
+    state = None
     for _ in range(max_rounds):
-        low = hint(cut(e.groupBy("hi").agg(F.min("lo").alias("m"))).select(F.col("hi").alias("x"), "m"))
-        # large star: an edge's lower end becomes that end's own minimum
-        big = e.join(low, e["lo"] == low["x"], "left").select("hi", F.coalesce("m", "lo").alias("lo"), F.col("m").isNotNull().alias("moved"))
-        state = big.agg(F.count("*"), F.count_if("moved"), F.count_distinct("hi")).first()
-        if state[1] == 0 and state[0] == state[2]:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
+        if now[0] == 0 or now == state:
             break
-        low = hint(cut(big.groupBy("hi").agg(F.min("lo").alias("m"))).select(F.col("hi").alias("x"), "m"))
+        state = now
+        low = e.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("x"), "m")
+        # large star: an edge's lower end becomes that end's own minimum
+        big = e.join(low, e["lo"] == low["x"], "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        low = big.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("x"), "m")
         # small star: all lower ends of a node, and the node, go to the least of them
         rest = big.join(low, big["hi"] == low["x"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = cut(rest.unionByName(low.select(F.col("x").alias("hi"), F.col("m").alias("lo"))).distinct())
+        old = path
+        e, path = store(rest.unionByName(low.select(F.col("x").alias("hi"), F.col("m").alias("lo"))).distinct())
+        discard(spark, old)
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     tops = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(tops)

@@ -266,6 +266,53 @@ def test_recall_of_isolated_pairs_at_the_threshold(spark):
         assert np.mean([x for x, n in zip(found, sizes, strict=True) if low <= n <= high]) >= least
 
 
+def classes_by_hand(rows, similarity=0.8):
+    """doc_id to class by comparing all pairs of word lists with plain dynamic programming."""
+    top = {i: i for i, _ in rows}
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            most = max(len(a), len(b))
+            if top[i] != top[j] and abs(len(a) - len(b)) <= 0.2 * most and edit_distance(a, b) <= (1 - similarity) * most + 1e-9:
+                x, y = sorted((top[i], top[j]))
+                top = {d: x if t == y else t for d, t in top.items()}
+    return top
+
+
+@pytest.mark.parametrize("all_pairs, block", [(8, 512), (1, 512), (1, 3)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, all_pairs, block):
+    """Few rows as a bucket's pairs, as prefixes, or as blocks: the classes are those of all pairs."""
+    monkeypatch.setattr(order_minhash, "ALL_PAIRS", all_pairs)
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    rng = random.Random(21)
+    passage = [f"common{k}" for k in range(30)]
+    rows = []
+    for n in (4, 6, 9, 14, 25, 45, 80, 140, 200) * 3:
+        # few words in use, so many texts share the rarest ones, and a passage that all but the shortest share
+        base = (passage if n > 9 else []) + [f"w{rng.randrange(25)}" for _ in range(n)]
+        rows.append((len(rows), base))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(0, int(0.26 * len(base)))):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice([[], [f"x{rng.randrange(30)}"], [copy[at], f"x{rng.randrange(30)}"]])
+            if copy:
+                rows.append((len(rows), copy))
+    want = classes_by_hand(rows)
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(table(spark, [(i, " ".join(w), "en", "s", 1) for i, w in rows])).collect()}
+    assert len(set(want.values())) > 12
+    # nothing is joined that all pairs don't join; what is not met is rare
+    assert all(want[i] == want[got[i]] for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 0.97 * len(rows)
+
+
+def test_repeated_ids_link_by_each_of_their_texts(spark):
+    rng = random.Random(22)
+    a, z = ([f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(2))
+    near = lambda w: " ".join([*w[:20], "changed", *w[21:]])
+    docs = table(spark, [(1, " ".join(a), "en", "s", 1), (1, " ".join(z), "en", "s", 1), (2, near(a), "en", "s", 1), (3, near(z), "en", "s", 1), (4, "another text " * 9, "en", "s", 1)])
+    assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_block_gives_a_forest_of_its_links():
     rng = random.Random(10)
     words = [[rng.randrange(400) for _ in range(rng.randint(5, 30))] for _ in range(20)]
@@ -273,9 +320,10 @@ def test_block_gives_a_forest_of_its_links():
         copy = list(rng.choice(words))
         copy[rng.randrange(len(copy))] = 999
         words.append(copy)
-    block = pd.DataFrame({"doc": range(60), "text": [" ".join(f"w{x}" for x in w) for w in words], "bucket": -(2**63), "part": [i // 2 for i in range(60)]})
+    counts = np.zeros(order_minhash.COUNTS, np.int64)
+    block = pd.DataFrame({"doc": range(60), "words": [np.array(w, np.uint64).tobytes() for w in words], "pos": 0, "part": [i // 2 for i in range(60)]})
     for side in (block["doc"] * 0, block["doc"] % 2):
-        found = list(order_minhash._block_links(block.assign(side=side), 0.8, *order_minhash.plan(0.8)).itertuples(index=False, name=None))
+        found = list(order_minhash._block_links(block.assign(side=side), 0.8, counts).itertuples(index=False, name=None))
         links = [(b, a) for a in range(60) for b in range(a) if (not side.any() or (a + b) % 2) and edit_distance(words[a], words[b]) <= int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)]
 
         def parts(edges):
