@@ -3,23 +3,32 @@
 Documents are pre-aggregated to cells (source, language, topic); the cells' token weights are raked in turn to the three
 target marginals; a document is then drawn with the probability that its cell's raked weight asks for.
 
+No cell can give more tokens than it holds, so the weights are raked to the largest total at which every value of every
+axis can meet its target (a little less, so that the passes get there), and never above a cell's tokens. Every probability
+is then at most 1, and the drawn documents meet all three marginals up to sampling error, without weights.
+
 Defined results: null source, language or topic are a category of their own ("(none)"); null and empty texts have no
-tokens and are drawn with their cell's probability; a cell without tokens keeps probability 1; targets without cells and
-cells without targets are left out of a marginal (their weight stays); repeated rows of one doc_id are drawn alike; an
-empty table gives an empty result.
+tokens and are drawn with their cell's probability; a cell without tokens keeps probability 1; targets without cells are
+left out and the others of that axis normed again; cells whose value has no target keep their weight; repeated rows of one
+doc_id are drawn alike; ties can't arise (a draw depends on the id alone); texts of any length are counted whole; an empty
+table gives an empty result; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, discard, small_side, store
 
 NONE = "(none)"
 AXES = ("source", "lang", "topic")
+#: Targets, where none are given: present shares to this power.
+ALPHA = 0.85
+#: Passes over the three axes, and the share of the largest feasible total that is aimed at.
+ITERATIONS, SLACK = 8, 0.9
 
 
 def token_count(text: Column) -> Column:
@@ -27,9 +36,14 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("long")
 
 
-def topic_of(text: Column) -> Column:
-    """A coarse topic from surface form: ``table``, ``figures``, ``note`` (under 100 words), else ``prose``."""
+def topic_of(text: Column, lexicon: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """A coarse topic: with a ``lexicon`` the topic whose words stand most often (ties to the first, none: ``other``); else a
+    form of text: ``table``, ``figures``, ``note`` (under 100 words) or ``prose``."""
     t = F.coalesce(text, F.lit(""))
+    if lexicon:
+        hits = [F.struct(F.regexp_count(F.lower(t), F.lit(rf"\b(?:{'|'.join(words)})\b")).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, words) in enumerate(lexicon.items())]
+        best = F.array_max(F.array(*hits))
+        return F.when(best["n"] > 0, best["name"]).otherwise("other")
     size = F.greatest(F.char_length(t), F.lit(1))
     share = lambda pattern: F.regexp_count(t, F.lit(pattern)) * 1000 >= size * 20
     return (
@@ -42,24 +56,27 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(NONE))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def cells_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _axes(docs: DataFrame, text_col: str, lexicon: Mapping[str, Sequence[str]] | None) -> list[Column]:
+    """Source, language and topic of a document: the columns of the table, or what is derived from the text."""
+    topic = F.col("topic") if "topic" in docs.columns else topic_of(F.col(text_col), lexicon)
+    return [F.coalesce(c.cast("string"), F.lit(NONE)) for c in (F.col("source"), F.col("lang"), topic)]
+
+
+def cells_of(docs: DataFrame, text_col: str = "text", lexicon: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """``source, lang, topic, tokens, docs`` - partial sums leave little to shuffle, whatever source is hot."""
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col(text_col))
-    return (
-        docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in AXES[:2]], F.coalesce(topic, F.lit(NONE)).alias("topic"), token_count(F.col(text_col)).alias("n"))
-        .groupBy(*AXES)
-        .agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    )
+    own = [c.alias(name) for c, name in zip(_axes(docs, text_col, lexicon), AXES, strict=True)]
+    return docs.select(*own, token_count(F.col(text_col)).alias("n")).groupBy(*AXES).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def tempered_targets(cells: DataFrame, alpha: float) -> DataFrame:
-    """``axis, value, share``: each marginal's present token shares to the power ``alpha``, normed again."""
-    out = None
-    for axis in AXES:
-        part = cells.groupBy(F.lit(axis).alias("axis"), F.col(axis).alias("value")).agg(F.sum("tokens").alias("n")).where("n > 0")
-        out = part if out is None else out.unionByName(part)
-    powered = out.withColumn("n", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
-    return powered.select("axis", "value", (F.col("n") / F.sum("n").over(Window.partitionBy("axis"))).alias("share"))
+def _by_axis(cells: DataFrame, measure: str = "tokens") -> DataFrame:
+    """``axis, value, n``: sums of a measure over the values of each axis."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("value")) for a in AXES])
+    return cells.select(F.explode(pairs).alias("x"), measure).groupBy("x.axis", "x.value").agg(F.sum(measure).alias("n"))
+
+
+def tempered_targets(cells: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """``axis, value, share``: each marginal's present token shares to the power ``alpha``."""
+    return _by_axis(cells).where("n > 0").select("axis", "value", F.pow(F.col("n").cast("double"), F.lit(float(alpha))).alias("share"))
 
 
 def given_targets(spark, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
@@ -67,48 +84,52 @@ def given_targets(spark, targets: Mapping[str, Mapping[str, float]]) -> DataFram
     return spark.createDataFrame(rows, "axis string, value string, share double")
 
 
-def rake(cells: DataFrame, targets: DataFrame, iterations: int = 8) -> DataFrame:
-    """``cells`` with ``weight``: after each pass the axis last raked meets its targets exactly, all tend to.
+def aims(cells: DataFrame, targets: DataFrame, slack: float = SLACK) -> DataFrame:
+    """``axis, value, share, aim``: the shares of present values, normed per axis, and the tokens they come to at the largest
+    total that all of them can meet."""
+    held = targets.where("share > 0").join(_by_axis(cells).where("n > 0"), ["axis", "value"])
+    whole = held.groupBy("axis").agg(F.sum("share").alias("whole"))
+    held = held.join(whole, "axis").select("axis", "value", "n", (F.col("share") / F.col("whole")).alias("share"))
+    total = held.agg(F.min(F.col("n") / F.col("share")).alias("total"))
+    return held.crossJoin(F.broadcast(total)).select("axis", "value", "share", (F.col("share") * F.col("total") * F.lit(float(slack))).alias("aim"))  # one row
+
 
-    The table has one row per cell, never per document; a pass is one window per axis, keyed by the axis value.
+def rake(cells: DataFrame, targets: DataFrame, iterations: int = ITERATIONS, slack: float = SLACK) -> DataFrame:
+    """``cells`` with ``weight``, at most ``tokens``, whose marginals tend to the targets' shares.
+
+    The table has one row per cell, never per document. A pass sums the weights per value of an axis (partial sums first) and
+    joins the factors back.
     """
-    wide = cells.withColumn("weight", F.col("tokens").cast("double"))
-    total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
+    wide, by = cells.withColumn("weight", F.col("tokens").cast("double")), cut(aims(cells, targets, slack))
     for axis in AXES:
-        of = targets.where(F.col("axis") == axis).select(F.col("value").alias(axis), F.col("share").alias(f"to_{axis}"))
-        wide = wide.join(of, axis, "left")
-    wide = cut(wide)
+        wide = wide.join(by.where(F.col("axis") == axis).select(F.col("value").alias(axis), F.col("aim").alias(f"to_{axis}")), axis, "left")
+    wide, path = store(wide)
     for _ in range(iterations):
         for axis in AXES:
-            now = F.sum("weight").over(Window.partitionBy(axis))
-            fit = F.col("weight") * F.col(f"to_{axis}") * total / now
-            wide = wide.withColumn("weight", F.when(F.col(f"to_{axis}").isNull() | (now <= 0), F.col("weight")).otherwise(fit))
-        wide = cut(wide)
+            now = wide.groupBy(axis).agg(F.sum("weight").alias("now"))
+            fit = F.least(F.col("weight") * F.col(f"to_{axis}") / F.col("now"), F.col("tokens").cast("double"))
+            old, moved = path, F.when(F.col(f"to_{axis}").isNull() | (F.col("now") <= 0), F.col("weight")).otherwise(fit)
+            wide, path = store(wide.join(now, axis).withColumn("weight", moved).drop("now"))
+            discard(cells.sparkSession, old)
     return wide.select(*AXES, "tokens", "docs", "weight")
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, alpha: float = 0.7, iterations: int = 8, rate: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``mix_topic, mix_tokens, mix_probability, mix_weight, mix_kept``.
+def mix(docs: DataFrame, targets: DataFrame | None = None, alpha: float = ALPHA, iterations: int = ITERATIONS, id_col: str = "doc_id", text_col: str = "text", lexicon: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``docs`` with ``mix_topic, mix_tokens, mix_probability, mix_kept``.
 
-    The probability is min(1, rate x raked weight / tokens of the cell); ``mix_weight`` is what a drawn document stands
-    for (raked weight over expected drawn tokens), so cells that need more than they hold stay calibrated.
+    The probability is the raked weight over the tokens of the document's cell.
     """
-    cells = cut(cells_of(docs, text_col))
+    cells = cut(cells_of(docs, text_col, lexicon))
     raked = rake(cells, tempered_targets(cells, alpha) if targets is None else targets, iterations)
-    want = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(float(rate)) / F.col("tokens")).otherwise(F.lit(1.0))
-    by_cell = small_side(
-        cut(raked.select(*[F.col(c).alias(f"c_{c}") for c in AXES], F.least(F.lit(1.0), want).alias("p"), F.greatest(F.lit(1.0), want).alias("w")))
-    )
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col(text_col))
-    new = ("mix_topic", "mix_tokens", "mix_probability", "mix_weight", "mix_kept")
+    want = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(1.0))
+    by_cell = small_side(cut(raked.select(*[F.col(c).alias(f"c_{c}") for c in AXES], want.alias("p"))))
+    new = ("mix_topic", "mix_tokens", "mix_probability", "mix_kept")
     # a row travels as one struct, so its columns may have any names
     own = [c for c in docs.columns if c not in new]
-    held = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *[F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(f"c_{c}") for c in AXES[:2]],
-        F.coalesce(topic, F.lit(NONE)).alias("c_topic"), token_count(F.col(text_col)).alias("n"),
-    )
+    axes = [c.alias(f"c_{name}") for c, name in zip(_axes(docs, text_col, lexicon), AXES, strict=True)]
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *axes, token_count(F.col(text_col)).alias("n"))
     joined = held.join(by_cell, [f"c_{c}" for c in AXES], "left")
     return joined.select(
         *[F.col(f"row.`{c}`").alias(c) for c in own], F.col("c_topic").alias("mix_topic"), F.col("n").alias("mix_tokens"),
-        F.col("p").alias("mix_probability"), F.col("w").alias("mix_weight"), (uniform(F.col(f"row.`{id_col}`")) < F.col("p")).alias("mix_kept"),
+        F.col("p").alias("mix_probability"), (uniform(F.col(f"row.`{id_col}`")) < F.col("p")).alias("mix_kept"),
     )

@@ -1,19 +1,24 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other, then score together.
 
 Two logistic models see disjoint views of a page: its whole text (byte histogram and surface statistics) and its
-metadata (language, source, stated length). Over several rounds each labels the unlabelled documents it is most sure of
-for the other; both are then calibrated on labelled documents that took no part in training, and their calibrated log
-odds are added to score every document.
+metadata (language, source, stated length). Over several rounds each scores all unlabelled documents on the executors and
+labels those it is most sure of for the other; both are then calibrated on labelled documents that took no part in
+training, and their calibrated log odds are added to score every document.
+
+The views of all documents are worked out once and kept as a table for the rounds. The driver gets the views of the labelled
+sample and of the few documents picked in a round, nothing that grows with the corpus.
 
 Defined results: null and empty texts have the all-zero text view; null metadata is a category of its own; labels that
 are null are left out, several labels of one document are averaged and rounded up; where the labels don't hold both
-classes every document scores 0.5 and is kept; an empty table gives an empty result; repeated rows score alike; columns
-named like the new ones are replaced.
+classes every document scores 0.5 and is kept; an empty table gives an empty result; repeated rows score alike; where an
+id is repeated with other texts, the row whose view comes first in byte order trains; equal confidences go to the smaller
+id; texts of any length are taken whole; columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import discard, store
 from .hashing import LOWER, pieces, word_hashes
 
-#: The fit uses at most so many labelled and so many unlabelled documents, the first by hash of the doc_id.
-LABELLED, UNLABELLED = 4000, 2000
+#: The fit uses at most so many labelled documents, the first by hash of the doc_id.
+LABELLED = 6000
+#: Rounds of co-training, and documents that each view labels for the other in a round; picked from all unlabelled ones.
+ROUNDS, PER_ROUND = 3, 600
 SOURCES = 32
 TEXT_DIMS, META_DIMS = 256 + 10, 8 + SOURCES + 3
 
@@ -134,41 +142,35 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _agreed(weight_from: Logistic, x: np.ndarray, free: np.ndarray, per_round: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """The unlabelled rows this view is surest of, each class in its share, with their pseudo-labels."""
-    z = weight_from.raw(x)
-    ids = np.flatnonzero(free)
-    order = ids[np.argsort(z[ids], kind="stable")]
-    low, high = int(per_round * (1 - rate)), int(per_round * rate)
-    neg = [i for i in order[:low] if z[i] < -2]
-    pos = [i for i in order[::-1][:high] if z[i] > 2]
-    return np.array(neg + pos, dtype=int), np.array([0.0] * len(neg) + [1.0] * len(pos))
+Picks = dict[str, tuple[np.ndarray, np.ndarray]]
+
 
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pick: Callable[[dict[str, Logistic], float], Picks], rounds: int = ROUNDS) -> CoTrained | None:
+    """Every fourth labelled row calibrates and takes no part in training; None if either part lacks a class.
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_u: np.ndarray, meta_u: np.ndarray, rounds: int = 3, per_round: int = 600) -> CoTrained | None:
-    """Every fourth labelled row calibrates and takes no part in training; None if either part lacks a class."""
+    ``pick`` gets both models and the share of good documents, and returns for each view the rows that the other one is surest
+    of, with their labels.
+    """
     cal = np.arange(len(y)) % 4 == 3
     if min((y[~cal] == c).sum() for c in (0, 1)) < 2 or min((y[cal] == c).sum() for c in (0, 1)) < 1:
         return None
     rate = float(y[~cal].mean())
     sets = {"text": ([text[~cal]], [y[~cal]], [np.ones((~cal).sum())]), "meta": ([meta[~cal]], [y[~cal]], [np.ones((~cal).sum())])}
-    free, models = {"text": np.ones(len(text_u), bool), "meta": np.ones(len(meta_u), bool)}, {}
 
-    def train() -> None:
-        for name, (xs, ys, ws) in sets.items():
-            models[name] = Logistic().fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+    def train() -> dict[str, Logistic]:
+        return {name: Logistic().fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws)) for name, (xs, ys, ws) in sets.items()}
 
-    train()
-    views = {"text": text_u, "meta": meta_u}
-    for _ in range(rounds if len(text_u) else 0):
-        for teacher, pupil in (("text", "meta"), ("meta", "text")):
-            ids, labels = _agreed(models[teacher], views[teacher], free[pupil], per_round, rate)
-            free[pupil][ids] = False
+    models = train()
+    for _ in range(rounds):
+        picks = pick(models, rate)
+        if not any(len(labels) for _, labels in picks.values()):
+            break
+        for pupil, (x, labels) in picks.items():
             xs, ys, ws = sets[pupil]
-            xs.append(views[pupil][ids])
+            xs.append(x)
             ys.append(labels)
-            ws.append(np.full(len(ids), 0.5))
-        train()
+            ws.append(np.full(len(labels), 0.5))
+        models = train()
     models["text"].calibrate(text[cal], y[cal])
     models["meta"].calibrate(meta[cal], y[cal])
     p = (y[cal].sum() + 1) / (cal.sum() + 2)
@@ -177,36 +179,66 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, text_u: np.ndarr
 
 def _featurise(it):
     for pdf in it:
-        yield pd.DataFrame({
-            "key": pdf["key"], "y": pdf["y"],
-            "t": list(text_view(pdf["text"])), "m": list(meta_view(pdf["lang"], pdf["source"], pdf["n_chars"])),
-        })
+        for at in range(0, len(pdf), 256):
+            part = pdf.iloc[at : at + 256]
+            t, m = text_view(part["text"]), meta_view(part["lang"], part["source"], part["n_chars"])
+            yield pd.DataFrame({"i": part["i"], "t": [x.tobytes() for x in t], "m": [x.tobytes() for x in m]})
+
+
+def _views(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1)
+
 
+def _picker(features: DataFrame, labelled: DataFrame, per_round: int):
+    """Scores all unlabelled documents by both models and brings the surest ones' views, each document once a view."""
+    spark, kind = features.sparkSession, dict(features.dtypes)["i"]
+    taken: dict[str, list] = {"text": [], "meta": []}
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = 3) -> CoTrained | None:
-    """Fit on a bounded sample; the views are computed on the executors, only their vectors reach the driver."""
+    def pick(models: dict[str, Logistic], rate: float) -> Picks:
+        shared = spark.sparkContext.broadcast(models)  # two vectors of weights
+
+        def score(it):
+            for pdf in it:
+                if len(pdf):
+                    yield pd.DataFrame({"i": pdf["i"], "text": shared.value["text"].raw(_views(pdf["t"])), "meta": shared.value["meta"].raw(_views(pdf["m"]))})
+
+        scored, path = store(features.mapInPandas(score, f"i {kind}, text double, meta double").join(labelled.select("i"), "i", "left_anti"))
+        chosen = None
+        for teacher, pupil in (("text", "meta"), ("meta", "text")):
+            gone = spark.createDataFrame([(i,) for i in taken[pupil]], f"i {kind}")  # at most rounds x per_round ids
+            free = scored.join(F.broadcast(gone), "i", "left_anti").select("i", F.col(teacher).alias("z"))
+            for label, n, side in ((0.0, int(per_round * (1 - rate)), F.col("z") < -2), (1.0, int(per_round * rate), F.col("z") > 2)):
+                best = free.where(side).orderBy(F.col("z") if label == 0 else -F.col("z"), "i").limit(n)
+                best = best.select("i", F.lit(pupil).alias("pupil"), F.lit(label).alias("y"))
+                chosen = best if chosen is None else chosen.unionByName(best)
+        rows = features.join(F.broadcast(chosen.distinct()), "i").toPandas().sort_values(["i", "t"], kind="stable").drop_duplicates(["i", "pupil"])
+        shared.destroy()
+        discard(spark, path)
+        out = {}
+        for pupil, view in (("meta", "m"), ("text", "t")):
+            own = rows[rows["pupil"] == pupil]
+            taken[pupil] += own["i"].to_list()
+            out[pupil] = (_views(own[view]) if len(own) else np.zeros((0, TEXT_DIMS if view == "t" else META_DIMS), np.float32), own["y"].to_numpy(dtype=float))
+        return out
+
+    return pick
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> CoTrained | None:
+    """Fit on a bounded sample of the labelled documents and on picks from all unlabelled ones."""
     lab = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
     lab = lab.groupBy(F.col("doc_id").alias("i")).agg(F.when(F.avg(label_col) >= 0.5, 1.0).otherwise(0.0).alias("y"))
     picked = lab.orderBy(F.xxhash64("i"), "i").limit(labelled)
-    other = docs.select(F.col("doc_id").alias("i")).where(F.col("i").isNotNull()).join(lab, "i", "left_anti")
-    other = other.orderBy(F.xxhash64("i"), "i").limit(unlabelled).distinct()
-    chosen = picked.unionByName(other.select("i", F.lit(None).cast("double").alias("y")))
-    rows = (
-        docs.select(F.col("doc_id").alias("i"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
-        .join(F.broadcast(chosen), "i")  # at most labelled + unlabelled ids
-        .select(F.xxhash64("i").alias("key"), "y", "text", "lang", "source", "n_chars")
-        .mapInPandas(_featurise, "key long, y double, t array<float>, m array<float>")
-        .toPandas()
-        .sort_values("key", kind="stable")
-    )
-    if not len(rows):
-        return None
-    rows = rows.drop_duplicates("key")
-    known = rows["y"].notna().to_numpy()
-    if not known.any():
-        return None
-    t, m = np.stack(rows["t"].to_list()), np.stack(rows["m"].to_list())
-    return co_train(t[known], m[known], rows["y"].to_numpy()[known], t[~known], m[~known], rounds)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("i"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
+    features, path = store(rows.mapInPandas(_featurise, f"i {dict(docs.dtypes)['doc_id']}, t binary, m binary"))
+    try:
+        known = features.join(F.broadcast(picked), "i").select(F.xxhash64("i").alias("key"), "i", "y", "t", "m").toPandas()  # at most ``labelled`` ids
+        known = known.sort_values(["key", "i", "t"], kind="stable").drop_duplicates("i")
+        if not len(known):
+            return None
+        return co_train(_views(known["t"]), _views(known["m"]), known["y"].to_numpy(), _picker(features, lab, per_round), rounds)
+    finally:
+        discard(docs.sparkSession, path)
 
 
 def score_column(model: CoTrained | None, docs: DataFrame):
@@ -217,7 +249,11 @@ def score_column(model: CoTrained | None, docs: DataFrame):
 
     @F.pandas_udf(T.DoubleType())
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(text_view(text), meta_view(lang, source, n_chars)), dtype="float64")
+        found = [np.zeros(0)]
+        for at in range(0, len(text), 256):
+            part = slice(at, at + 256)
+            found.append(shared.value.score(text_view(text.iloc[part]), meta_view(lang.iloc[part], source.iloc[part], n_chars.iloc[part])))
+        return pd.Series(np.concatenate(found), dtype="float64")
 
     return score(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("double"))
 

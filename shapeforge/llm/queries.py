@@ -105,7 +105,7 @@ def _line_sql() -> str:
     FROM marked GROUP BY doc_id"""
 
 
-def _mix_sql(alpha: float = 0.7, iterations: int = 8) -> str:
+def _mix_sql(alpha: float = mixing.ALPHA, iterations: int = mixing.ITERATIONS) -> str:
     words = f"len(regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+'))"
     ctes = [
         "d0 AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)",
@@ -116,19 +116,21 @@ def _mix_sql(alpha: float = 0.7, iterations: int = 8) -> str:
         "cells AS (SELECT s, l, p, sum(n)::DOUBLE AS tokens FROM d GROUP BY ALL)",
     ]
     for a in "slp":
-        ctes.append(f"f{a} AS (SELECT {a}, pow(sum(tokens), {alpha}) AS x FROM cells GROUP BY {a} HAVING sum(tokens) > 0)")
-        ctes.append(f"t{a} AS (SELECT {a}, x / sum(x) OVER () AS share FROM f{a})")
+        ctes.append(f"f{a} AS (SELECT {a}, sum(tokens) AS held, pow(sum(tokens), {alpha}) AS x FROM cells GROUP BY {a} HAVING sum(tokens) > 0)")
+        ctes.append(f"t{a} AS (SELECT {a}, held, x / sum(x) OVER () AS share FROM f{a})")
+    least = " UNION ALL ".join(f"SELECT held / share AS y FROM t{a}" for a in "slp")
+    ctes.append(f"most AS (SELECT min(y) * {mixing.SLACK} AS total FROM ({least}))")
     ctes.append(
-        "w0 AS (SELECT cells.*, tokens AS w, sum(tokens) OVER () AS total, ts.share AS hs, tl.share AS hl, tp.share AS hp"
-        " FROM cells LEFT JOIN ts USING (s) LEFT JOIN tl USING (l) LEFT JOIN tp USING (p))"
+        "w0 AS (SELECT cells.*, tokens AS w, ts.share * total AS hs, tl.share * total AS hl, tp.share * total AS hp"
+        " FROM cells CROSS JOIN most LEFT JOIN ts USING (s) LEFT JOIN tl USING (l) LEFT JOIN tp USING (p))"
     )
     k = 0
     for _ in range(iterations):
         for a in "slp":
             k += 1
             now = f"sum(w) OVER (PARTITION BY {a})"
-            ctes.append(f"w{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN h{a} IS NULL OR {now} <= 0 THEN w ELSE w * h{a} * total / {now} END AS w) FROM w{k - 1})")
-    ctes.append(f"prob AS (SELECT s, l, p, CASE WHEN tokens > 0 THEN least(1.0, w / tokens) ELSE 1.0 END AS pr FROM w{k})")
+            ctes.append(f"w{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN h{a} IS NULL OR {now} <= 0 THEN w ELSE least(w * h{a} / {now}, tokens) END AS w) FROM w{k - 1})")
+    ctes.append(f"prob AS (SELECT s, l, p, CASE WHEN tokens > 0 THEN w / tokens ELSE 1.0 END AS pr FROM w{k})")
     return f"""WITH {', '.join(ctes)}
     SELECT doc_id, source, lang, p AS topic, n AS n_tokens, round(pr, 6) AS probability,
            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '(none)')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < pr AS sampled

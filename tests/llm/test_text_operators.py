@@ -65,19 +65,49 @@ def test_empty_tables(spark):
 
 def test_mixing_meets_marginals(spark, rows):
     docs = table(spark, rows)
-    targets = mixing.given_targets(spark, {"source": {"s0": 0.5, "s1": 0.2, "s2": 0.2, mixing.NONE: 0.1}, "lang": {"en": 0.6, "de": 0.3, mixing.NONE: 0.1}})
+    targets = mixing.given_targets(spark, {"source": {"s0": 0.5, "s1": 0.2, "s2": 0.2, mixing.NONE: 0.1, "absent": 0.4}, "lang": {"en": 0.6, "de": 0.3, mixing.NONE: 0.1}})
     cells = mixing.cells_of(docs).where("tokens > 0")
     raked = mixing.rake(cells, targets, iterations=40)
-    total = cells.agg(F.sum("tokens")).first()[0]
-    # the axis raked last is met exactly
-    by = {r.lang: r.w / total for r in raked.groupBy("lang").agg(F.sum("weight").alias("w")).collect()}
-    assert by["en"] == pytest.approx(0.6) and by["de"] == pytest.approx(0.3)
+    assert raked.where("weight > tokens * 1.000001").count() == 0
+    want = {(r["axis"], r["value"]): r["share"] for r in mixing.aims(cells, targets).collect()}
+    assert want["source", "s0"] == pytest.approx(0.5) and ("source", "absent") not in want
+    total = raked.agg(F.sum("weight")).first()[0]
+    for axis in ("source", "lang"):
+        for r in raked.groupBy(axis).agg(F.sum("weight").alias("w")).collect():
+            assert r["w"] / total == pytest.approx(want[axis, r[axis]], rel=1e-3)
     out = mixing.mix(docs, targets).collect()
     assert len(out) == len(rows) and all(0 <= r.mix_probability <= 1 for r in out)
     again = {(r.doc_id, r.mix_kept) for r in mixing.mix(docs.repartition(7), targets).collect()}
     assert {(r.doc_id, r.mix_kept) for r in out} == again
 
 
+def test_drawn_documents_meet_the_targets(spark):
+    """A hot source, a rare topic: what is drawn meets all three marginals up to sampling error."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(6000):
+        source = "hot" if rng.random() < 0.4 else f"s{rng.randrange(4)}"
+        t = prose(rng, 30) if rng.random() < 0.9 else " | ".join(prose(rng, 1) for _ in range(30))
+        rows.append((i, t * (1 if rng.random() < 0.8 else 4), "en" if rng.random() < 0.7 else "de", source, 1))
+    docs = table(spark, rows)
+    out = mixing.mix(docs).toPandas()
+    drawn = out[out.mix_kept]
+    before, after, tokens = {}, {}, drawn.mix_tokens.sum()
+    for axis in ("source", "lang", "mix_topic"):
+        held = out.groupby(axis).mix_tokens.sum() ** mixing.ALPHA
+        for value, share in (held / held.sum()).items():
+            before[axis, value] = out[out[axis] == value].mix_tokens.sum() / out.mix_tokens.sum()
+            after[axis, value] = (drawn[drawn[axis] == value].mix_tokens.sum() / tokens, share)
+    assert all(got == pytest.approx(share, rel=0.15, abs=0.01) for got, share in after.values())
+    assert after["source", "hot"][1] < before["source", "hot"] - 0.03 and len(drawn) > 0.5 * len(out)
+
+
+def test_topics_from_a_lexicon(spark):
+    docs = table(spark, [(1, "A river, the River", "en", "s", 1), (2, "paper and light", "en", "s", 1), (3, None, "en", "s", 1)])
+    lexicon = {"nature": ["river", "stone"], "office": ["paper", "light"]}
+    assert {r.doc_id: r.mix_topic for r in mixing.mix(docs, lexicon=lexicon).collect()} == {1: "nature", 2: "office", 3: "other"}
+
+
 def spans_by_hand(text):
     found = []
     for rank, rule in enumerate(secrets.RULES):
