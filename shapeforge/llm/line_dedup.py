@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, free_name, small_side
 
 #: Stripped at both ends of a line: space and the characters 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -57,17 +57,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     ).select("i", "t", "p", "k.a", "k.b")
     # rows with one doc_id and one text have the same lines, so their positions may be gathered together
     gone = lines.join(frequent, ["a", "b"], "left_semi").groupBy("i", "t").agg(F.collect_set("p").alias("gone"))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    held = held.select("row", F.col(f"row.`{id_col}`").alias("i0"), mark(F.col(f"row.`{text_col}`")).alias("t0"))
+    row = free_name(docs.columns)
+    field = lambda c: F.col(f"{row}.`{c}`")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    held = held.select(row, field(id_col).alias("i0"), mark(field(text_col)).alias("t0"))
     joined = held.join(gone, F.col("i0").eqNullSafe(F.col("i")) & (F.col("t0") == F.col("t")), "left")
-    parts = split_lines(F.col(f"row.`{text_col}`"))
+    parts = split_lines(field(text_col))
     keep = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))).otherwise(
+    text = F.when(F.col("gone").isNull(), F.coalesce(field(text_col), F.lit(""))).otherwise(
         F.array_join(F.transform(keep, lambda p: F.get(parts, p)), "\n")
     )
     new = {out, "n_lines", "n_dropped"}
     return joined.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new],
+        *[field(c).alias(c) for c in docs.columns if c not in new],
         F.size(parts).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
         text.alias(out),

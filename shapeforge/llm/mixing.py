@@ -21,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, small_side, store
+from .common import cut, discard, free_name, small_side, store
 
 NONE = "(none)"
 AXES = ("source", "lang", "topic")
@@ -125,11 +125,11 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, alpha: float = ALPHA,
     by_cell = small_side(cut(raked.select(*[F.col(c).alias(f"c_{c}") for c in AXES], want.alias("p"))))
     new = ("mix_topic", "mix_tokens", "mix_probability", "mix_kept")
     # a row travels as one struct, so its columns may have any names
-    own = [c for c in docs.columns if c not in new]
+    own, row = [c for c in docs.columns if c not in new], free_name(docs.columns)
     axes = [c.alias(f"c_{name}") for c, name in zip(_axes(docs, text_col, lexicon), AXES, strict=True)]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *axes, token_count(F.col(text_col)).alias("n"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias(row), *axes, token_count(F.col(text_col)).alias("n"))
     joined = held.join(by_cell, [f"c_{c}" for c in AXES], "left")
     return joined.select(
-        *[F.col(f"row.`{c}`").alias(c) for c in own], F.col("c_topic").alias("mix_topic"), F.col("n").alias("mix_tokens"),
-        F.col("p").alias("mix_probability"), (uniform(F.col(f"row.`{id_col}`")) < F.col("p")).alias("mix_kept"),
+        *[F.col(f"{row}.`{c}`").alias(c) for c in own], F.col("c_topic").alias("mix_topic"), F.col("n").alias("mix_tokens"),
+        F.col("p").alias("mix_probability"), (uniform(F.col(f"{row}.`{id_col}`")) < F.col("p")).alias("mix_kept"),
     )

@@ -19,7 +19,7 @@ def prose(rng, n):
     return " ".join(rng.choice(WORDS) + rng.choice(["", "", "s", "ed", str(rng.randrange(50))]) for _ in range(n))
 
 
-def table(spark, rows, extra="gone int, i long, t long, p double, id string"):
+def table(spark, rows, extra="gone int, i long, t long, p double, id string, row string, n long, weight double"):
     """documents with columns whose names operators might use themselves."""
     schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
     k = len(extra.split(","))
