@@ -2,17 +2,18 @@
 
 A vector is coded as the sum of one full-dimensional codeword from each of several codebooks. The codebooks are fitted on
 residuals of a bounded sample; codes are found by beam search, and the norm of the coded vector is stored, so that a
-query's distance to every coded vector is a sum of looked-up inner products plus that norm. The best of each tile are
-reranked with exact distances of the original vectors.
+query's distance to every coded vector is a sum of looked-up inner products plus that norm. The best of all are reranked
+with exact distances of the original vectors.
 
-Queries and coded vectors meet in tiles: query blocks of ``QUERY_TILE`` against shards of ``SHARD`` vectors, both cut by
-hash, one task per pair of blocks. Each pair of blocks gives ``k`` rows a query, which are merged by rank. Tiles are
-bounded, whatever the size of the tables.
+Queries and codes meet in tiles: query blocks of ``QUERY_TILE`` against shards of ``SHARD`` codes, both cut by hash, one task
+per pair of blocks, so a tile is bounded whatever the size of the tables. Only ids, codes and norms go through the tiles; the
+shortlists of the tiles are merged by estimate to one of ``shortlist_size`` a query, and original vectors are joined to that.
 
 Defined results: null, empty, zero vectors and those with null or non-finite components take no part; vectors of another
 length than the most usual one of the sample take no part; where an id is repeated its rows are candidates of their own
-and the nearest stands for the id; equal distances go to the smaller id, also in the shortlist; fewer candidates than
-``k`` give fewer rows; an empty table gives an empty result.
+and the nearest stands for the id, and the least of its vectors is the query; equal distances go to the smaller id, also in
+the shortlist; fewer candidates than ``k`` give fewer rows; other columns, whatever their names, are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,17 +28,26 @@ from pyspark.sql import functions as F
 from .common import cut
 from .vectors import matrix, usable_vectors
 
-BOOKS, WORDS, BEAM = 8, 256, 4
+BOOKS, WORDS, BEAM = 16, 256, 4
 #: The codebooks are fitted on at most so many vectors, the first by hash of the id.
 SAMPLE = 8192
 SHARD, QUERY_TILE = 8192, 1024
-#: Candidates of each tile that are reranked exactly.
-SHORTLIST = 1000
+#: Candidates of a query that are reranked exactly: this share of all vectors, but this many at most.
+SHARE, SHORTLIST = 0.05, 400
+
+
+def shortlist_size(n: int, k: int) -> int:
+    """Four times what is asked for at least: 40 of 500 vectors, 400 of 8,000 and more."""
+    return max(4 * k, min(SHORTLIST, int(SHARE * n)))
 
 
 @dataclass
 class Codebooks:
     words: np.ndarray  # books x words x dims, float32
+    scale: float = 1.0  # vectors are divided by it before coding, so that squares stay finite
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x / self.scale, -1e15, 1e15).astype(np.float32)
 
     def __post_init__(self):
         m, k, d = self.words.shape
@@ -86,12 +96,13 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 11) -> Codebooks:
     """Residual k-means, one codebook after the other."""
     rng = np.random.default_rng(seed)
-    rest, out = x.astype(np.float32), []
+    scale = float(np.median(np.abs(x).max(1))) or 1.0
+    rest, out = np.clip(x / scale, -1e3, 1e3).astype(np.float32), []
     for _ in range(books):
         c = _k_means(rest, words, rng)
         out.append(c)
         rest = rest - c[((c * c).sum(1) - 2 * rest @ c.T).argmin(1)]
-    return Codebooks(np.stack(out))
+    return Codebooks(np.stack(out), scale)
 
 
 def sample_fit(vectors: DataFrame, sample: int = SAMPLE, **options) -> Codebooks | None:
@@ -100,11 +111,11 @@ def sample_fit(vectors: DataFrame, sample: int = SAMPLE, **options) -> Codebooks
     if not len(rows):
         return None
     sizes = rows.map(len)
-    return fit(matrix(rows[sizes == sizes.mode().max()], np.float32), **options)
+    return fit(matrix(rows[sizes == sizes.mode().max()]), **options)
 
 
 def encode(vectors: DataFrame, books: Codebooks, beam: int = BEAM) -> DataFrame:
-    """``vec_id, v, code binary, norm float``: the index, one row per vector."""
+    """``vec_id, code binary, norm float``: the index, one row per vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(books)  # books x words x dims numbers
     dims = books.words.shape[2]
 
@@ -113,61 +124,69 @@ def encode(vectors: DataFrame, books: Codebooks, beam: int = BEAM) -> DataFrame:
         for pdf in it:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
-                codes, norms = b.encode(matrix(part["v"], np.float32), beam)
-                yield part.assign(code=[c.tobytes() for c in codes], norm=norms)
+                codes, norms = b.encode(b.scaled(matrix(part["v"])), beam)
+                yield pd.DataFrame({"vec_id": part["vec_id"], "code": [c.tobytes() for c in codes], "norm": norms})
+
+    return vectors.where(F.size("v") == dims).mapInPandas(run, "vec_id long, code binary, norm float")
 
-    return vectors.where(F.size("v") == dims).mapInPandas(run, f"vec_id long, v {dict(vectors.dtypes)['v']}, code binary, norm float")
 
+_NEAR = "query_id long, vec_id long, estimate double"
 
-def _tile(books: Codebooks, k: int, shortlist: int, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    out = {"query_id": [], "vec_id": [], "score": []}
+
+def _tile(books: Codebooks, take: int, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    """The ``take`` codes of a shard that are nearest to each query by look-up tables, ties to smaller ids."""
     if len(q) and len(c):
         c = c.sort_values("vec_id", kind="stable")
         ids, norms = c["vec_id"].to_numpy(), c["norm"].to_numpy(np.float32)
-        codes = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1).astype(np.int64)
-        exact = matrix(c["v"])
         m, words, d = books.words.shape
+        slots = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1).astype(np.int64) + np.arange(m) * words
         flat = books.words.reshape(m * words, d)
-        slots = codes + np.arange(m) * words
-        queries = matrix(q["v"])
-        for query, x in zip(q["vec_id"].to_numpy(), queries, strict=True):
-            table = (flat @ x.astype(np.float32)).astype(np.float32)  # the look-up table: <query, codeword>
+        out = []
+        for query, x in zip(q["vec_id"].to_numpy(), books.scaled(matrix(q["v"])), strict=True):
+            table = flat @ x  # the look-up table: <query, codeword>
             near = norms - 2 * table[slots].sum(1)
-            take = min(shortlist + 1, len(near))  # the query itself may be among them
-            bound = np.partition(near, take - 1)[take - 1]
-            some = np.flatnonzero(near <= bound)
-            if len(some) > take:  # equal estimates at the bound: smaller ids first
-                some = some[np.argsort(near[some], kind="stable")[:take]]
+            near = np.where(ids == query, np.inf, near)
+            some = np.flatnonzero(near <= np.partition(near, min(take, len(near)) - 1)[min(take, len(near)) - 1])
+            some = some[np.argsort(near[some], kind="stable")][:take]
             some = some[ids[some] != query]
-            far = np.sqrt(((exact[some] - x) ** 2).sum(1))
-            best = np.lexsort((ids[some], far))[:k]
-            out["query_id"].append(np.full(len(best), query))
-            out["vec_id"].append(ids[some][best])
-            out["score"].append(far[best])
-    cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-    return pd.DataFrame({"query_id": cat(out["query_id"], np.int64), "vec_id": cat(out["vec_id"], np.int64), "score": cat(out["score"], np.float64)})
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[some], "estimate": near[some].astype(float)}))
+        return pd.concat(out)
+    return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "estimate": np.zeros(0)})
+
+
+def _distances(it):
+    for pdf in it:
+        for at in range(0, len(pdf), 4096):
+            part = pdf.iloc[at : at + 4096]
+            far = np.sqrt(((matrix(part["v"]) - matrix(part["q"])) ** 2).sum(1)) if len(part) else np.zeros(0)
+            yield pd.DataFrame({"query_id": part["query_id"], "vec_id": part["vec_id"], "score": far})
 
 
-def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shortlist: int = SHORTLIST, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", shortlist: int | None = None, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row for which ``is_query`` (over ``vec_id``) holds."""
     spark = df.sparkSession
     vectors = usable_vectors(df, id_col, vec_col)
     books = sample_fit(vectors, sample)
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    vectors = vectors.where(F.size("v") == books.words.shape[2])
     index = cut(encode(vectors, books))
-    n = index.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
-    shards, tiles = max(1, -(-n[0] // shard)), max(1, -(-n[1] // QUERY_TILE))
+    asked = cut(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
+    n, n_asked = index.count(), asked.count()
+    take = shortlist_size(n, k) if shortlist is None else shortlist
+    shards, tiles = max(1, -(-n // shard)), max(1, -(-n_asked // QUERY_TILE))
     part = lambda seed, of: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    queries = index.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", part(1, tiles).alias("tile"), every(shards).alias("shard"))
     shared = spark.sparkContext.broadcast(books)
-    stored = index.select("vec_id", "v", "code", "norm", part(2, shards).alias("shard"), every(tiles).alias("tile"))
-    found = (
-        queries.groupBy("tile", "shard")
-        .cogroup(stored.groupBy("tile", "shard"))
-        .applyInPandas(lambda q, c: _tile(shared.value, k, shortlist, q, c), "query_id long, vec_id long, score double")
+    queries = asked.select("vec_id", "v", part(1, tiles).alias("tile"), every(shards).alias("shard"))
+    stored = index.select("vec_id", "code", "norm", part(2, shards).alias("shard"), every(tiles).alias("tile"))
+    near = (
+        queries.groupBy("tile", "shard").cogroup(stored.groupBy("tile", "shard")).applyInPandas(lambda q, c: _tile(shared.value, take, q, c), _NEAR)
     )
+    first = Window.partitionBy("query_id").orderBy("estimate", "vec_id")
+    merged = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= take).select("query_id", "vec_id").distinct()
+    both = merged.join(vectors, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    found = both.select("query_id", "vec_id", "v", "q").mapInPandas(_distances, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

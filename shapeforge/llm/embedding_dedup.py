@@ -5,14 +5,17 @@ bucket, in several tables. Vectors that meet in a bucket of any table are checke
 precision. The number of projections follows the number of vectors (buckets stay small), and the number of tables
 follows from it so that a pair at the threshold is met with probability ``recall``, closer pairs more surely.
 
-Equal vectors are one class with a count, so copies cost one row. A bucket's pairs never become rows: buckets are cut
-into blocks, and a task checks a block against a block with one matrix product. It counts each pair in the first table
-in which the two meet (their keys in earlier tables are at hand), and gives back a count per vector and a spanning
-forest of the links, both linear in the block.
+Equal vectors are one class with a count, so copies cost one row. A bucket's pairs never become rows. Buckets of up to
+``BLOCK`` vectors are dealt to cells of about ``CELL`` rows, each vector once a table, and a cell checks the pairs of all its
+buckets together; only larger buckets are cut into blocks, and checked block against block with one matrix product (their
+vectors are near each other, so most of these pairs are links that have to be counted). Each pair is counted in the first
+table in which the two meet (their keys in all tables are at hand). A task gives back a count per vector and stars that
+connect what its links connect, both linear in its rows.
 
 Defined results: null, empty, zero vectors and those with null or non-finite components link with nothing and are kept;
 vectors of different lengths don't link; repeated ids are one vector each for the counts but share a row (the largest
-count); an empty table gives an empty result.
+count and the smallest component); rows without an id are one row without links; other columns, whatever their names, are
+not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .vectors import matrix, usable_vectors
 WIDTH = 2.0
 #: Rows of a block; a task checks one block against another.
 BLOCK = 1024
+#: Rows of a cell of smaller buckets, about; pairs that are checked at once.
+CELL, TOGETHER = 4096, 1 << 16
 
 
 def _meet(distance: float, width: float = WIDTH) -> float:
@@ -110,6 +115,60 @@ def _check(threshold: float, block: pa.Table) -> pa.Table:
     }, schema=_FOUND)
 
 
+def _parts(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest row number that pairs connect each of ``n`` rows to."""
+    top = np.arange(n)
+    while True:
+        new = top.copy()
+        np.minimum.at(new, a, top[b])
+        np.minimum.at(new, b, top[a])
+        new = new[new]
+        if (new == top).all():
+            return top
+        top = new
+
+
+def _check_cell(threshold: float, cell: pa.Table) -> pa.Table:
+    """Links within each bucket of a cell."""
+    cell = cell.combine_chunks()
+    size = np.diff(cell.column("x").chunk(0).offsets.to_numpy())
+    if (size != size[0]).any():  # each length by itself
+        return pa.concat_tables([_check_cell(threshold, cell.filter(pa.array(size == d))) for d in np.unique(size)])
+    tab, key, rep, n = (cell.column(c).to_numpy() for c in ("tab", "key", "rep", "n"))
+    order = np.lexsort((rep, key, tab))
+    tab, key, rep, n = tab[order], key[order], rep[order], n[order]
+    u = _unit(cell.column("x").chunk(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(size), -1))[order]
+    keys = np.frombuffer(b"".join(cell.column("keys").to_pylist()), np.int32).reshape(len(size), -1)[order]
+    starts = np.flatnonzero(np.concatenate(([True], (tab[1:] != tab[:-1]) | (key[1:] != key[:-1]))))
+    sizes = np.diff(np.concatenate((starts, [len(tab)])))
+    found = [np.zeros((2, 0), np.int64)]
+    for s in np.unique(sizes[sizes > 1]):  # the buckets of one size together
+        i, j = np.triu_indices(s, 1)
+        first, step = starts[sizes == s], max(1, TOGETHER // len(i))
+        for at in range(0, len(first), step):
+            some = first[at : at + step, None]
+            a, b = (some + i).ravel(), (some + j).ravel()
+            for k in range(0, len(a), TOGETHER):
+                p, q = a[k : k + TOGETHER], b[k : k + TOGETHER]
+                hit = np.einsum("ij,ij->i", u[p], u[q]) >= threshold
+                p, q = p[hit], q[hit]
+                # pairs that met in an earlier table were counted there
+                new = (keys[p] == keys[q]).argmax(1) == tab[p]
+                found.append(np.stack((p[new], q[new])))
+    a, b = np.concatenate(found, axis=1)
+    if not len(a):
+        return _FOUND.empty_table()
+    # one vector may stand in several buckets of the cell: its rows are one node
+    ids, node = np.unique(rep, return_inverse=True)
+    counts = np.bincount(node[a], n[b], len(ids)) + np.bincount(node[b], n[a], len(ids))
+    top = _parts(node[a], node[b], len(ids))
+    told, joined = np.flatnonzero(counts), np.flatnonzero(top != np.arange(len(ids)))
+    return pa.table({
+        "rep": np.concatenate((ids[told], ids[joined])), "other": np.concatenate((np.full(len(told), -1), ids[top[joined]])),
+        "n": np.concatenate((counts[told].astype(np.int64), np.zeros(len(joined), np.int64))), "edge": np.arange(len(told) + len(joined)) >= len(told),
+    }, schema=_FOUND)
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95, seed: int = 5) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row's id."""
     spark = df.sparkSession
@@ -141,13 +200,20 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id
     met = hashed.select("rep", F.posexplode("key").alias("tab", "key"))
     sizes = met.groupBy("tab", "key").agg(F.count("*").alias("size")).where("size > 1")
     sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")))
-    members = met.join(sizes, ["tab", "key"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # a block meets itself and every other block of its bucket once
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "tab", "key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "rep"
-    )
-    pairs = pairs.join(hashed.select("rep", "n", "x", "keys"), "rep")
-    found = cut(pairs.groupBy("tab", "key", "b0", "b1").applyInArrow(lambda block: _check(threshold, block), "rep long, other long, n long, edge boolean"))
+    members, vectors_of = met.join(sizes, ["tab", "key"]), hashed.select("rep", "n", "x", "keys")
+    total = sizes.where("blocks = 1").agg(F.sum("size")).first()[0] or 0
+    dealt = members.where("blocks = 1").select("tab", "key", "rep", F.pmod(F.xxhash64("tab", "key"), F.lit(max(1, -(-total // CELL)))).alias("cell"))
+    schema = "rep long, other long, n long, edge boolean"
+    found = dealt.join(vectors_of, "rep").groupBy("cell").applyInArrow(lambda cell: _check_cell(threshold, cell), schema)
+    large = sizes.where("blocks > 1")
+    if large.limit(1).count():
+        # a block meets itself and every other block of its bucket once
+        cuts = members.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        pairs = cuts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "tab", "key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "rep"
+        )
+        found = found.unionByName(pairs.join(vectors_of, "rep").groupBy("tab", "key", "b0", "b1").applyInArrow(lambda block: _check(threshold, block), schema))
+    found = cut(found)
     degree = found.where("not edge").groupBy("rep").agg(F.sum("n").alias("d"))
     groups = connected_components(found.where("edge"), "rep", "other").select(F.col("node").alias("rep"), "component")
     by_class = classes.join(degree, "rep", "left").join(groups, "rep", "left")

@@ -1,18 +1,19 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-The blocks of a text are its parts between blank lines and, for each template, all runs of ``SPREAD`` times as many
-words as the template has, at every position and across blank lines, so that a template spread over paragraphs is met
-too. A block meets a template when it holds at least ``threshold`` of the template's distinct words. Tokens are ordered
-by how many documents of the whole corpus hold them, rarest first; a block can only meet a template if it holds one of
-the first ``size - ceil(threshold * size) + 1`` of its tokens (prefix filter), has at least ``ceil(threshold * size)``
-distinct words (length filter), and the tokens left from its first met position suffice (positional filter). The whole
-text holds all that its blocks hold, so only templates that it meets are looked for in them, and there counted exactly:
-no block over the threshold is missed.
+The blocks of a text are, for each template, all runs of ``SPREAD`` times as many words as the template has, at every
+position and across blank lines: a template spread over paragraphs is met, its words scattered over a long text are not. A
+block meets a template when it holds at least ``threshold`` of the template's distinct words. Tokens are ordered by how many
+documents of the whole corpus hold them, rarest first; a block can only meet a template if it holds one of the first
+``size - ceil(threshold * size) + 1`` of its tokens (prefix filter), has at least ``ceil(threshold * size)`` distinct words and
+at most the run's words (length filter), and the tokens left from its first met position suffice (positional filter). The
+whole text holds all that its blocks hold, so only templates that it meets are looked for in them, and there counted
+exactly: no block over the threshold is missed.
 
 Places of the base phrases (their words standing consecutively) are found besides, on the same words.
 
 Defined results: null and empty texts have no words and no labels; a block without words meets nothing; repeated rows
-get the same result; an empty table gives an empty result.
+get the same result; a template without words is never met; texts of any length are taken whole; other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ _UPPER = bytes(range(65, 91))
 _TO_LOWER = bytes.maketrans(_UPPER, bytes(range(97, 123)))
 _SEP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]"
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_BREAK = re.compile(rb"\n[ \t\r]*\n")
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[0:48] = _IS_WORD[58:97] = _IS_WORD[123:128] = False
 
@@ -113,11 +113,6 @@ class PrefixIndex:
         return found
 
 
-def _blocks(words_of, low: bytes):
-    for part in _BREAK.split(low):
-        yield words_of(part)
-
-
 def _densest(words: list[bytes], own: frozenset[bytes], width: int) -> int:
     """The most distinct words of ``own`` that stand in any ``width`` consecutive words."""
     hits: deque = deque()
@@ -139,14 +134,10 @@ def _densest(words: list[bytes], own: frozenset[bytes], width: int) -> int:
 def _meets(low: bytes, index: PrefixIndex) -> dict[str, float]:
     """The largest containment of each template in a block of the text, where it is over the threshold."""
     words = _WORD.findall(low)
-    whole = index.meet(set(words))
-    if not whole or not _BREAK.search(low):
-        return whole
-    parts = [set(part) for part in _blocks(_WORD.findall, low)]
     found = {}
-    for label in whole:
+    for label in index.meet(set(words)):
         own = index.tokens[label]
-        n = max(_densest(words, own, index.widths[label]), *(len(own & part) for part in parts))
+        n = _densest(words, own, index.widths[label])
         if n >= max(1, math.ceil(index.threshold * len(own) - 1e-9)):
             found[label] = n / len(own)
     return found
@@ -173,13 +164,21 @@ def scan_text(text: str | None, index: PrefixIndex, phrases) -> tuple:
     )
 
 
+def templates_of(table: DataFrame, label_col: str = "label", text_col: str = "text", limit: int = 10_000) -> dict[str, str]:
+    """Templates from a table of labels and texts. The table goes to every task, so more than ``limit`` rows are refused."""
+    rows = table.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label is not null and text is not null").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} templates")
+    return {r["label"]: r["text"] for r in rows}
+
+
 def scan_licenses(docs: DataFrame, threshold: float = 0.8, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every row.
 
     ``score`` is the largest containment met, 1 where a base phrase stands, else 0.
     """
     templates = TEMPLATES if templates is None else templates
-    tokens = template_tokens(templates)
+    tokens = {label: own for label, own in template_tokens(templates).items() if own}
     widths = {label: SPREAD * len(_WORD.findall(lowered(t))) for label, t in templates.items()}
     index = PrefixIndex(tokens, token_order(docs, tokens, text_col), threshold, widths)
     shared = docs.sparkSession.sparkContext.broadcast((index, _phrases(BASE_PHRASES if phrases is None else phrases)))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +136,7 @@ class Coder:
         self._automaton = None
         self.cut = self.parting()
         self.fits: dict[int, bool] = {}
+        self.runs: dict[int, array] = {}
         self.known = Known(self)
         self.newline = self.cut is not None and not any("\n" in p for p in self.ids)
 
@@ -243,8 +245,34 @@ class Coder:
         return ids
 
     def marks(self, n: int) -> array:
-        """A run of blank marks: entries of one rank, so the order of merging decides; merged by definition."""
-        return array("i", [self.ids[t] for t in self.merged(MARK * n)])
+        """A run of blank marks: entries of one rank, so the order of merging decides. Merged by definition, with the pairs in a
+        heap by rank and place, so that the work is in proportion to the run."""
+        known = self.runs.get(n)
+        if known is not None:
+            return known
+        after, before, size = [*range(1, n + 1)], [*range(-1, n - 1)], [1] * n
+        heap: list[tuple[float, int, int]] = []
+
+        def push(k: int) -> None:
+            if k >= 0 and after[k] < n and (s := self.score.get(MARK * (size[k] + size[after[k]]))) is not None:
+                heappush(heap, (-s, k, size[k] + size[after[k]]))
+
+        for k in range(n):
+            push(k)
+        while heap:
+            _, k, whole = heappop(heap)
+            if not size[k] or after[k] >= n or size[k] + size[after[k]] != whole:
+                continue  # one of the pair has been merged meanwhile
+            gone = after[k]
+            size[k], size[gone], after[k] = whole, 0, after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+            push(before[k])
+            push(k)
+        ids = array("i", [self.ids[MARK * x] for x in size if x])
+        if len(self.runs) < 1000:
+            self.runs[n] = ids
+        return ids
 
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids as 32-bit integers."""

@@ -5,8 +5,10 @@ Every historical version of a file is addressed by the SHA-256 of its whole text
 back to all paths and versions that hold the blob.
 
 Defined results: a null text is the empty text; copies share one scan; a blob without findings is in the ledger all
-the same, so it isn't scanned again; a changed rule version makes every blob unseen for that rule alone; an empty table
-gives an empty result. Spans are code points, end exclusive.
+the same, so it isn't scanned again; a changed rule version makes every blob unseen for that rule alone; other columns,
+whatever their names, are not read; texts of any length and any number of matches are taken whole, in time that grows in
+proportion; spans that begin together stand in the order of the rules; an empty table gives an empty result. Spans are code
+points, end exclusive.
 """
 
 from __future__ import annotations
@@ -45,31 +47,55 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
+#: Matches are placed in blocks of so many, so that the work stays in proportion to them.
+_BLOCK = 256
+_PLACED = "array<struct<start:int,end:int,n:int>>"
+_SPANS = "array<struct<start:int,kind:string,end:int>>"
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _placed(steps: Column) -> Column:
+    """(start, end, n) of matches, from the length of the gap before each and its own: sums within blocks, then over blocks."""
+    none = F.array().cast(_PLACED)
+
+    def step(acc, x):
+        start = acc["at"] + x["gap"]
+        one = F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["n"].alias("n"))
+        return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def block(k):
+        return F.aggregate(F.slice(steps, k * _BLOCK + 1, F.lit(_BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def join(acc, b):
+        moved = F.transform(b["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["n"].alias("n")))
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int")), block)
+    return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACED}>").alias("out")), join, lambda acc: acc["out"]))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Array of (start, kind, end) of one rule's matches.
 
-    The matches come in order; a match's place is the first place of its text at or after the end of the one before:
-    were there an earlier one, the pattern would have matched there.
+    The matches come in order, and so do the pieces between them: lengths add up to places.
     """
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    if rule.group:
-        value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-        found = F.zip_with(whole, value, lambda m, v: F.struct(m.alias("m"), F.char_length(v).alias("n")))
-    else:
-        found = F.transform(whole, lambda m: F.struct(m.alias("m"), F.char_length(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,n:int>>").alias("out"))
+    pattern = F.lit(rule.pattern)
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
 
-    def step(acc, x):
-        begin = F.call_function("locate", x["m"], text, acc["at"] + 1) - 1
-        end = begin + F.char_length(x["m"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["n"].alias("n"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def found(ms):
+        values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else ms
+        sized = F.zip_with(ms, values, lambda m, v: F.struct(F.char_length(m).alias("size"), F.char_length(v).alias("n")))
+        gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(ms))
+        steps = F.zip_with(gaps, sized, lambda g, x: F.struct(F.char_length(g).alias("gap"), x["size"].alias("size"), x["n"].alias("n")))
+        good = F.filter(_let(steps, _placed), lambda x: x["n"] >= rule.least)
+        spans = F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rule.kind).alias("kind"), x["end"].alias("end")))
+        return F.when(F.size(ms) == 0, F.array().cast(_SPANS)).otherwise(spans)
 
-    placed = F.aggregate(found, start, step, lambda acc: acc["out"])
-    good = F.filter(placed, lambda x: x["n"] >= rule.least)
-    return F.when(F.size(whole) == 0, F.array().cast("array<struct<start:int,kind:string,end:int>>")).otherwise(
-        F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rule.kind).alias("kind"), x["end"].alias("end")))
-    )
+    return _let(whole, found)
 
 
 def blobs_of(versions: DataFrame, text_col: str = "text") -> DataFrame:
@@ -87,7 +113,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
         seen = ledger.groupBy("blob_id").agg(F.collect_set(F.concat_ws("@", "rule", F.col("rule_version").cast("string"))).alias("seen"))
         work = blobs.join(seen, "blob_id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
         work = work.where(F.size(F.array_except(F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules]), F.col("seen"))) > 0)
-    none = F.lit(None).cast("array<struct<start:int,kind:string,end:int>>")
+    none = F.lit(None).cast(_SPANS)
     rows = F.array(*[
         F.struct(*[F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version"), F.when(F.array_contains("seen", f"{r.kind}@{r.version}"), none).otherwise(spans_of(F.col("text"), r)).alias("spans")])
         for r in rules

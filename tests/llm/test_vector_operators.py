@@ -1,6 +1,7 @@
 """Operators on embeddings against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shapeforge.llm import additive, embedding_dedup
@@ -9,7 +10,9 @@ from shapeforge.llm.common import connected_components
 
 def vectors(spark, x, more=()):
     rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)] + list(more)
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    # columns whose names the operators might use themselves
+    clash = [F.lit(None).cast("long").alias(c) for c in ("v", "code", "rep", "score", "x", "n", "tile")]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").select("*", *clash)
 
 
 ODD = [(9000, None, 1), (9001, [0.0] * 16, 1), (9002, [1.0, None] + [0.0] * 14, 1), (9003, [float("nan")] + [1.0] * 15, 1), (9004, [float("inf")] + [1.0] * 15, 1), (9005, [], 1), (None, [1.0] * 16, 1)]
@@ -25,7 +28,7 @@ def clustered(n, seed=1):
 
 def test_search_recall_and_scores(spark):
     x = clustered(1500)
-    got = additive.search(vectors(spark, x, ODD), F.col("vec_id") % 50 == 0, k=10, shard=500, shortlist=60).collect()
+    got = additive.search(vectors(spark, x, ODD), F.col("vec_id") % 50 == 0, k=10, shard=500).collect()
     d = x.astype(np.float64)
     hits = total = 0
     by = {}
@@ -46,6 +49,25 @@ def test_search_recall_and_scores(spark):
     assert [r.vec_id for r in by[0]][:10] == list(range(750, 760))
 
 
+def test_search_where_the_shortlist_is_a_small_share(spark):
+    """12,000 vectors, 400 of which are reranked for a query: 3 %, whatever the tiles."""
+    x = np.random.default_rng(3).normal(size=(12_000, 24)).astype(np.float32)
+    assert additive.shortlist_size(len(x), 10) == 400
+    got = additive.search(vectors(spark, x), F.col("vec_id") % 400 == 0, k=10).collect()
+    d, hits = x.astype(np.float64), 0
+    for q in range(0, 12_000, 400):
+        far = ((d - d[q]) ** 2).sum(1)
+        far[q] = np.inf
+        hits += len(set(np.argsort(far)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits / 300 >= 0.9
+
+
+def test_search_repeated_ids_and_large_numbers(spark):
+    more = [(1, [9.0] * 16, 1), (1, [9.0] * 16, 1), (2, [1e30] * 16, 1)]
+    got = additive.search(vectors(spark, clustered(60), more), F.col("vec_id") == 1, k=70).collect()
+    assert len({r.vec_id for r in got}) == len(got) == 59 and [r for r in got if r.vec_id == 2][0].score < 100
+
+
 def test_search_small_and_empty(spark):
     few = vectors(spark, clustered(30)[:4], ODD)
     got = additive.search(few, F.col("vec_id") == 0, k=10).collect()
@@ -53,7 +75,10 @@ def test_search_small_and_empty(spark):
     assert additive.search(few.limit(0), F.col("vec_id") == 0).count() == 0
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("block, cell", [(1024, 4096), (16, 64)])
+def test_near_duplicates(spark, monkeypatch, block, cell):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)
     x = clustered(1200, 2)
     scaled = [(5000, [float(3 * c) for c in x[7]], 1)]
     got = {r.vec_id: r for r in embedding_dedup.near_duplicates(vectors(spark, x, ODD + scaled)).collect()}
