@@ -25,8 +25,9 @@ from .common import cut, discard, free_name, small_side, store
 
 NONE = "(none)"
 AXES = ("source", "lang", "topic")
-#: Targets, where none are given: present shares to this power.
-ALPHA = 0.85
+#: Targets, where none are given: present shares to this power, but no more than so many times the present share (a value that
+#: is to grow much would thin all others, since nothing is drawn twice).
+ALPHA, BOOST = 0.7, 1.5
 #: Passes over the three axes, and the share of the largest feasible total that is aimed at.
 ITERATIONS, SLACK = 8, 0.9
 
@@ -74,9 +75,12 @@ def _by_axis(cells: DataFrame, measure: str = "tokens") -> DataFrame:
     return cells.select(F.explode(pairs).alias("x"), measure).groupBy("x.axis", "x.value").agg(F.sum(measure).alias("n"))
 
 
-def tempered_targets(cells: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """``axis, value, share``: each marginal's present token shares to the power ``alpha``."""
-    return _by_axis(cells).where("n > 0").select("axis", "value", F.pow(F.col("n").cast("double"), F.lit(float(alpha))).alias("share"))
+def tempered_targets(cells: DataFrame, alpha: float = ALPHA, boost: float = BOOST) -> DataFrame:
+    """``axis, value, share``: each marginal's present token shares to the power ``alpha``, at most ``boost`` times the share."""
+    held = _by_axis(cells).where("n > 0").withColumn("x", F.pow(F.col("n").cast("double"), F.lit(float(alpha))))
+    whole = held.groupBy("axis").agg(F.sum("n").alias("all_n"), F.sum("x").alias("all_x"))
+    share = F.least(F.col("x") / F.col("all_x"), F.lit(float(boost)) * F.col("n") / F.col("all_n"))
+    return held.join(whole, "axis").select("axis", "value", share.alias("share"))
 
 
 def given_targets(spark, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:

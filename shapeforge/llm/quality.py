@@ -199,8 +199,9 @@ def _picker(features: DataFrame, labelled: DataFrame, per_round: int):
 
         def score(it):
             for pdf in it:
-                if len(pdf):
-                    yield pd.DataFrame({"i": pdf["i"], "text": shared.value["text"].raw(_views(pdf["t"])), "meta": shared.value["meta"].raw(_views(pdf["m"]))})
+                for at in range(0, len(pdf), 1024):
+                    part = pdf.iloc[at : at + 1024]
+                    yield pd.DataFrame({"i": part["i"], "text": shared.value["text"].raw(_views(part["t"])), "meta": shared.value["meta"].raw(_views(part["m"]))})
 
         scored, path = store(features.mapInPandas(score, f"i {kind}, text double, meta double").join(labelled.select("i"), "i", "left_anti"))
         chosen = None

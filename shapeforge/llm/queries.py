@@ -123,7 +123,8 @@ def _mix_sql(alpha: float = mixing.ALPHA, iterations: int = mixing.ITERATIONS) -
     ]
     for a in "slp":
         ctes.append(f"f{a} AS (SELECT {a}, sum(tokens) AS held, pow(sum(tokens), {alpha}) AS x FROM cells GROUP BY {a} HAVING sum(tokens) > 0)")
-        ctes.append(f"t{a} AS (SELECT {a}, held, x / sum(x) OVER () AS share FROM f{a})")
+        ctes.append(f"b{a} AS (SELECT {a}, held, least(x / sum(x) OVER (), {mixing.BOOST} * held / sum(held) OVER ()) AS y FROM f{a})")
+        ctes.append(f"t{a} AS (SELECT {a}, held, y / sum(y) OVER () AS share FROM b{a})")
     least = " UNION ALL ".join(f"SELECT held / share AS y FROM t{a}" for a in "slp")
     ctes.append(f"most AS (SELECT min(y) * {mixing.SLACK} AS total FROM ({least}))")
     ctes.append(

@@ -93,14 +93,14 @@ def test_drawn_documents_meet_the_targets(spark):
     docs = table(spark, rows)
     out = mixing.mix(docs).toPandas()
     drawn = out[out.mix_kept]
-    before, after, tokens = {}, {}, drawn.mix_tokens.sum()
+    before, after, tokens, cells = {}, {}, drawn.mix_tokens.sum(), mixing.cells_of(docs)
+    want = mixing.aims(cells, mixing.tempered_targets(cells)).toPandas().groupby("axis").apply(lambda x: dict(zip(x.value, x.share)), include_groups=False)
     for axis in ("source", "lang", "mix_topic"):
-        held = out.groupby(axis).mix_tokens.sum() ** mixing.ALPHA
-        for value, share in (held / held.sum()).items():
+        for value, share in want["topic" if axis == "mix_topic" else axis].items():
             before[axis, value] = out[out[axis] == value].mix_tokens.sum() / out.mix_tokens.sum()
             after[axis, value] = (drawn[drawn[axis] == value].mix_tokens.sum() / tokens, share)
     assert all(got == pytest.approx(share, rel=0.15, abs=0.01) for got, share in after.values())
-    assert after["source", "hot"][1] < before["source", "hot"] - 0.03 and len(drawn) > 0.5 * len(out)
+    assert after["source", "hot"][1] < before["source", "hot"] - 0.03 and len(drawn) > 0.45 * len(out)
 
 
 def test_topics_from_a_lexicon(spark):
@@ -373,10 +373,9 @@ def test_block_gives_a_forest_of_its_links():
         copy = list(rng.choice(words))
         copy[rng.randrange(len(copy))] = 999
         words.append(copy)
-    counts = np.zeros(order_minhash.COUNTS, np.int64)
-    block = pd.DataFrame({"doc": range(60), "words": [np.array(w, np.uint64).tobytes() for w in words], "pos": 0, "part": [i // 2 for i in range(60)]})
+    block = pd.DataFrame({"doc": range(60), "text": [" ".join(f"w{x}" for x in w) for w in words], "guest": False, "part": [i // 2 for i in range(60)]})
     for side in (block["doc"] * 0, block["doc"] % 2):
-        found = list(order_minhash._block_links(block.assign(side=side), 0.8, counts).itertuples(index=False, name=None))
+        found = list(order_minhash._block_links(block.assign(side=side), 0.8).itertuples(index=False, name=None))
         links = [(b, a) for a in range(60) for b in range(a) if (not side.any() or (a + b) % 2) and edit_distance(words[a], words[b]) <= int(0.2 * max(len(words[a]), len(words[b])) + 1e-9)]
 
         def parts(edges):
