@@ -113,3 +113,12 @@ def ancestor_paths(c: Column) -> Column:
     return F.when(n < 1, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/")))
     )
+
+
+def compared(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as the value ``a`` is less than, equal to or greater than ``b``: as numbers where both are numbers, else as dates and
+    times (UTC where no zone is given); null where they can't be compared."""
+    sign = lambda x, y: F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+    exact = sign(a.try_cast("decimal(38,12)"), b.try_cast("decimal(38,12)"))
+    number = a.try_cast("double").isNotNull() | b.try_cast("double").isNotNull()
+    return F.coalesce(exact, sign(a.try_cast("double"), b.try_cast("double")), F.when(~number, sign(a.try_cast("timestamp"), b.try_cast("timestamp"))))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import ancestor_paths, normalize_path, strip
+from ..functions.strings import ancestor_paths, compared, normalize_path, strip
 
 ROOT = "#root"
 #: A table of schema paths is broadcast up to so many rows.
@@ -81,11 +81,12 @@ def too_many_elements(typed: DataFrame, declarations: DataFrame) -> DataFrame:
 
 
 def order_violations(typed: DataFrame, declarations: DataFrame) -> DataFrame:
-    """CON4: a child that stands behind a sibling which the sequence puts after it."""
-    pos = declarations.where(F.col("choice_id").isNull()).select(F.col("owner").alias("parent_type"), F.col("name").alias("local_name"), "pos")
+    """CON4: a child that stands anywhere behind a sibling which the sequence puts after it; the members of a choice have the
+    choice's place. The sibling named is the last-placed one before it."""
+    pos = declarations.select(F.col("owner").alias("parent_type"), F.col("name").alias("local_name"), "pos")
     rows = typed.where("declared").join(pos, ["parent_type", "local_name"])
-    w = Window.partitionBy("doc_id", "parent_path").orderBy("seq")
-    rows = rows.withColumn("before", F.lag("pos").over(w)).withColumn("before_name", F.lag("local_name").over(w)).where("before > pos")
+    w = Window.partitionBy("doc_id", "parent_path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("top", F.max(F.struct("pos", "local_name")).over(w)).where("top.pos > pos").withColumn("before_name", F.col("top.local_name"))
     return rows.select(*finding("order", F.concat(F.lit("Element out of order: "), "local_name"), F.col("parent_type"), F.concat("local_name", F.lit(" after "), "before_name"), F.concat("local_name", F.lit(" before "), "before_name")))
 
 
@@ -176,15 +177,14 @@ def facet_violations(typed: DataFrame, facets: DataFrame) -> DataFrame:
     """CON8: one finding per failing facet (``type_ref, facet, limit``)."""
     rows = simple_values(typed).join(facets, "type_ref")
     v, limit = F.col("value"), F.col("limit")
-    number = lambda c: c.try_cast("decimal(38,12)")
     fraction = F.length(F.regexp_extract(v, r"\.([0-9]*)\z", 1))
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
     bad = (
         F.when(F.col("facet") == "maxLength", F.char_length(v) > limit.try_cast("int"))
         .when(F.col("facet") == "minLength", F.char_length(v) < limit.try_cast("int"))
         .when(F.col("facet") == "length", F.char_length(v) != limit.try_cast("int"))
-        .when(F.col("facet") == "minInclusive", F.coalesce(number(v) < number(limit), F.lit(False)))
-        .when(F.col("facet") == "maxInclusive", F.coalesce(number(v) > number(limit), F.lit(False)))
+        .when(F.col("facet") == "minInclusive", F.coalesce(compared(v, limit) < 0, F.lit(False)))
+        .when(F.col("facet") == "maxInclusive", F.coalesce(compared(v, limit) > 0, F.lit(False)))
         .when(F.col("facet") == "fractionDigits", fraction > limit.try_cast("int"))
         .when(F.col("facet") == "totalDigits", digits > limit.try_cast("int"))
         .when(F.col("facet") == "pattern", ~F.regexp_like(v, F.concat(F.lit(r"\A(?:"), limit, F.lit(r")\z"))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -40,45 +41,64 @@ def graph_diff(a: DataFrame, b: DataFrame, by: tuple[str, ...] = KEY) -> DataFra
     return one.select(*cols, side.alias("side"))
 
 
-#: Up to so many axioms the closure is worked out by the driver and is a local table with a known size.
-LOCAL_AXIOMS = 20_000
+#: A closure of up to so many pairs is worked out by the driver and is a local table with a known size.
+LOCAL_PAIRS = 200_000
 
 
-def subclass_closure(ontology: DataFrame, max_depth: int = 64) -> DataFrame:
+def subclass_closure(ontology: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """GRF4: reflexive-transitive ``sub, super`` over the subclass axioms; cycles end, since pairs are a set.
 
-    Ontologies are small next to instance data. Beyond ``LOCAL_AXIOMS`` rows the pairs are joined with themselves until
-    nothing is new; each step doubles the length of the paths known.
+    Ontologies are small next to instance data. Where the closure has more pairs than ``local_pairs``, the pairs are joined
+    with themselves until nothing is new; each step doubles the length of the paths known. Both ways give the same rows.
     """
     is_sub = F.col("p") == SUBCLASS
     ends = F.when(is_sub, F.array("s", "o")).otherwise(F.array("s"))
     facts = ontology.where(is_sub | (F.col("p") == TYPE)).select(F.when(is_sub, F.col("s")).alias("sub"), F.when(is_sub, F.col("o")).alias("super"), ends.alias("ends")).distinct()
-    some = facts.limit(LOCAL_AXIOMS + 1).collect()
-    if len(some) <= LOCAL_AXIOMS:
-        up: dict[str, set[str]] = {}
-        for r in some:
-            for x in r["ends"]:
-                up.setdefault(x, set())
-            if r["sub"] is not None:
-                up[r["sub"]].add(r["super"])
-        pairs = []
-        for x in up:
-            seen, todo = {x}, [x]
-            while todo:
-                new = up[todo.pop()] - seen
-                seen |= new
-                todo += new
-            pairs += [(x, y) for y in seen]
+    some = facts.limit(local_pairs + 1).collect()
+    pairs = _walked(some, local_pairs) if len(some) <= local_pairs else None
+    if pairs is not None:
         return ontology.sparkSession.createDataFrame(pairs, "sub string, super string")
     pairs = facts.where("sub is not null").select("sub", "super").unionByName(facts.select(F.explode("ends").alias("sub")).select("sub", F.col("sub").alias("super"))).distinct()
-    known, length = pairs.count(), 1
-    while length < max_depth:
+    pairs = _cut(pairs)
+    known = pairs.count()
+    while True:
         a, b = pairs.alias("a"), pairs.alias("b")
-        pairs = a.join(b, F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super").distinct().persist()
+        pairs = _cut(a.join(b, F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super").distinct())
         now = pairs.count()
         if now == known:
-            break
-        known, length = now, length * 2
+            return pairs
+        known = now
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that executors share; a folder of this machine is made only for a local session."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shapeforge-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def _walked(facts: list, most: int) -> list[tuple[str, str]] | None:
+    """The closure of collected axioms, or None once it has more than ``most`` pairs."""
+    up: dict[str, set[str]] = {}
+    for r in facts:
+        for x in r["ends"]:
+            up.setdefault(x, set())
+        if r["sub"] is not None:
+            up[r["sub"]].add(r["super"])
+    pairs: list[tuple[str, str]] = []
+    for x in up:
+        seen, todo = {x}, [x]
+        while todo and len(pairs) + len(seen) <= most:
+            new = up[todo.pop()] - seen
+            seen |= new
+            todo += new
+        pairs += [(x, y) for y in seen]
+        if len(pairs) > most:
+            return None
     return pairs
 
 

@@ -76,7 +76,7 @@ def wide_attributes(attributes: DataFrame) -> DataFrame:
 def schema_components(elements: DataFrame, attributes: DataFrame) -> DataFrame:
     """SCH3: a row per named, referring or facet construct with type, base, occurrence, use, fixed, owner, documentation.
 
-    The owner is the nearest named ancestor's name (joined by path, not level by level); ``pos`` its order in the file.
+    Types and bases keep their prefixes, which tell built-in types from the schema's own. The owner is the nearest named ancestor's name (joined by path, not level by level); ``pos`` its order in the file.
     """
     own = elements.where(F.col("ns") == XSD_NS)
     rows = own.join(wide_attributes(attributes), ["doc_id", "seq"], "left")
@@ -91,23 +91,22 @@ def schema_components(elements: DataFrame, attributes: DataFrame) -> DataFrame:
     occurs = F.when(F.col("a_maxOccurs") == "unbounded", None).otherwise(F.coalesce(F.col("a_maxOccurs").cast("int"), F.lit(1)))
     return out.select(
         F.col("doc_id").alias("file"), F.col("local_name").alias("construct"), F.coalesce("a_name", local_name(F.col("a_ref")), "a_value", "a_schemaLocation").alias("name"),
-        local_name(F.col("a_type")).alias("type_ref"), local_name(F.col("a_base")).alias("base_ref"), "owner", F.col("seq").alias("pos"),
+        F.col("a_type").alias("type_ref"), F.col("a_base").alias("base_ref"), "owner", F.col("seq").alias("pos"),
         F.coalesce(F.col("a_minOccurs").cast("int"), F.lit(1)).alias("min_occurs"), occurs.alias("max_occurs"), F.col("a_use").alias("use"), F.col("a_fixed").alias("fixed"), "doc",
     )
 
 
-def resolve_schema_files(includes: DataFrame, root: str, max_depth: int = 100) -> DataFrame:
+def resolve_schema_files(includes: DataFrame, root: str) -> DataFrame:
     """SCH4: ``file, depth, present`` for all files reachable from ``root`` over ``file, target``; missing targets have
     ``present`` false. Cycles end by themselves: a file keeps its least depth."""
     spark = includes.sparkSession
-    reached, front = {root: 0}, [root]
-    for depth in range(1, max_depth + 1):
+    reached, front, depth = {root: 0}, [root], 0
+    while front:
+        depth += 1
         level = spark.createDataFrame([(f,) for f in front], "file string")
         # names of one level of one schema, not rows of its files
-        found = {r[0] for r in includes.join(F.broadcast(level), "file").select("target").distinct().collect()}
+        found = {r[0] for r in includes.join(level, "file").select("target").distinct().collect()}
         front = sorted(found - set(reached))
-        if not front:
-            break
         reached |= dict.fromkeys(front, depth)
     reached = spark.createDataFrame(list(reached.items()), "file string, depth int")
     known = includes.select("file").distinct().withColumn("present", F.lit(True))
@@ -131,4 +130,4 @@ def construct_counts(components: DataFrame, schema_col: str, constructs: list[st
 
 def apply_translation_profile(components: DataFrame, rules: DataFrame) -> DataFrame:
     """SCH6: every component with its rule (``construct, becomes, needs_context, ordered``); without one it is flagged."""
-    return components.join(F.broadcast(rules), "construct", "left").withColumn("unmapped", F.col("becomes").isNull())
+    return components.join(rules, "construct", "left").withColumn("unmapped", F.col("becomes").isNull())

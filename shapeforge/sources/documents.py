@@ -111,7 +111,7 @@ def nested_reports(reports: DataFrame, findings: DataFrame, limit: int | None =
     return reports.join(per, "doc_id", "left").withColumn("findings", F.coalesce("findings", empty))
 
 
-def write_reports(reports: DataFrame, findings: DataFrame, path: str, form: str = "json", limit: int | None = 10_000) -> None:
+def write_reports(reports: DataFrame, findings: DataFrame, path: str, form: str = "json", limit: int | None = None) -> None:
     """SNK2: one nested record per document."""
     nested_reports(reports, findings, limit).write.mode("overwrite").format(form).save(path)
 

@@ -96,3 +96,21 @@ def test_streams_equal_batches(spark, tmp_path):
     packs.write.parquet(str(tmp_path / "p"))
     found = intake.run_available(intake.stream_packages(spark.readStream.schema(packs.schema).parquet(str(tmp_path / "p"))), "packs", str(tmp_path / "c3"))
     assert [r.doc_id for r in found.collect()] == ["b"]
+
+
+def test_order_looks_at_all_siblings_before_and_facets_at_dates(spark):
+    docs = spark.createDataFrame([("d", b"<R><C/><A/><B/><D>2019-01-01</D></R>")], "doc_id string, content binary")
+    decl = [("#root", "R", "RT", 1), ("RT", "A", "String", 1), ("RT", "B", "String", 2), ("RT", "C", "String", 3), ("RT", "D", "date", 4)]
+    decl = spark.createDataFrame([(o, n, t, p, 1, 1, None, "ch" if n == "B" else None, None) for o, n, t, p in decl], "owner string, name string, type_ref string, pos int, min_occurs int, max_occurs int, fixed string, choice_id string, branch string")
+    typed = conform.typed_elements(shred.elements(shred.shredded(docs)), decl)
+    assert {r.observed_value for r in conform.order_violations(typed, decl).collect()} == {"A after C", "B after C"}
+    facets = spark.createDataFrame([("date", "minInclusive", "2020-01-01"), ("date", "maxInclusive", "2020-01-01")], "type_ref string, facet string, limit string")
+    assert [r.expected_condition for r in conform.facet_violations(typed, facets).collect()] == ["minInclusive 2020-01-01"]
+
+
+def test_components_keep_prefixes_for_properties_and_shapes(spark):
+    xsd = b'<xsd:schema xmlns:xsd="http://www.w3.org/2001/XMLSchema"><xsd:complexType name="T"><xsd:sequence><xsd:element name="n" type="xsd:int"/></xsd:sequence></xsd:complexType></xsd:schema>'
+    rows = shred.shredded(spark.createDataFrame([("f", xsd)], "doc_id string, content binary"))
+    parts = schema.schema_components(shred.elements(rows), shred.attributes(rows))
+    assert {r.range for r in vocab.refine_properties(parts).collect()} == {"http://www.w3.org/2001/XMLSchema#int"}
+    assert ("datatype", "http://www.w3.org/2001/XMLSchema#int") in {(r.kind, r.value) for r in vocab.structural_shapes(parts).collect()}

@@ -64,13 +64,12 @@ def test_defects(validated):
     assert got == DEFECTS
 
 
-def test_closure_is_cycle_safe(spark, monkeypatch):
+def test_closure_is_cycle_safe(spark):
     rows = [("o", a, st.SUBCLASS, b) for a, b in (("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"))]
     axioms = spark.createDataFrame(rows, "graph_id string, s string, p string, o string")
     want = {(x, y) for x in "abc" for y in "abc"} | {("d", y) for y in "abcd"}
     assert {tuple(r) for r in graphs.subclass_closure(axioms).collect()} == want
-    monkeypatch.setattr(graphs, "LOCAL_AXIOMS", 0)
-    assert {tuple(r) for r in graphs.subclass_closure(axioms).collect()} == want
+    assert {tuple(r) for r in graphs.subclass_closure(axioms, local_pairs=0).collect()} == want
 
 
 def test_graph_operations(validated):
@@ -89,3 +88,20 @@ def test_completeness(validated):
     focus = shapes.focus_nodes(triples, rules, graphs.subclass_closure(ontology))
     got = {r.graph_id: r.completeness for r in measure.completeness(shapes.property_counts(triples, focus, rules)).collect()}
     assert got["minimal"] == 1.0 and got["missing-predicate"] == pytest.approx(3 / 6)
+
+
+def test_closure_of_a_long_chain_and_a_cycle(spark):
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(100)] + [("x", "y"), ("y", "x")]
+    axioms = spark.createDataFrame([("g", a, graphs.SUBCLASS, b) for a, b in pairs], "graph_id string, s string, p string, o string")
+    want = {(f"c{i}", f"c{j}") for i in range(101) for j in range(i, 101)} | {(a, b) for a in "xy" for b in "xy"}
+    for local in (200_000, 10):
+        assert {tuple(r) for r in graphs.subclass_closure(axioms, local).collect()} == want
+
+
+def test_each_limit_keeps_its_severity(spark):
+    triples = spark.createDataFrame([("g", "s", graphs.TYPE, "C", "iri", None, None), ("g", "s", "when", "2024-05-05", "literal", None, None)], "graph_id string, s string, p string, o string, o_kind string, o_datatype string, o_lang string")
+    rows = [("p", "minCount", "1", "violation"), ("p", "maxCount", "3", "warning"), ("when", "minInclusive", "2020-01-01", "violation"), ("when", "maxInclusive", "2024-01-01T00:00:00Z", "warning")]
+    table = spark.createDataFrame([("S", "C", p, k, v, sev) for p, k, v, sev in rows], "shape string, target_class string, path string, kind string, value string, severity string")
+    results = shapes.validate_shapes(triples, table, triples.limit(0))
+    assert {(r.component, r.severity) for r in results.collect()} == {("minCount", "violation"), ("maxInclusive", "warning")}
+    assert [r.conforms for r in shapes.conforms(triples, results).collect()] == [False]
