@@ -21,27 +21,34 @@ def node_iri(doc_id: Column, path: Column, xml_id: Column | None = None, base: s
 def project_instances(typed: DataFrame, attributes: DataFrame, terms: str = TERMS, base: str = BASE, datatypes: dict[str, str] | None = None) -> DataFrame:
     """PRJ1: triples of declared elements with their place: containers become typed resources, values and attributes
     literals with a datatype, containment an object fact. Repeats are repeated facts; equal triples are one."""
-    ids = attributes.where("name = 'id'").groupBy("doc_id", "seq").agg(F.min("value").alias("xml_id"))
-    els = typed.where("declared").join(ids, ["doc_id", "seq"], "left")
-    with_attrs = attributes.where("name <> 'id'").select("doc_id", "seq").distinct().withColumn("has_attrs", F.lit(True))
-    els = els.join(with_attrs, ["doc_id", "seq"], "left").withColumn("iri", node_iri(F.col("doc_id"), F.col("path"), F.col("xml_id"), base))
-    els = els.withColumn("is_node", (F.col("n_children") > 0) | F.coalesce("has_attrs", F.lit(False)) | (F.col("depth") == 0) | F.col("xml_id").isNotNull())
+    own = attributes.groupBy("doc_id", "seq").agg(
+        F.min(F.when(F.col("name") == "id", F.col("value"))).alias("xml_id"), F.count_if(F.col("name") != "id").alias("n_attrs"),
+        F.collect_list(F.when((F.col("name") != "id") & (F.coalesce("ns", F.lit("")) != XLINK), F.struct("name", "value"))).alias("attrs"),
+    )
+    els = typed.where("declared").join(own, ["doc_id", "seq"], "left").withColumn("iri", node_iri(F.col("doc_id"), F.col("path"), F.col("xml_id"), base))
+    els = els.withColumn("is_node", (F.col("n_children") > 0) | (F.coalesce("n_attrs", F.lit(0)) > 0) | (F.col("depth") == 0) | F.col("xml_id").isNotNull())
     up = els.select("doc_id", F.col("seq").alias("parent_seq"), F.col("iri").alias("up_iri"))
-    below = els.where("depth > 0").join(up, ["doc_id", "parent_seq"])
+    els = els.join(up, ["doc_id", "parent_seq"], "left")
     known = F.create_map(*[x for k, v in (datatypes or {"Amount": "decimal", "Count": "int", "Year": "int", "Indicator": "boolean"}).items() for x in (F.lit(k), F.lit(XSD + v))])
     dt = F.coalesce(F.try_element_at(known, "type_ref"), F.lit(XSD + "string"))
     none = F.lit(None).cast("string")
-
-    def rows(df, s, p, o, kind, datatype=none):
-        return df.select(F.col("doc_id").alias("graph_id"), s.alias("s"), p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), datatype.alias("o_datatype"), none.alias("o_lang"), "path", "line", "col")
-
     term = lambda c: F.concat(F.lit(terms), c)
-    out = rows(els.where("is_node"), F.col("iri"), F.lit(RDF + "type"), term(F.col("type_ref")), "iri")
-    out = out.unionByName(rows(below.where("is_node"), F.col("up_iri"), term(F.col("local_name")), F.col("iri"), "iri"))
-    out = out.unionByName(rows(below.where("not is_node"), F.col("up_iri"), term(F.col("local_name")), F.coalesce("text", F.lit("")), "literal", dt))
-    out = out.unionByName(rows(els.where("is_node and n_children = 0 and text <> '' and depth > 0"), F.col("iri"), F.lit(RDF + "value"), F.col("text"), "literal", dt))
-    at = attributes.where(F.coalesce(F.col("ns"), F.lit("")) != XLINK).where("name <> 'id'").select("doc_id", "seq", "name", "value").join(els, ["doc_id", "seq"])
-    out = out.unionByName(rows(at, F.col("iri"), term(F.col("name")), F.col("value"), "literal", F.lit(XSD + "string")))
+
+    def fact(s, p, o, kind, datatype=none):
+        return F.struct(s.alias("s"), p.alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), datatype.alias("o_datatype"))
+
+    # all facts of an element leave in one pass
+    iri, text, node = F.col("iri"), F.col("text"), F.col("is_node")
+    below = (F.col("depth") > 0) & F.col("up_iri").isNotNull()
+    facts = F.array(
+        F.when(node, fact(iri, F.lit(RDF + "type"), term(F.col("type_ref")), "iri")),
+        F.when(below & node, fact(F.col("up_iri"), term(F.col("local_name")), iri, "iri")),
+        F.when(below & ~node, fact(F.col("up_iri"), term(F.col("local_name")), F.coalesce(text, F.lit("")), "literal", dt)),
+        F.when(node & (F.col("n_children") == 0) & (text != "") & (F.col("depth") > 0), fact(iri, F.lit(RDF + "value"), text, "literal", dt)),
+    )
+    held = F.transform(F.coalesce("attrs", F.array().cast("array<struct<name:string,value:string>>")), lambda a: fact(iri, term(a["name"]), a["value"], "literal", F.lit(XSD + "string")))
+    rows = els.select(F.col("doc_id").alias("graph_id"), "path", "line", "col", F.explode(F.concat(facts, held)).alias("f")).where("f is not null")
+    out = rows.select("graph_id", "f.*", none.alias("o_lang"), "path", "line", "col")
     return out.dropDuplicates(["graph_id", "s", "p", "o", "o_kind", "o_datatype"])
 
 

@@ -49,7 +49,7 @@ _BAD = f"""
 
 
 def _validated(spark, sf_dir):
-    triples, ontology, rows = st.star_graph(spark, sf_dir), st.ontology(spark), st.shapes(spark)
+    triples, ontology, rows = st.star_graph(spark, sf_dir).persist(), st.ontology(spark), st.shapes(spark)
     return triples, ontology, rows, shapes.validate_shapes(triples, rows, ontology)
 
 
@@ -400,7 +400,7 @@ def con_repair(spark, sf_dir):
 def con_locate(spark, sf_dir):
     """CON12: exact places, and the nearest ancestor's where the path doesn't exist."""
     rows = _rows(spark, sf_dir).persist()
-    typed = _typed(spark, sf_dir, rows)
+    typed = _typed(spark, sf_dir, rows).persist()
     found = conform.missing_elements(typed, st.declarations(spark)).unionByName(conform.enumeration_violations(typed, st.status_values(spark)))
     ghost = conform.fixed_violations(typed, st.declarations(spark)).withColumn("data_location", F.lit("/x:Report/Nowhere"))
     out = _with_place(found.unionByName(ghost), rows)
