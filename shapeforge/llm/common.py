@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A table is broadcast only if it has at most this many (narrow) rows by an actual count.
 BROADCAST_ROWS = 200_000
+#: A key is hot if more than one row of this many has it, so there are fewer hot keys than this.
+HOT = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,14 +59,22 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
+def join_split(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row that ``side`` has for a ``key``. ``hot`` names fewer than ``HOT`` keys, whose rows meet a
+    broadcast instead of a shuffle; so no task gets a large group. ``how`` is inner or left; null keys meet nothing."""
+    hot = F.broadcast(hot)
+    many = rows.join(hot, key, "left_semi").join(F.broadcast(side.join(hot, key, "left_semi")), key, how)
+    return many.unionByName(rows.join(hot, key, "left_anti").join(side, key, how))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
     """Smallest id reachable from each node: ``node, component``. Nodes without an edge do not appear.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) on edges kept as (higher, lower) until a round changes
     nothing, so every node has one edge, to a node without one: the number of rounds grows with the logarithm of the longest
-    path, every round has edges at most linear in the input, and minima are pre-aggregated before the shuffle. A round is
-    one job over plain shuffles that Spark can split; the table of the round before is deleted. Raises if ``max_rounds``
-    rounds were not enough.
+    path, every round has edges at most linear in the input, and minima are pre-aggregated before the shuffle. A node that ends
+    more than a thousandth of the edges meets its minimum by broadcast, so a large star is no task's own. A round is one job;
+    the table of the round before is deleted. Raises if ``max_rounds`` rounds were not enough.
     """
     spark = edges.sparkSession
     e, path = store(
@@ -76,14 +86,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now[0] == 0 or now == state:
             break
         state = now
-        low = e.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("x"), "m")
+        many = F.col("n") > now[0] / HOT
+        low = e.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
+        hot = e.groupBy("lo").agg(F.count("*").alias("n")).where(many).select("lo")
         # large star: an edge's lower end becomes that end's own minimum
-        big = e.join(low, e["lo"] == low["x"], "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        low = big.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("x"), "m")
+        big = join_split(e, low, "lo", hot, "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        counted = big.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        low = counted.drop("n")
         # small star: all lower ends of a node, and the node, go to the least of them
-        rest = big.join(low, big["hi"] == low["x"]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        rest = join_split(big, low, "hi", counted.where(many).select("hi")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         old = path
-        e, path = store(rest.unionByName(low.select(F.col("x").alias("hi"), F.col("m").alias("lo"))).distinct())
+        e, path = store(rest.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
         discard(spark, old)
     else:
         raise RuntimeError(f"components are not complete after {max_rounds} rounds")
