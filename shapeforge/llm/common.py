@@ -59,12 +59,22 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if n <= limit else df
 
 
-def join_split(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+def join_split(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """``rows`` joined with the one row that ``side`` has for a ``key``. ``hot`` names fewer than ``HOT`` keys, whose rows meet a
-    broadcast instead of a shuffle; so no task gets a large group. ``how`` is inner or left; null keys meet nothing."""
+    broadcast instead of a shuffle; so no task gets a large group."""
     hot = F.broadcast(hot)
-    many = rows.join(hot, key, "left_semi").join(F.broadcast(side.join(hot, key, "left_semi")), key, how)
-    return many.unionByName(rows.join(hot, key, "left_anti").join(side, key, how))
+    many = rows.join(F.broadcast(side.join(hot, key, "left_semi")), key)
+    return many.unionByName(rows.join(hot, key, "left_anti").join(side, key))
+
+
+def _met(edges: DataFrame, nodes: DataFrame, end: str, rows: int) -> DataFrame:
+    """``hi, lo, m``: the edges with what ``nodes`` (``node, m, n``: n of the edges end there) holds of one end. Nodes of more than
+    a thousandth of the edges are broadcast; their edges are spread by a salt that no node has."""
+    many = F.col("n") > rows / HOT
+    hot = F.broadcast(nodes.where(many).select(F.col("node").alias(end), F.col("m").alias("hot_m"), F.lit(True).alias("hot")))
+    rest = nodes.where(~many).select(F.col("node").alias(end), "m", F.lit(0).alias("salt"))
+    dealt = edges.join(hot, end, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("hi", "lo"), F.lit(9973)).cast("int") + 1).otherwise(0))
+    return dealt.join(rest, [end, "salt"], "left").select("hi", "lo", F.coalesce("hot_m", "m").alias("m"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
@@ -73,8 +83,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates large-star and small-star steps (Kiveris et al. 2014) on edges kept as (higher, lower) until a round changes
     nothing, so every node has one edge, to a node without one: the number of rounds grows with the logarithm of the longest
     path, every round has edges at most linear in the input, and minima are pre-aggregated before the shuffle. A node that ends
-    more than a thousandth of the edges meets its minimum by broadcast, so a large star is no task's own. A round is one job;
-    the table of the round before is deleted. Raises if ``max_rounds`` rounds were not enough.
+    more than a thousandth of the edges meets its minimum by broadcast, so a large star is no task's own. A round writes
+    two tables, from plans of a few joins, and deletes those before. Raises if ``max_rounds`` rounds were not enough.
     """
     spark = edges.sparkSession
     e, path = store(
@@ -86,18 +96,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if now[0] == 0 or now == state:
             break
         state = now
-        many = F.col("n") > now[0] / HOT
-        low = e.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("m"))
-        hot = e.groupBy("lo").agg(F.count("*").alias("n")).where(many).select("lo")
+        end = lambda node, m, n: F.struct(F.col(node).alias("node"), m.alias("m"), F.lit(n).alias("n"))
+        ends = F.array(end("hi", F.col("lo"), 0), end("lo", F.lit(None).cast(e.schema["lo"].dataType), 1))
+        nodes = e.select(F.explode(ends).alias("end")).select("end.*").groupBy("node").agg(F.min("m").alias("m"), F.sum("n").alias("n"))
         # large star: an edge's lower end becomes that end's own minimum
-        big = join_split(e, low, "lo", hot, "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        counted = big.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        low = counted.drop("n")
+        big, made = store(_met(e, nodes, "lo", now[0]).select("hi", F.coalesce("m", "lo").alias("lo")))
         # small star: all lower ends of a node, and the node, go to the least of them
-        rest = join_split(big, low, "hi", counted.where(many).select("hi")).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        old = path
-        e, path = store(rest.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
-        discard(spark, old)
+        nodes = big.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        rest = _met(big, nodes, "hi", now[0]).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        gone = [path, made]
+        e, path = store(rest.unionByName(nodes.select(F.col("node").alias("hi"), F.col("m").alias("lo"))).distinct())
+        for old in gone:
+            discard(spark, old)
     else:
         raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     tops = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
