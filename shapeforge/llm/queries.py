@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, embedding_dedup, langid, licenses, line_dedup, mixing, order_minhash, pieces, quality, secrets
+from . import additive, embedding_dedup, langid, licenses, line_dedup, mixing, order_minhash, periodic_runs, pieces, product_codes, quality, secrets
 from .common import cut
 
 
@@ -90,8 +90,22 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256."""
+    found = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), fold=True)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256."""
+    return product_codes.codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality_classifier, op2_additive_quantisation, op3_line_dedup, op4_source_mixing, op5_secret_scan, op6_language_id, op7_license_scan, op8_sentencepiece, op9_embedding_dedup, op10_order_minhash)
+    made = (op1_quality_classifier, op2_additive_quantisation, op3_line_dedup, op4_source_mixing, op5_secret_scan, op6_language_id, op7_license_scan, op8_sentencepiece, op9_embedding_dedup, op10_order_minhash, op12_periodic_runs, op13_product_codes)
     return {f.__name__: f for f in made}
 
 
@@ -179,5 +193,59 @@ def _vector_sql() -> str:
     FROM embeddings e JOIN comp ON comp.x = e.vec_id LEFT JOIN deg ON deg.x = e.vec_id"""
 
 
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII string, bit by bit: 4294967295, then each byte xor-ed in and shifted out."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda h, b: CASE WHEN b >= 0 THEN xor(h, b) ELSE xor(h >> 1, 3988292384 * (h & 1)) END), 4294967295)"
+
+
+def _runs_sql() -> str:
+    """Equal words of a document at each lag, gathered to stretches of consecutive places."""
+    least, times = periodic_runs.LEAST, periodic_runs.TIMES
+    return f"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws, {_crc32_sql('doc_id::VARCHAR')} AS h FROM documents),
+    f AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+    g AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM f),
+    w AS MATERIALIZED (SELECT doc_id, n, i, ws[1 + CASE WHEN a IS NULL OR i < a THEN i ELSE a + (i - a) % p END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM g)),
+    same AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND (y.i - x.i) * {times} <= x.n),
+    part AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+    stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM part GROUP BY doc_id, q, k HAVING count(*) + q >= greatest({least}, {times} * q)),
+    runs AS MATERIALIZED (SELECT doc_id, s, m, min(q) AS q FROM stretch GROUP BY doc_id, s, m),
+    best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m::DOUBLE / q DESC, s, q) = 1),
+    told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+    kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS t FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+    SELECT documents.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, m AS length, q AS period, 1000 * m // q AS exponent_milli,
+           sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _codes_sql() -> str:
+    """Rounds written one after the other; squared distances of integers are exact in doubles."""
+    parts, entries, scale = product_codes.PARTS, product_codes.ENTRIES, product_codes.SCALE
+    ctes = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v, row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r
+          FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"x AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) t(p))",
+        f"c0 AS MATERIALIZED (SELECT p, r AS e, v AS c FROM x WHERE r < {entries})",
+    ]
+    for k in range(product_codes.ROUNDS + 1):
+        far = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT r, p, min({{'d': ({far})::BIGINT, 'e': e}}) AS m FROM x JOIN c{k} USING (p) GROUP BY r, p)")
+        if k < product_codes.ROUNDS:
+            ctes.append(f"s{k} AS (SELECT p, e, k, sum(y::BIGINT) AS s, count(*) AS n FROM (SELECT p, m.e AS e, unnest(v) AS y, generate_subscripts(v, 1) AS k FROM a{k} JOIN x USING (r, p)) GROUP BY p, e, k)")
+            ctes.append(f"n{k} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY k) AS c FROM s{k} GROUP BY p, e)")
+            ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN n{k} USING (p, e))")
+    last = product_codes.ROUNDS
+    ctes.append(f"told AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, e, k)) AS h FROM (SELECT p, e, unnest(c) AS y, generate_subscripts(c, 1) AS k FROM c{last}))")
+    ctes.append(f"coded AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{last} GROUP BY r)")
+    return f"""WITH {', '.join(ctes)}
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, told.h AS codebooks_sha256
+    FROM coded JOIN kept USING (r), told"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _line_sql(), "op4_source_mixing": _mix_sql(), "op5_secret_scan": _secret_sql(), "op9_embedding_dedup": _vector_sql()}
+    return {
+        "op3_line_dedup": _line_sql(), "op4_source_mixing": _mix_sql(), "op5_secret_scan": _secret_sql(), "op9_embedding_dedup": _vector_sql(),
+        "op12_periodic_runs": _runs_sql(), "op13_product_codes": _codes_sql(),
+    }
