@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, embedding_dedup, langid, licenses, line_dedup, mixing, order_minhash, periodic_runs, pieces, product_codes, quality, secrets
+from . import additive, embedding_dedup, langid, licenses, line_dedup, mixing, order_minhash, periodic_runs, pieces, product_codes, quality, secrets, toxicity
 from .common import cut
 
 
@@ -90,6 +90,13 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    scored, _ = toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), held)
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256."""
     found = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), fold=True)
@@ -105,7 +112,7 @@ def op13_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality_classifier, op2_additive_quantisation, op3_line_dedup, op4_source_mixing, op5_secret_scan, op6_language_id, op7_license_scan, op8_sentencepiece, op9_embedding_dedup, op10_order_minhash, op12_periodic_runs, op13_product_codes)
+    made = (op1_quality_classifier, op2_additive_quantisation, op3_line_dedup, op4_source_mixing, op5_secret_scan, op6_language_id, op7_license_scan, op8_sentencepiece, op9_embedding_dedup, op10_order_minhash, op11_toxicity, op12_periodic_runs, op13_product_codes)
     return {f.__name__: f for f in made}
 
 
