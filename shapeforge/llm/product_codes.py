@@ -162,7 +162,7 @@ def _sums(parts: int, entries: int, dims: int):
         q, k = np.nonzero(needs)
         yield pd.DataFrame({
             "part": np.concatenate((p, q)).astype(np.int32), "entry": np.concatenate((e, -1 - k)).astype(np.int32), "n": np.concatenate((count[p, e], needs[q, k])),
-            "total": [*total[p, e].tolist(), *([] for _ in q)],
+            "total": pd.Series([*total[p, e].tolist(), *([] for _ in q)], dtype=object),
         })
 
     return run
