@@ -1,19 +1,23 @@
 """Structural conformance of element tables, as joins with schema tables.
 
-Elements are typed once: the declarations are expanded to index-free schema paths (bounded by the deepest document, since
-types may recurse) and met with one join on the path without indexes. All checks start from that typed table. A finding
-has the place, the governing component, the observed and the expected value.
+Elements are typed once, by a join on the path without indexes: the distinct paths that occur are typed level by level, so types
+may recurse and no plan grows with the depth (or, where a depth is given, the declarations are expanded to that depth). All
+checks start from that typed table. A finding has the place, the governing component, the observed and the expected value.
 
 Declarations: ``owner`` (type name, or ``#root``), ``name``, ``type_ref``, ``pos``, ``min_occurs`` (default 1),
-``max_occurs`` (null: unbounded), ``fixed``, ``choice_id``, ``branch``.
+``max_occurs`` (null: unbounded), ``fixed``, ``choice_id``, ``branch``; ``resolve.schema_sets`` derives them from schema files.
+Where declarations have a ``set_id``, elements need one too and are typed by their own set.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import ancestor_paths, compared, normalize_path, strip
+from .fixpoint import grown, stored
 
 ROOT = "#root"
 #: A table of schema paths is broadcast up to so many rows.
@@ -38,14 +42,34 @@ def schema_paths(declarations: DataFrame, max_depth: int) -> DataFrame:
     return out.dropDuplicates(["schema_path"])
 
 
+def occurring_paths(elements: DataFrame, declarations: DataFrame) -> DataFrame:
+    """``set_id, schema_path, type_ref``: the paths of ``elements`` that are declared. A path is typed from its parent's type, so each
+    round types one more level, of paths that occur only."""
+    both = lambda df: df if "set_id" in df.columns else df.withColumn("set_id", F.lit(""))
+    bare = F.regexp_replace("path", r"\[\d+\]", "")
+    trie, _ = stored(both(elements).select("set_id", bare.alias("schema_path"), F.col("local_name").alias("name")).distinct().withColumn("up", F.regexp_replace("schema_path", r"/[^/]*\z", "")))
+    decl = both(declarations).select("set_id", "owner", "name", "type_ref").dropDuplicates(["set_id", "owner", "name"]).persist()
+    roots = trie.where("up = ''").join(decl.where(F.col("owner") == ROOT), ["set_id", "name"]).select("set_id", "schema_path", "type_ref")
+
+    def below(front: DataFrame) -> DataFrame:
+        rows = front.select("set_id", F.col("schema_path").alias("up"), F.col("type_ref").alias("owner")).join(trie, ["set_id", "up"])
+        return rows.join(decl, ["set_id", "owner", "name"]).select("set_id", "schema_path", "type_ref")
+
+    found = grown(roots, below, ["set_id", "schema_path"])
+    decl.unpersist()
+    return found
+
+
 def typed_elements(elements: DataFrame, declarations: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """``elements`` with ``type_ref`` (null: not declared there) and ``parent_type`` (``#root`` above the root)."""
-    depth = elements.agg(F.max("depth")).first()[0] if max_depth is None else max_depth
-    paths = _pinned(schema_paths(declarations, depth or 0).select("schema_path", "type_ref", F.lit(True).alias("declared")))
+    """``elements`` with ``type_ref`` (null: not declared there) and ``parent_type`` (``#root`` above the root). With ``max_depth`` the
+    declarations are expanded to it, which saves the rounds where documents are flat; else see ``occurring_paths``."""
+    by = ["set_id"] if "set_id" in declarations.columns else []
+    paths = occurring_paths(elements, declarations) if max_depth is None or by else schema_paths(declarations, max_depth)
+    paths = _pinned(paths.select(*by, "schema_path", "type_ref", F.lit(True).alias("declared")))
     bare = F.regexp_replace("path", r"\[\d+\]", "")
-    out = elements.withColumn("schema_path", bare).join(paths, "schema_path", "left")
-    up = paths.select(F.col("schema_path").alias("up"), F.col("type_ref").alias("parent_type"), F.lit(True).alias("up_declared"))
-    out = out.withColumn("up", F.regexp_replace("schema_path", r"/[^/]*\z", "")).join(up, "up", "left")
+    out = elements.withColumn("schema_path", bare).join(paths, [*by, "schema_path"], "left")
+    up = paths.select(*by, F.col("schema_path").alias("up"), F.col("type_ref").alias("parent_type"), F.lit(True).alias("up_declared"))
+    out = out.withColumn("up", F.regexp_replace("schema_path", r"/[^/]*\z", "")).join(up, [*by, "up"], "left")
     return out.drop("up").withColumn("parent_type", F.when(F.col("depth") == 0, ROOT).otherwise(F.col("parent_type")))
 
 
@@ -54,8 +78,11 @@ def finding(code: str, message: Column, component: Column, observed: Column, exp
     return [F.col("doc_id"), F.lit("error").alias("severity"), F.lit(code).alias("error_code"), col.alias("data_location"), component.alias("component"), observed.alias("observed_value"), expected.alias("expected_condition"), message.alias("message")]
 
 
-def unknown_elements(typed: DataFrame) -> DataFrame:
-    """CON1: elements that their parent's type doesn't declare. What stands below an unknown element is not reported."""
+def unknown_elements(typed: DataFrame, wildcards: DataFrame | None = None) -> DataFrame:
+    """CON1: elements that their parent's type doesn't declare, unless it is one of ``wildcards`` (``owner``). What stands below an
+    unknown element is not reported."""
+    if wildcards is not None:
+        typed = typed.join(wildcards.select(F.col("owner").alias("parent_type")), "parent_type", "left_anti")
     bad = typed.where(F.col("declared").isNull() & ((F.col("depth") == 0) | F.col("up_declared").isNotNull()))
     return bad.select(*finding("unknown-element", F.concat(F.lit("Unexpected element "), "local_name"), F.col("parent_type"), F.col("local_name"), F.lit("a declared child")))
 
@@ -100,6 +127,26 @@ def choice_violations(typed: DataFrame, declarations: DataFrame) -> DataFrame:
     return rows.select(*finding("choice", F.concat(F.lit("Choice "), "choice_id"), F.col("type_ref"), F.col("n").cast("string"), F.lit("exactly one branch")))
 
 
+def sequence_violations(typed: DataFrame, follows: DataFrame) -> DataFrame:
+    """CON4, CON5: children next to each other that their parent's content model doesn't let follow each other (``follows``: ``owner,
+    before, after``, with ``^`` before the first and ``$`` behind the last child).
+
+    Sequences, choices and loops of any nesting are judged: A B A passes where the choice of A and B may repeat and fails in a
+    sequence of both. Counts are those of CON2 and CON3. Children that are not declared are passed over (CON1 names them), and so
+    are parents with a wildcard. The place is the second child's, or the parent's where the last child may not be the last.
+    """
+    models = follows.where("before <> '^' or after <> '$'").groupBy("owner").agg(F.max((F.col("before") == "*") | (F.col("after") == "*")).alias("wild")).where("not wild").select(F.col("owner").alias("parent_type"))
+    kids = typed.where("declared and depth > 0").select("doc_id", "parent_path", "parent_type", "local_name", "path", "seq").join(models, "parent_type", "left_semi")
+    w = Window.partitionBy("doc_id", "parent_path").orderBy("seq")
+    kids = kids.withColumn("before", F.coalesce(F.lag("local_name").over(w), F.lit("^"))).withColumn("last", F.lead("seq").over(w).isNull())
+    steps = F.array(F.struct("before", F.col("local_name").alias("after"), F.col("path").alias("at")), F.when(F.col("last"), F.struct(F.col("local_name").alias("before"), F.lit("$").alias("after"), F.col("parent_path").alias("at"))))
+    steps = kids.select("doc_id", "parent_type", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("x")).select("doc_id", F.col("parent_type").alias("owner"), "x.*")
+    bad = steps.join(follows.select("owner", "before", "after").distinct(), ["owner", "before", "after"], "left_anti")
+    name = lambda c: F.when(F.col(c) == "^", "the start").when(F.col(c) == "$", "the end").otherwise(F.col(c))
+    observed = F.concat(name("after"), F.lit(" after "), name("before"))
+    return bad.select(*finding("content-model", F.concat(F.lit("Not allowed here: "), observed), F.col("owner"), observed, F.concat(F.lit("a child that may follow "), name("before")), "at"))
+
+
 def attribute_violations(typed: DataFrame, attributes: DataFrame, declared: DataFrame) -> DataFrame:
     """CON6: required attributes that are missing, attributes that are not declared (``owner, name, use``).
 
@@ -130,6 +177,8 @@ def is_lexical(kind: Column, value: Column) -> Column:
     """
     full = lambda p: value.rlike(rf"\A(?:{p})\z")
     as_int = value.try_cast("bigint")
+    wide = value.try_cast("decimal(38,0)")
+    whole = lambda low=None, high=None: full(_INTEGER) & (F.lit(True) if low is None else wide >= F.lit(low)) & (F.lit(True) if high is None else F.coalesce(wide <= F.lit(high), F.lit(False)))
     day = F.substring(value, 1, 10).try_cast("date").isNotNull()
     year, month = full("[0-9]{4}"), full("[0-9]{4}-(?:0[1-9]|1[0-2])")
     date = full(r"[0-9]{4}-[0-9]{2}-[0-9]{2}") & day
@@ -138,7 +187,24 @@ def is_lexical(kind: Column, value: Column) -> Column:
         .when(kind == "Count", full(_INTEGER) & (as_int >= 0) & (as_int <= 2147483647))
         .when(kind == "SequenceNumber", full(_INTEGER) & (as_int >= 1) & (as_int <= 2147483647))
         .when(kind == "Year", full(_INTEGER) & as_int.between(1, 9999))
-        .when(kind.isin("integer", "int", "long"), full(_INTEGER))
+        .when(kind == "integer", full(_INTEGER))
+        .when(kind == "nonNegativeInteger", full(r"\+?[0-9]+|-0+"))
+        .when(kind == "positiveInteger", full(r"\+?0*[1-9][0-9]*"))
+        .when(kind == "nonPositiveInteger", full(r"-[0-9]+|\+?0+"))
+        .when(kind == "negativeInteger", full(r"-0*[1-9][0-9]*"))
+        .when(kind == "byte", whole(-(1 << 7), (1 << 7) - 1))
+        .when(kind == "short", whole(-(1 << 15), (1 << 15) - 1))
+        .when(kind == "int", whole(-(1 << 31), (1 << 31) - 1))
+        .when(kind == "long", full(_INTEGER) & as_int.isNotNull())
+        .when(kind.isin("unsignedByte", "unsignedShort", "unsignedInt"), whole(0, (1 << 32) - 1))
+        .when(kind.isin("double", "float"), full(rf"(?:{_DECIMAL})(?:[eE][+-]?[0-9]+)?|-?INF|NaN"))
+        .when(kind == "gYear", full(rf"-?[0-9]{{4,}}{_ZONE}?"))
+        .when(kind == "gYearMonth", full(rf"-?[0-9]{{4,}}-(?:0[1-9]|1[0-2]){_ZONE}?"))
+        .when(kind == "gMonthDay", full(rf"--(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]){_ZONE}?"))
+        .when(kind.isin("NMTOKEN", "NMTOKENS"), full(r"[\w.:-]+" + r"(?: [\w.:-]+)*"))
+        .when(kind.isin("NCName", "ID", "IDREF", "ENTITY"), full(r"[A-Za-z_\u00C0-\uFFFD][\w.\u00B7-\uFFFD-]*"))
+        .when(kind == "language", full("[a-zA-Z]{1,8}(?:-[a-zA-Z0-9]{1,8})*"))
+        .when(kind == "hexBinary", full("(?:[0-9a-fA-F]{2})*"))
         .when(kind == "Date", year | month | date)
         .when(kind == "date", full(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_ZONE}?") & day)
         .when(kind == "Datetime", full(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}{_ZONE}") & full(r"[^.]*(?:\.[0-9]{1,9}(?![0-9]).*)?") & day)
@@ -146,10 +212,10 @@ def is_lexical(kind: Column, value: Column) -> Column:
         .when(kind == "Indicator", value.isin("true", "false"))
         .when(kind == "boolean", value.isin("true", "false", "1", "0"))
         .when(kind == "NumericString", full("[0-9]*"))
-        .when(kind == "Day", full(rf"---(?:0[1-9]|[12][0-9]|3[01]){_ZONE}?"))
-        .when(kind == "Month", full(rf"--(?:0[1-9]|1[0-2]){_ZONE}?"))
-        .when(kind == "Time", full(rf"{_TIME}{_ZONE}?"))
-        .when(kind == "URI", ~value.rlike(r"[\s<>\"{}|\\^`]"))
+        .when(kind.isin("Day", "gDay"), full(rf"---(?:0[1-9]|[12][0-9]|3[01]){_ZONE}?"))
+        .when(kind.isin("Month", "gMonth"), full(rf"--(?:0[1-9]|1[0-2]){_ZONE}?"))
+        .when(kind.isin("Time", "time"), full(rf"{_TIME}{_ZONE}?"))
+        .when(kind.isin("URI", "anyURI"), ~value.rlike(r"[\s<>\"{}|\\^`]"))
         .when(kind.isin("Enum", "Code"), F.char_length(value) <= 80)
         .when(kind.isin("String", "Identifier", "Value"), F.char_length(value) <= 16383)
         .otherwise(True)
@@ -161,6 +227,22 @@ def simple_values(typed: DataFrame) -> DataFrame:
     return typed.where("declared and n_children = 0").withColumn("value", F.coalesce("text", F.lit("")))
 
 
+def values_with_attributes(typed: DataFrame, attributes: DataFrame, declared: DataFrame) -> DataFrame:
+    """One table of values for the checks of datatypes, facets, lists and fixed values: the declared elements and, as ``@name`` of their
+    element's type, the declared attributes (``owner, name, type_ref``) that have no namespace."""
+    cols = ("doc_id", "path", "local_name", "parent_type", "type_ref", "declared", "n_children", "text")
+    own = typed.where("declared").select("doc_id", "seq", "path", F.col("type_ref").alias("owner"))
+    have = attributes.where(F.col("ns").isNull()).select("doc_id", "seq", "name", F.col("value").alias("text"))
+    rows = own.join(have, ["doc_id", "seq"]).join(declared.select("owner", "name", "type_ref"), ["owner", "name"])
+    rows = rows.select("doc_id", F.concat("path", F.lit("/@"), "name").alias("path"), F.concat(F.lit("@"), "name").alias("local_name"), F.col("owner").alias("parent_type"), "type_ref", F.lit(True).alias("declared"), F.lit(0).alias("n_children"), "text")
+    return typed.where("declared").select(*cols).unionByName(rows)
+
+
+def fixed_with_attributes(declarations: DataFrame, declared: DataFrame) -> DataFrame:
+    """``owner, name, fixed`` of elements and, as ``@name``, of attributes."""
+    return declarations.select("owner", "name", "fixed").unionByName(declared.select("owner", F.concat(F.lit("@"), "name").alias("name"), "fixed"))
+
+
 def datatype_violations(typed: DataFrame, unions: DataFrame | None = None) -> DataFrame:
     """CON7: values outside the lexical space of their type; with ``unions(type_ref, member)`` any member will do."""
     rows = simple_values(typed)
@@ -185,6 +267,8 @@ def facet_violations(typed: DataFrame, facets: DataFrame) -> DataFrame:
         .when(F.col("facet") == "length", F.char_length(v) != limit.try_cast("int"))
         .when(F.col("facet") == "minInclusive", F.coalesce(compared(v, limit) < 0, F.lit(False)))
         .when(F.col("facet") == "maxInclusive", F.coalesce(compared(v, limit) > 0, F.lit(False)))
+        .when(F.col("facet") == "minExclusive", F.coalesce(compared(v, limit) <= 0, F.lit(False)))
+        .when(F.col("facet") == "maxExclusive", F.coalesce(compared(v, limit) >= 0, F.lit(False)))
         .when(F.col("facet") == "fractionDigits", fraction > limit.try_cast("int"))
         .when(F.col("facet") == "totalDigits", digits > limit.try_cast("int"))
         .when(F.col("facet") == "pattern", ~F.regexp_like(v, F.concat(F.lit(r"\A(?:"), limit, F.lit(r")\z"))))
@@ -228,3 +312,15 @@ def locate_findings(findings: DataFrame, elements: DataFrame, location: str = "d
     best = found.groupBy("doc_id", "_norm").agg(F.max_by(F.struct("line", "col"), F.length("path")).alias("_at"))
     out = keyed.drop("line", "col").join(best, ["doc_id", "_norm"], "left")
     return out.withColumn("line", F.col("_at.line")).withColumn("col", F.col("_at.col")).drop("_at", "_norm")
+
+
+def check_against(typed: DataFrame, attributes: DataFrame, schema) -> DataFrame:
+    """All findings of CON1 to CON10 for documents typed by ``schema`` (``resolve.SchemaSets``), attributes' values included."""
+    decl = schema.declarations.where("name <> '*'")
+    values = values_with_attributes(typed, attributes, schema.attributes)
+    found = [
+        unknown_elements(typed, schema.wildcards), missing_elements(typed, decl), too_many_elements(typed, decl), sequence_violations(typed, schema.follows), choice_violations(typed, decl),
+        attribute_violations(typed, attributes, schema.attributes), datatype_violations(values, schema.unions), facet_violations(values, schema.facets),
+        enumeration_violations(values, schema.values), fixed_violations(values, fixed_with_attributes(decl, schema.attributes)),
+    ]
+    return reduce(DataFrame.unionByName, found)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import RDF, RDFS
+from .fixpoint import discard, stored
 
 KEY = ("graph_id", "s", "p", "o", "o_kind", "o_datatype", "o_lang")
 TYPE, SUBCLASS = RDF + "type", RDFS + "subClassOf"
@@ -59,28 +59,18 @@ def subclass_closure(ontology: DataFrame, local_pairs: int = LOCAL_PAIRS) -> Dat
     if pairs is not None:
         return ontology.sparkSession.createDataFrame(pairs, "sub string, super string")
     pairs = facts.where("sub is not null").select("sub", "super").unionByName(facts.select(F.explode("ends").alias("sub")).select("sub", F.col("sub").alias("super"))).distinct()
-    pairs = _cut(pairs)
+    pairs, path = stored(pairs)
     known = pairs.count()
     while True:
-        a, b = pairs.alias("a"), pairs.alias("b")
-        pairs = _cut(a.join(b, F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super").distinct())
+        a, b, old = pairs.alias("a"), pairs.alias("b"), path
+        pairs, path = stored(a.join(b, F.col("a.super") == F.col("b.sub")).select("a.sub", "b.super").distinct())
+        discard(ontology.sparkSession, old)
         now = pairs.count()
         if now == known:
             return pairs
         known = now
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that executors share; a folder of this machine is made only for a local session."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shapeforge-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def _walked(facts: list, most: int) -> list[tuple[str, str]] | None:
     """The closure of collected axioms, or None once it has more than ``most`` pairs."""
     up: dict[str, set[str]] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
-from ..operators import conform, findings, graphs, history, lint, measure, project, registry, schema, shapes, vocab
+from ..operators import conform, findings, graphs, history, lint, measure, project, registry, resolve, schema, shapes, vocab
 from ..schemas import OWL, RDFS, SKOS, XSD
 from ..sources import documents as src
 from ..sources import shred
@@ -394,6 +394,58 @@ def con_repair(spark, sf_dir):
     return fixed.where("repaired").groupBy("doc_id").agg(F.count("*").alias("n_repaired")).join(left, "doc_id", "left").withColumn("n_left", F.coalesce("n_left", F.lit(0)))
 
 
+# ---- checks by schema files (SCH3, SCH4 -> CON1-10) ----------------------------------------------------------------
+
+
+def _part_sets(spark, sf_dir):
+    """The schema sets of all brands; the common file is no root."""
+    rows = shred.shredded(st.part_schemas(spark, sf_dir)).persist()
+    roots = rows.where("depth = 0 and doc_id like 'brand-%'").select(F.col("doc_id").alias("file"))
+    return resolve.schema_sets(shred.elements(rows), shred.attributes(rows), shred.namespaces(rows), roots)
+
+
+_PART = "regexp_replace(p_brand, '[^0-9]', '', 'g')"
+_CHILDREN = """list_filter([CASE WHEN k % 31 <> 0 THEN 'Id' END, CASE WHEN k % 2 = 0 THEN 'Made' END, CASE WHEN k % 17 = 0 THEN 'Size' WHEN k % 11 <> 0 THEN 'Kind' END, CASE WHEN k % 17 = 0 THEN 'Kind' ELSE 'Size' END, 'Retail', CASE WHEN k % 19 = 0 THEN 'Free' END]
+  || CASE WHEN k % 3 = 0 THEN ['Tag', 'Mark', 'Tag'] ELSE [] END, lambda x: x IS NOT NULL)"""
+_FOLLOWS = [("^", "Id"), ("Id", "Made"), ("Id", "Kind"), ("Made", "Kind"), ("Kind", "Size"), ("Size", "Retail"), ("Size", "Free"), *((a, b) for a in ("Retail", "Free", "Tag", "Mark") for b in ("Tag", "Mark", "$"))]
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_size, p_type FROM part), kids AS (SELECT k, ['^'] || {_CHILDREN} || ['$'] AS c FROM p),
+  steps AS (SELECT k, i, c[i] AS a, c[i + 1] AS b, len(list_filter(c[1:i + 1], lambda x: x = c[i + 1])) AS n FROM (SELECT k, c, unnest(range(1, len(c))) AS i FROM kids)),
+  found AS (SELECT k, 'unknown-element' AS error_code, '/Part[1]/Extra[1]' AS loc, 'Extra' AS v FROM p WHERE k % 13 = 0
+    UNION ALL SELECT k, 'missing-element', '/Part[1]', '0' FROM p WHERE k % 31 = 0 UNION ALL SELECT k, 'missing-element', '/Part[1]', '0' FROM p WHERE k % 11 = 0 AND k % 17 <> 0
+    UNION ALL SELECT k, 'content-model', CASE WHEN b = '$' THEN '/Part[1]' ELSE '/Part[1]/' || b || '[' || n || ']' END, b || ' after ' || CASE a WHEN '^' THEN 'the start' ELSE a END FROM steps WHERE (a, b) NOT IN ({', '.join(map(str, _FOLLOWS))})
+    UNION ALL SELECT k, 'choice', '/Part[1]', '2' FROM p WHERE k % 19 = 0
+    UNION ALL SELECT k, 'missing-attribute', '/Part[1]', '' FROM p WHERE k % 41 = 0 UNION ALL SELECT k, 'unknown-attribute', '/Part[1]', '1' FROM p WHERE k % 59 = 0
+    UNION ALL SELECT k, 'datatype', '/Part[1]/Made[1]', '2024-13' FROM p WHERE k % 58 = 0 UNION ALL SELECT k, 'datatype', '/Part[1]/@k', 'x' || k FROM p WHERE k % 23 = 0 AND k % 41 <> 0 UNION ALL SELECT k, 'datatype', '/Part[1]/Retail[1]', 'cheap' FROM p WHERE k % 53 = 0
+    UNION ALL SELECT k, 'facet', '/Part[1]/Size[1]', p_size::VARCHAR FROM p WHERE p_size > 40
+    UNION ALL SELECT k, 'facet', '/Part[1]/Kind[1]', p_type FROM p WHERE k % 43 <> 0 AND length(p_type) > 24 AND (k % 17 = 0 OR k % 11 <> 0)
+    UNION ALL SELECT k, 'enumeration', '/Part[1]/Kind[1]', 'NO SUCH KIND' FROM p WHERE k % 43 = 0 AND (k % 17 = 0 OR k % 11 <> 0) UNION ALL SELECT k, 'enumeration', '/Part[1]/@unit', 'st' FROM p WHERE k % 37 = 0
+    UNION ALL SELECT k, 'fixed', '/Part[1]/Retail[1]/@cur', 'USD' FROM p WHERE k % 47 = 0)
+  SELECT k::VARCHAR AS doc_id, error_code, loc AS data_location, v AS observed_value FROM found""")
+def con_schema(spark, sf_dir):
+    """SCH3, SCH4, CON1-10: schema files to declarations to findings, for documents of many schema sets at once: includes of a file
+    without a namespace, an extended base type, groups, a repeating choice, a union, attribute values."""
+    sets = _part_sets(spark, sf_dir)
+    docs = st.part_documents(spark, sf_dir)
+    rows = shred.shredded(docs).persist()
+    typed = conform.typed_elements(shred.elements(rows).join(docs.select("doc_id", "set_id"), "doc_id"), sets.declarations).persist()
+    return conform.check_against(typed, shred.attributes(rows), sets).select("doc_id", "error_code", "data_location", "observed_value")
+
+
+_OF_PART = """(VALUES ('ThingType', 'Id', 'int', 1, 1, 1), ('ThingType', 'Made', 'WhenType', 2, 0, 1), ('PartType', 'Id', 'int', 1, 1, 1), ('PartType', 'Made', 'WhenType', 2, 0, 1), ('PartType', 'Kind', 'KindType', 3, 1, 1),
+  ('PartType', 'Size', 'SizeType', 4, 1, 1), ('PartType', 'Retail', 'AmountType', 5, 1, 1), ('PartType', 'Free', '', 5, 1, 1), ('PartType', 'Tag', 'ShortText', 6, 0, NULL), ('PartType', 'Mark', 'string', 6, 0, NULL),
+  ('#root', 'Part', 'PartType', 1, 0, 1), ('#root', 'Tag', 'ShortText', 1, 0, 1)) t(owner, name, type_ref, pos, min_occurs, max_occurs)"""
+
+
+@query(f"SELECT 'brand-' || b || '.xsd' AS set_id, owner, name, type_ref, pos::INTEGER AS pos, min_occurs::INTEGER AS min_occurs, max_occurs::INTEGER AS max_occurs, name IN ('Retail', 'Free') AS in_choice FROM (SELECT DISTINCT {_PART} AS b FROM part), {_OF_PART}")
+def sch_declarations(spark, sf_dir):
+    """SCH3: the declarations of every brand's schema set, base content first."""
+    d = _part_sets(spark, sf_dir).declarations
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"\A.*\}", ""), "#common/.*", "")
+    return d.select("set_id", bare(F.col("owner")).alias("owner"), "name", bare(F.col("type_ref")).alias("type_ref"), "pos", "min_occurs", "max_occurs", F.col("choice_id").isNotNull().alias("in_choice"))
+
+
 @query(f"""SELECT o_orderkey::VARCHAR AS doc_id, '/Report[1]' AS data_location, 1 AS line, 1 AS col FROM {_DOCS} WHERE fine AND o_orderkey % 17 = 0
   UNION ALL SELECT o_orderkey::VARCHAR, '/Report[1]/Status[1]', 3 + CASE WHEN o_orderkey % 37 = 0 THEN {_DATES} ELSE 0 END, 3 FROM {_DOCS} WHERE fine AND o_orderkey % 23 = 0 AND o_orderkey % 17 <> 0
   UNION ALL SELECT o_orderkey::VARCHAR, '/Report[1]/Nowhere[1]', 1, 1 FROM {_DOCS} WHERE fine AND o_orderkey % 61 = 0""")

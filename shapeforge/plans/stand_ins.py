@@ -188,3 +188,50 @@ def class_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda df, s, o: df.select(F.lit("tree").alias("graph_id"), s.alias("s"), F.lit(SUBCLASS).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
     a = row(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")), F.col("n_name"), F.col("r_name"))
     return a.unionByName(row(r, F.col("r_name"), F.lit("WORLD")))
+
+
+def part_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, content``: a root schema per brand that includes one common file, which has no namespace of its own."""
+    part = table(spark, sf_dir, "part").select(F.regexp_replace("p_brand", "[^0-9]", "").alias("b"), F.col("p_type").alias("t")).distinct()
+    kinds = part.groupBy("b").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    listed = F.array_join(F.transform("ts", lambda t: F.concat(F.lit('<xs:enumeration value="'), t, F.lit('"/>'))), "")
+    root = F.concat(
+        F.lit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:m="urn:brand:'), "b", F.lit('" targetNamespace="urn:brand:'), "b", F.lit('"><xs:include schemaLocation="./common/base.xsd"/>'),
+        F.lit('<xs:element name="Part" type="m:PartType"/><xs:simpleType name="KindType"><xs:restriction base="m:ShortText">'), listed, F.lit("</xs:restriction></xs:simpleType>"),
+        F.lit('<xs:complexType name="PartType"><xs:complexContent><xs:extension base="m:ThingType"><xs:sequence><xs:element name="Kind" type="m:KindType"/><xs:element name="Size" type="m:SizeType"/><xs:group ref="m:Price"/>'
+              '<xs:choice minOccurs="0" maxOccurs="unbounded"><xs:element ref="m:Tag"/><xs:element name="Mark" type="xs:string"/></xs:choice></xs:sequence><xs:attributeGroup ref="m:Origin"/></xs:extension></xs:complexContent></xs:complexType></xs:schema>'),
+    )
+    files = kinds.select(F.concat(F.lit("brand-"), "b", F.lit(".xsd")).alias("doc_id"), root.alias("text"))
+    common = spark.createDataFrame([("common/base.xsd", _COMMON)], "doc_id string, text string")
+    return files.unionByName(common).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+
+
+_COMMON = """<x:schema xmlns:x="http://www.w3.org/2001/XMLSchema">
+<x:simpleType name="ShortText"><x:restriction base="x:string"><x:maxLength value="24"/></x:restriction></x:simpleType>
+<x:simpleType name="SizeType"><x:restriction base="x:int"><x:minInclusive value="1"/><x:maxInclusive value="40"/></x:restriction></x:simpleType>
+<x:simpleType name="WhenType"><x:union memberTypes="x:gYear x:gYearMonth x:date"/></x:simpleType>
+<x:simpleType name="UnitType"><x:restriction base="x:string"><x:enumeration value="kg"/><x:enumeration value="lb"/></x:restriction></x:simpleType>
+<x:element name="Tag" type="ShortText"/>
+<x:complexType name="ThingType"><x:sequence><x:element name="Id" type="x:int"/><x:element name="Made" type="WhenType" minOccurs="0"/></x:sequence><x:attribute name="k" type="x:int" use="required"/></x:complexType>
+<x:group name="Price"><x:choice><x:element name="Retail" type="AmountType"/><x:element name="Free"><x:complexType/></x:element></x:choice></x:group>
+<x:complexType name="AmountType"><x:simpleContent><x:extension base="x:decimal"><x:attribute name="cur" type="x:string" fixed="EUR"/></x:extension></x:simpleContent></x:complexType>
+<x:attributeGroup name="Origin"><x:attribute name="unit" type="UnitType"/><x:attributeGroup ref="Trace"/></x:attributeGroup>
+<x:attributeGroup name="Trace"><x:attribute name="lot" type="ShortText"/></x:attributeGroup>
+</x:schema>"""
+
+
+def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, set_id, content``: a document per part, with defects by residue, to be checked against its brand's schema."""
+    p = table(spark, sf_dir, "part")
+    mod = lambda n: F.col("p_partkey") % n == 0
+    key = F.col("p_partkey").cast("string")
+    el = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    opt = lambda cond, c: F.when(cond, c).otherwise("")
+    kind, size = el("Kind", F.when(mod(43), F.lit("NO SUCH KIND")).otherwise(F.col("p_type"))), el("Size", F.col("p_size").cast("string"))
+    retail = F.concat(F.lit("<Retail"), F.when(mod(47), F.lit(' cur="USD"')).otherwise(F.lit(' cur="EUR"')), F.lit(">"), F.when(mod(53), F.lit("cheap")).otherwise(F.lit("12.50")), F.lit("</Retail>"))
+    body = F.concat(
+        opt(~mod(31), el("Id", key)), opt(mod(2), el("Made", F.when(mod(29), F.lit("2024-13")).when(mod(4), F.lit("2024")).otherwise("2024-02"))), F.when(mod(17), F.concat(size, kind)).otherwise(F.concat(opt(~mod(11), kind), size)),
+        retail, opt(mod(19), F.lit("<Free/>")), opt(mod(13), F.lit("<Extra><Deep/></Extra>")), opt(mod(3), F.lit("<Tag>a</Tag><Mark>b</Mark><Tag>c</Tag>")),
+    )
+    head = F.concat(F.lit('<Part unit="'), F.when(mod(37), F.lit("st")).otherwise("kg"), F.lit('"'), opt(~mod(41), F.concat(F.lit(' k="'), opt(mod(23), F.lit("x")), key, F.lit('"'))), opt(mod(59), F.lit(' odd="1"')), F.lit(">"))
+    return p.select(key.alias("doc_id"), F.concat(F.lit("brand-"), F.regexp_replace("p_brand", "[^0-9]", ""), F.lit(".xsd")).alias("set_id"), F.encode(F.concat(head, body, F.lit("</Part>")), "UTF-8").alias("content"))

@@ -14,10 +14,11 @@ from ..functions.strings import strip
 _ROW = (
     "doc_id string, kind string, seq int, parent_seq int, depth int, ns string, local_name string, sibling_index int, "
     "path string, parent_path string, line int, col int, text string, n_children int, "
-    "attrs array<struct<ns:string,name:string,value:string>>, message string"
+    "attrs array<struct<ns:string,name:string,value:string>>, message string, spaces array<struct<prefix:string,uri:string>>"
 )
 _ATTRIBUTE = pa.struct([("ns", pa.string()), ("name", pa.string()), ("value", pa.string())])
-_TYPES = {"int": pa.int32(), "string": pa.string(), "array<struct<ns:string,name:string,value:string>>": pa.list_(_ATTRIBUTE)}
+_SPACE = pa.struct([("prefix", pa.string()), ("uri", pa.string())])
+_TYPES = {"int": pa.int32(), "string": pa.string(), "array<struct<ns:string,name:string,value:string>>": pa.list_(_ATTRIBUTE), "array<struct<prefix:string,uri:string>>": pa.list_(_SPACE)}
 _FIELDS = pa.schema([(name, _TYPES[kind]) for name, kind in (c.strip().split(" ") for c in _ROW.split(", "))])
 #: Places in a row that are filled in after it was begun.
 _TEXT, _CHILDREN = _FIELDS.get_field_index("text"), _FIELDS.get_field_index("n_children")
@@ -37,6 +38,10 @@ def parse(doc_id: str, content: bytes) -> list[list]:
     rows: list[list] = []
     stack: list[tuple[list, dict, list]] = []
     top: dict = defaultdict(int)
+    bound: list[dict] = []
+
+    def bind(prefix, uri):
+        bound.append({"prefix": prefix or "", "uri": uri or ""})
 
     def start(name, attributes):
         ns, local = _split_name(name)
@@ -49,7 +54,8 @@ def parse(doc_id: str, content: bytes) -> list[list]:
         counts[local] += 1
         n = counts[local]
         attrs = [dict(zip(("ns", "name"), _split_name(k)), value=v) for k, v in zip(attributes[::2], attributes[1::2], strict=True)] if attributes else []
-        row = [doc_id, "element", len(rows), up_seq, len(stack), ns, local, n, f"{up}/{local}[{n}]", up, parser.CurrentLineNumber, parser.CurrentColumnNumber + 1, None, 0, attrs, None]
+        row = [doc_id, "element", len(rows), up_seq, len(stack), ns, local, n, f"{up}/{local}[{n}]", up, parser.CurrentLineNumber, parser.CurrentColumnNumber + 1, None, 0, attrs, None, bound[:]]
+        bound.clear()
         rows.append(row)
         stack.append((row, defaultdict(int), []))
 
@@ -61,11 +67,12 @@ def parse(doc_id: str, content: bytes) -> list[list]:
         if stack:
             stack[-1][2].append(data)
 
+    parser.StartNamespaceDeclHandler = bind
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
     try:
         parser.Parse(content, True)
     except expat.ExpatError as e:
-        return [[doc_id, "error", None, None, None, None, None, None, "/", None, e.lineno, e.offset + 1, None, None, [], str(e)]]
+        return [[doc_id, "error", None, None, None, None, None, None, "/", None, e.lineno, e.offset + 1, None, None, [], str(e), []]]
     return rows
 
 
@@ -78,9 +85,10 @@ def _parse_batches(batches):
         rows: list[list] = []
         for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
             rows += parse(doc_id.as_py(), content.as_py() or b"")
-            while len(rows) >= _CHUNK:
-                yield _batch(rows[:_CHUNK])
-                rows = rows[_CHUNK:]
+            whole = len(rows) // _CHUNK * _CHUNK
+            for at in range(0, whole, _CHUNK):
+                yield _batch(rows[at : at + _CHUNK])
+            rows = rows[whole:]
         if rows:
             yield _batch(rows)
 
@@ -92,7 +100,7 @@ def shredded(documents: DataFrame) -> DataFrame:
 
 def elements(rows: DataFrame) -> DataFrame:
     """DOC2: the element table."""
-    return rows.where("kind = 'element'").drop("kind", "attrs", "message")
+    return rows.where("kind = 'element'").drop("kind", "attrs", "message", "spaces")
 
 
 def attributes(rows: DataFrame) -> DataFrame:
@@ -100,6 +108,11 @@ def attributes(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'element'").select("doc_id", "seq", F.explode("attrs").alias("a")).select("doc_id", "seq", "a.ns", "a.name", "a.value")
 
 
+def namespaces(rows: DataFrame) -> DataFrame:
+    """Namespace bindings where they are declared: ``doc_id, path, prefix, uri`` (``''``: the default namespace, or none)."""
+    return rows.where("kind = 'element'").select("doc_id", "path", F.explode("spaces").alias("b")).select("doc_id", "path", "b.prefix", "b.uri")
+
+
 def parse_findings(rows: DataFrame) -> DataFrame:
     """DOC3: exactly one error finding for each document that is not well formed."""
     return rows.where("kind = 'error'").select("doc_id", F.lit("error").alias("severity"), "message", "line", "col", F.lit("not-well-formed").alias("error_code"), F.col("path").alias("data_location"))
