@@ -153,3 +153,59 @@ def structural_shapes(components: DataFrame, terms: str = TERMS) -> DataFrame:
     kind = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])[F.col("facet")]
     value = F.when(F.col("facet") == "pattern", F.concat(F.lit(r"\A(?:"), "limit", F.lit(r")\z"))).otherwise(F.col("limit"))
     return out.unionByName(on_type.select(*base, kind.alias("kind"), value.alias("value"))).distinct()
+
+
+def set_properties(sets) -> DataFrame:
+    """VOC8 over includes and imports: ``set_id, name, kind, range`` of all elements and attributes of ``sets`` (``resolve.SchemaSets``).
+    Elements whose type has element content are object properties; those with a value (also one with attributes) and attributes
+    are datatype properties."""
+    objects = sets.types.where("kind = 'complex'").join(sets.unions.select("type_ref").distinct(), "type_ref", "left_anti").select("type_ref", F.lit(True).alias("is_object"))
+    rows = sets.declarations.where("name <> '*'").select("set_id", "name", "type_ref").unionByName(sets.attributes.select("set_id", "name", "type_ref"))
+    rows = rows.distinct().join(objects, "type_ref", "left")
+    return rows.select("set_id", "name", F.when(F.col("is_object"), "ObjectProperty").otherwise("DatatypeProperty").alias("kind"), _range(F.col("type_ref")).alias("range")).distinct()
+
+
+def _range(type_ref: Column) -> Column:
+    """A built-in type's IRI, else the local name; null for a type without a name."""
+    name = F.regexp_replace(type_ref, r"\A.*\}", "")
+    return F.when(~type_ref.contains("|"), F.concat(F.lit(XSD), type_ref)).when(~name.startswith("#"), name)
+
+
+def set_shapes(sets, terms: str = TERMS) -> DataFrame:
+    """VOC9 over includes, imports and inheritance: ``set_id, shape, target_class, path, kind, value, severity, group_id, branch``.
+
+    What a type inherits is part of its shape. Elements of a type with element content get ``node`` and its shape; required ones
+    get counts, the branches of a required choice alternatives (``group_id, branch``); values get datatype, facets and lists,
+    those of a union an alternative per member; attributes are properties like elements. Facets of digits are kept.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\A.*\}", "")
+    kinds = ("minLength", "maxLength", "minInclusive", "maxInclusive", "fractionDigits", "totalDigits", "pattern")
+    simple = sets.unions.select("type_ref").distinct().withColumn("has_value", F.lit(True))
+    elements = sets.declarations.where("owner <> '#root' and name <> '*'").select("set_id", "owner", "name", "type_ref", "min_occurs", "max_occurs", "fixed", "choice_id", "branch")
+    one, none = F.lit(1), F.lit(None).cast("string")
+    attributes = sets.attributes.select("set_id", "owner", "name", "type_ref", F.when(F.col("use") == "required", 1).otherwise(0).alias("min_occurs"), one.alias("max_occurs"), "fixed", none.alias("choice_id"), none.alias("branch"))
+    complex_ = sets.types.where("kind = 'complex'").select("type_ref", F.lit(True).alias("is_complex"))
+    used = elements.unionByName(attributes).join(simple, "type_ref", "left").join(complex_, "type_ref", "left")
+    base = ["set_id", F.concat(F.lit("shape:"), bare(F.col("owner"))).alias("shape"), F.concat(F.lit(terms), bare(F.col("owner"))).alias("target_class"), F.concat(F.lit(terms), "name").alias("path")]
+
+    def part(rows: DataFrame, kind: Column, value: Column, group: Column = none, branch: Column = none) -> DataFrame:
+        return rows.select(*base, kind.alias("kind"), value.cast("string").alias("value"), F.lit("violation").alias("severity"), group.alias("group_id"), branch.alias("branch")).where("value is not null")
+
+    single = sets.unions.groupBy("type_ref").agg(F.count("*").alias("n"), F.min("member").alias("member"))
+    valued = used.where("has_value or type_ref not like '%|%'").join(single, "type_ref", "left")
+    builtin = F.when(~F.col("type_ref").contains("|"), F.col("type_ref")).when(F.col("n") == 1, F.col("member"))
+    limits = sets.facets.where(F.col("facet").isin(*kinds)).join(used.where("has_value"), "type_ref")
+    alternatives = sets.unions.join(single.where("n > 1").select("type_ref"), "type_ref").join(used.where("has_value"), "type_ref")
+    pattern = F.when(F.col("facet") == "pattern", F.concat(F.lit(r"\A(?:"), "limit", F.lit(r")\z"))).otherwise(F.col("limit"))
+    least = F.when(F.col("min_occurs") > 0, F.col("min_occurs"))
+    parts = [
+        part(used.where("choice_id is null"), F.lit("minCount"), least), part(used.where("choice_id is not null"), F.lit("minCount"), least, bare(F.col("choice_id")), F.col("branch")),
+        part(used, F.lit("maxCount"), F.col("max_occurs")), part(valued, F.lit("datatype"), F.when(~builtin.isin("anyType", "anySimpleType"), F.concat(F.lit(XSD), builtin))),
+        part(alternatives, F.lit("datatype"), F.concat(F.lit(XSD), "member"), F.concat("name", F.lit(" type")), F.col("member")),
+        part(limits, F.col("facet"), pattern), part(sets.values.join(used.where("has_value"), "type_ref"), F.lit("in"), F.col("value")), part(used, F.lit("in"), F.col("fixed")),
+        part(used.where("is_complex and has_value is null"), F.lit("node"), F.concat(F.lit("shape:"), bare(F.col("type_ref")))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()

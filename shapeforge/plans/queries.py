@@ -100,6 +100,16 @@ def shp_values(spark, sf_dir):
     return out.groupBy(_short(F.col("path")).alias("path"), "component").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT o_orderkey::VARCHAR AS graph_id, focus, component, value FROM (
+  SELECT o_orderkey, 'n0' AS focus, 'node' AS component, 'n1' AS value FROM orders WHERE o_custkey % 100 > 89 UNION ALL SELECT o_orderkey, 'n0', 'or', 'soon' FROM orders WHERE o_orderkey % 3 = 2
+  UNION ALL SELECT o_orderkey, 'n0', 'or', NULL FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 7 <> 0
+  UNION ALL SELECT o_orderkey, f, c, v FROM orders, (VALUES ('p2', 'minCount', NULL), ('p2', 'node', 'p0'), ('p1', 'node', 'p2'), ('p0', 'node', 'p1')) t(f, c, v) WHERE o_orderkey % 5 = 0)""")
+def shp_nested(spark, sf_dir):
+    """SHP5-6: node shapes ten deep and in a ring, alternatives of a value's patterns and of properties."""
+    results = shapes.validate_shapes(st.nested_graph(spark, sf_dir).persist(), st.nested_shapes(spark), st.ontology(spark))
+    return results.select("graph_id", "focus", "component", "value")
+
+
 @query(f"""SELECT o_orderkey::VARCHAR AS graph_id, component, severity, n_violations = 0 AS conforms FROM (
   SELECT o_orderkey, 'maxCount' AS component, 'warning' AS severity, 0 AS n_violations FROM {ORDERS} WHERE o_orderkey % 11 = 0
   UNION ALL SELECT o_orderkey, 'minCount', 'info', 0 FROM {ORDERS} WHERE o_orderkey % 11 <> 0
@@ -723,6 +733,37 @@ def voc_shapes(spark, sf_dir):
     return vocab.structural_shapes(_components(spark, sf_dir)).select("shape", _short(F.col("path")).alias("path"), "kind", "value").distinct()
 
 
+@query(f"""SELECT 'brand-' || b || '.xsd' AS set_id, name, kind, range FROM (SELECT DISTINCT {_PART} AS b FROM part), (VALUES ('Part', 'ObjectProperty', 'PartType'), ('Free', 'ObjectProperty', NULL), ('Id', 'DatatypeProperty', '{XSD}int'),
+  ('Made', 'DatatypeProperty', 'WhenType'), ('Kind', 'DatatypeProperty', 'KindType'), ('Size', 'DatatypeProperty', 'SizeType'), ('Retail', 'DatatypeProperty', 'AmountType'), ('Tag', 'DatatypeProperty', 'ShortText'), ('Mark', 'DatatypeProperty', '{XSD}string'),
+  ('k', 'DatatypeProperty', '{XSD}int'), ('cur', 'DatatypeProperty', '{XSD}string'), ('unit', 'DatatypeProperty', 'UnitType'), ('lot', 'DatatypeProperty', 'ShortText')) t(name, kind, range)""")
+def voc_set_properties(spark, sf_dir):
+    """VOC8 over includes: types that the root file doesn't declare itself."""
+    return vocab.set_properties(_part_sets(spark, sf_dir))
+
+
+_SHAPES = """('ThingType', 'Id', 'minCount', '1', '', ''), ('ThingType', 'Id', 'maxCount', '1', '', ''), ('ThingType', 'Id', 'datatype', 'int', '', ''), ('ThingType', 'Made', 'maxCount', '1', '', ''), ('ThingType', 'Made', 'datatype', 'gYear', 'Made type', 'gYear'),
+  ('ThingType', 'Made', 'datatype', 'gYearMonth', 'Made type', 'gYearMonth'), ('ThingType', 'Made', 'datatype', 'date', 'Made type', 'date'), ('ThingType', 'k', 'minCount', '1', '', ''), ('ThingType', 'k', 'maxCount', '1', '', ''), ('ThingType', 'k', 'datatype', 'int', '', '')"""
+_PART_SHAPES = """('Kind', 'minCount', '1'), ('Kind', 'maxCount', '1'), ('Kind', 'datatype', 'string'), ('Kind', 'maxLength', '24'), ('Size', 'minCount', '1'), ('Size', 'maxCount', '1'), ('Size', 'datatype', 'int'), ('Size', 'minInclusive', '1'), ('Size', 'maxInclusive', '40'),
+  ('Retail', 'minCount', '1'), ('Retail', 'maxCount', '1'), ('Retail', 'datatype', 'decimal'), ('Free', 'minCount', '1'), ('Free', 'maxCount', '1'), ('Free', 'node', 'shape:#'), ('Tag', 'datatype', 'string'), ('Tag', 'maxLength', '24'), ('Mark', 'datatype', 'string'),
+  ('unit', 'maxCount', '1'), ('unit', 'datatype', 'string'), ('unit', 'in', 'kg'), ('unit', 'in', 'lb'), ('lot', 'maxCount', '1'), ('lot', 'datatype', 'string'), ('lot', 'maxLength', '24')"""
+
+
+@query(f"""WITH own AS (SELECT * FROM (VALUES {_SHAPES}) t(owner, path, kind, value, g, branch)),
+  every AS (SELECT * FROM own UNION ALL SELECT 'PartType', path, kind, value, g, branch FROM own UNION ALL SELECT 'AmountType', 'cur', kind, value, '', '' FROM (VALUES ('maxCount', '1'), ('datatype', 'string'), ('in', 'EUR')) t(kind, value)
+    UNION ALL SELECT 'PartType', path, kind, value, CASE WHEN path IN ('Retail', 'Free') AND kind = 'minCount' THEN 'choice' ELSE '' END, CASE WHEN path IN ('Retail', 'Free') AND kind = 'minCount' THEN path ELSE '' END FROM (VALUES {_PART_SHAPES}) t(path, kind, value))
+  SELECT 'brand-' || b || '.xsd' AS set_id, owner, path, kind, value, g, branch FROM (SELECT DISTINCT {_PART} AS b FROM part), every
+  UNION ALL SELECT DISTINCT 'brand-' || {_PART} || '.xsd', 'PartType', 'Kind', 'in', p_type, '', '' FROM part""")
+def voc_set_shapes(spark, sf_dir):
+    """VOC9 over includes: inherited content, attributes, facets of base types, node, alternatives of a choice and of a union."""
+    rows = vocab.set_shapes(_part_sets(spark, sf_dir))
+    choice = F.col("group_id").contains("/")
+    return rows.select(
+        "set_id", F.substring_index("target_class", "#", -1).alias("owner"), _short(F.col("path")).alias("path"), "kind",
+        F.when(F.col("kind") == "datatype", _short(F.col("value"))).when(F.col("kind") == "node", F.regexp_replace("value", "#.*", "#")).otherwise(F.col("value")).alias("value"),
+        F.when(choice, "choice").otherwise(F.coalesce("group_id", F.lit(""))).alias("g"), F.when(choice, _short(F.col("path"))).otherwise(F.coalesce("branch", F.lit(""))).alias("branch"),
+    )
+
+
 # ---- projection and links (PRJ, LNK) -------------------------------------------------------------------------------
 
 

@@ -235,3 +235,26 @@ def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     head = F.concat(F.lit('<Part unit="'), F.when(mod(37), F.lit("st")).otherwise("kg"), F.lit('"'), opt(~mod(41), F.concat(F.lit(' k="'), opt(mod(23), F.lit("x")), key, F.lit('"'))), opt(mod(59), F.lit(' odd="1"')), F.lit(">"))
     return p.select(key.alias("doc_id"), F.concat(F.lit("brand-"), F.regexp_replace("p_brand", "[^0-9]", ""), F.lit(".xsd")).alias("set_id"), F.encode(F.concat(head, body, F.lit("</Part>")), "UTF-8").alias("content"))
+
+
+def nested_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per order a chain of ten nodes, the last of which holds a value, and a ring of three peers, one of which may lack a tag."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    n = lambda i: F.lit(f"n{i}")
+    ring = [(None, F.lit(f"p{i}"), T + "peer", F.lit(f"p{(i + 1) % 3}"), "iri", None) for i in range(3)] + [(None, F.lit(f"p{i}"), TYPE, F.lit(T + "Peer"), "iri", None) for i in range(3)]
+    tags = [(F.col("o_orderkey") % 5 != 0 if i == 2 else None, F.lit(f"p{i}"), T + "tag", F.lit("x"), "literal", None) for i in range(3)]
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "2024").when(F.col("o_orderkey") % 3 == 1, "2024-02-01").otherwise("soon")
+    return _triples(o, key, [
+        (None, n(0), TYPE, F.lit(T + "Chain"), "iri", None), *[(None, n(i), T + "next", n(i + 1), "iri", None) for i in range(9)], (None, n(9), T + "size", F.col("o_custkey") % 100, "literal", XSD + "int"),
+        *ring, *tags, (None, n(0), T + "made", kind, "literal", None), (F.col("o_orderkey") % 4 == 0, n(0), T + "cash", F.lit("1"), "literal", None), (F.col("o_orderkey") % 7 == 0, n(0), T + "loan", F.lit("1"), "literal", None),
+    ])
+
+
+def nested_shapes(spark: SparkSession) -> DataFrame:
+    """Ten shapes that name each other in a row, one that names itself, a union of two patterns and a choice of two properties."""
+    rows = [(f"S{i}", "Chain" if i == 0 else f"None{i}", "next", "node", f"S{i + 1}", None, None) for i in range(9)] + [("S9", "None9", "size", "maxInclusive", "89", None, None)]
+    rows += [("Ring", "Peer", "peer", "node", "Ring", None, None), ("Ring", "Peer", "tag", "minCount", "1", None, None)]
+    rows += [("S0", "Chain", "made", "pattern", p, "when", b) for b, p in (("year", "^[0-9]{4}$"), ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))]
+    rows += [("S0", "Chain", b, "minCount", "1", "payment", b) for b in ("cash", "loan")]
+    return spark.createDataFrame([(s, T + c, T + p, k, v, "violation", g, b) for s, c, p, k, v, g, b in rows], "shape string, target_class string, path string, kind string, value string, severity string, group_id string, branch string")
