@@ -45,6 +45,23 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Tables of one operator's run, deleted together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        out, path = store(df)
+        self.paths.append(path)
+        return out
+
+    def clear(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
 def free_name(columns: list[str], name: str = "row") -> str:
     """``name``, made longer until no column is called so."""
     taken = {c.lower() for c in columns}
@@ -77,14 +94,15 @@ def _met(edges: DataFrame, nodes: DataFrame, end: str, rows: int) -> DataFrame:
     return dealt.join(rest, [end, "salt"], "left").select("hi", "lo", F.coalesce("hot_m", "m").alias("m"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """Smallest id reachable from each node: ``node, component``. Nodes without an edge do not appear.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) on edges kept as (higher, lower) until a round changes
     nothing, so every node has one edge, to a node without one: the number of rounds grows with the logarithm of the longest
     path, every round has edges at most linear in the input, and minima are pre-aggregated before the shuffle. A node that ends
     more than a thousandth of the edges meets its minimum by broadcast, so a large star is no task's own. A round writes
-    two tables, from plans of a few joins, and deletes those before. Raises if ``max_rounds`` rounds were not enough.
+    two tables, from plans of a few joins, and deletes those before; the last one is the result's, and ``scratch``'s to delete
+    where one is given. Raises if ``max_rounds`` rounds were not enough.
     """
     spark = edges.sparkSession
     e, path = store(
@@ -110,5 +128,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             discard(spark, old)
     else:
         raise RuntimeError(f"components are not complete after {max_rounds} rounds")
+    if scratch is not None:
+        scratch.paths.append(path)
     tops = e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(tops)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, free_name, small_side, store
@@ -101,8 +101,7 @@ def aims(cells: DataFrame, targets: DataFrame, slack: float = SLACK) -> DataFram
 def rake(cells: DataFrame, targets: DataFrame, iterations: int = ITERATIONS, slack: float = SLACK) -> DataFrame:
     """``cells`` with ``weight``, at most ``tokens``, whose marginals tend to the targets' shares.
 
-    The table has one row per cell, never per document. A pass sums the weights per value of an axis (partial sums first) and
-    joins the factors back.
+    The table has one row per cell, never per document. A pass sums the weights per value of each axis in turn and writes one table.
     """
     wide, by = cells.withColumn("weight", F.col("tokens").cast("double")), cut(aims(cells, targets, slack))
     for axis in AXES:
@@ -110,11 +109,12 @@ def rake(cells: DataFrame, targets: DataFrame, iterations: int = ITERATIONS, sla
     wide, path = store(wide)
     for _ in range(iterations):
         for axis in AXES:
-            now = wide.groupBy(axis).agg(F.sum("weight").alias("now"))
+            now = wide.withColumn("now", F.sum("weight").over(Window.partitionBy(axis)))
             fit = F.least(F.col("weight") * F.col(f"to_{axis}") / F.col("now"), F.col("tokens").cast("double"))
-            old, moved = path, F.when(F.col(f"to_{axis}").isNull() | (F.col("now") <= 0), F.col("weight")).otherwise(fit)
-            wide, path = store(wide.join(now, axis).withColumn("weight", moved).drop("now"))
-            discard(cells.sparkSession, old)
+            moved = F.when(F.col(f"to_{axis}").isNull() | (F.col("now") <= 0), F.col("weight")).otherwise(fit)
+            wide = now.withColumn("weight", moved).drop("now")
+        old, (wide, path) = path, store(wide)
+        discard(cells.sparkSession, old)
     return wide.select(*AXES, "tokens", "docs", "weight")
 
 
