@@ -6,8 +6,9 @@ sample of labelled documents; a held part of the sample sets the temperature and
 rejected.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, rejected; rows whose label is null are not
-learned from; without any labelled row every text is ``und``; an empty table gives an empty result; repeated rows get
-the same prediction.
+learned from; where an id is repeated, the row with the least label and counts is learned from; without any labelled row every
+text is ``und``; equal probabilities go to the first language in alphabetical order; texts of any length are taken whole; an
+empty table gives an empty result; repeated rows get the same prediction.
 """
 
 from __future__ import annotations
@@ -138,9 +139,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_
         named.select(F.xxhash64(F.col(id_col)).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
         .join(F.broadcast(ids), "key")
         .mapInPandas(_count_rows, "key long, lang string, slots array<int>, n array<float>")
+        .groupBy("key")
+        .agg(F.min(F.struct("lang", "slots", "n")).alias("v"))  # one row an id leaves the executors
+        .select("key", "v.*")
         .toPandas()
-        .sort_values(["key", "lang"], kind="stable")
-        .drop_duplicates("key")
+        .sort_values("key", kind="stable")
     )
     if not len(rows):
         return None

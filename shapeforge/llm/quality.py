@@ -212,7 +212,9 @@ def _picker(features: DataFrame, labelled: DataFrame, per_round: int):
                 best = free.where(side).orderBy(F.col("z") if label == 0 else -F.col("z"), "i").limit(n)
                 best = best.select("i", F.lit(pupil).alias("pupil"), F.lit(label).alias("y"))
                 chosen = best if chosen is None else chosen.unionByName(best)
-        rows = features.join(F.broadcast(chosen.distinct()), "i").toPandas().sort_values(["i", "t"], kind="stable").drop_duplicates(["i", "pupil"])
+        # one row an id and view leaves the executors, however often the id is repeated
+        best = features.join(F.broadcast(chosen.distinct()), "i").groupBy("i", "pupil", "y").agg(F.min(F.struct("t", "m")).alias("v"))
+        rows = best.select("i", "pupil", "y", "v.t", "v.m").toPandas().sort_values("i", kind="stable")
         shared.destroy()
         discard(spark, path)
         out = {}
@@ -233,8 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("i"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
     features, path = store(rows.mapInPandas(_featurise, f"i {dict(docs.dtypes)['doc_id']}, t binary, m binary"))
     try:
-        known = features.join(F.broadcast(picked), "i").select(F.xxhash64("i").alias("key"), "i", "y", "t", "m").toPandas()  # at most ``labelled`` ids
-        known = known.sort_values(["key", "i", "t"], kind="stable").drop_duplicates("i")
+        one = features.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min(F.struct("t", "m")).alias("v"))
+        known = one.select(F.xxhash64("i").alias("key"), "i", "y", "v.t", "v.m").toPandas().sort_values(["key", "i"], kind="stable")  # at most ``labelled`` rows
         if not len(known):
             return None
         return co_train(_views(known["t"]), _views(known["m"]), known["y"].to_numpy(), _picker(features, lab, per_round), rounds)

@@ -59,9 +59,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected."""
+    """doc_id, held_out (false for a null id), lang_pred, score, rejected."""
     docs = _table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = langid.fit(docs.where(~held))
     return langid.predict(docs, model, [F.col("doc_id"), held.alias("held_out")])
 

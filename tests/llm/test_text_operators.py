@@ -453,3 +453,17 @@ def test_query_digests(spark, tmp_path):
     assert r[2].base_sha256 == hashlib.sha256(b"").hexdigest() and r[2].spans == ""
     r = {x.doc_id: x for x in queries.op8_sentencepiece(spark, str(tmp_path)).collect()}
     assert r[2].n_tokens == 0 and r[2].ids_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_an_id_repeated_very_often_is_one_row_of_the_sample(spark):
+    """10,000 rows of one id: the driver gets one of them for the language model and for the classifier."""
+    rows = [(i, ("the cat sat on the mat again " if i % 2 else "der hund lief durch den wald ") * 5 + str(i), "en" if i % 2 else "de", "s", 100) for i in range(200)]
+    docs = table(spark, rows + [(5, f"the cat sat on the mat {k}", "en", "s", 100) for k in range(10_000)])
+    model = langid.fit(docs)
+    assert model is not None and model.languages == ["de", "en"]
+    got = langid.predict(docs.where("doc_id < 50 and doc_id <> 5"), model, [F.col("doc_id")]).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    fitted = quality.fit(docs, labels)
+    scored = docs.where("doc_id < 50 and doc_id <> 5").select("doc_id", quality.score_column(fitted, docs).alias("s")).collect()
+    assert np.mean([(r.s >= 0.5) == (r.doc_id % 2 == 1) for r in scored]) > 0.95
