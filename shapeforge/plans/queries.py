@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as S
 from ..operators import conform, findings, graphs, history, lint, measure, project, registry, resolve, schema, shapes, vocab
+from ..operators.fixpoint import shared_folder
 from ..schemas import OWL, RDFS, SKOS, XSD
 from ..sources import documents as src
 from ..sources import shred
@@ -19,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 T = st.T
+_B = "regexp_replace(p_brand, '[^0-9]', '', 'g')"
 
 
 def query(sql: str | None = None):
@@ -310,6 +313,32 @@ def src_triples(spark, sf_dir):
     return src.parse_ntriples(lines).select("s", "o", "o_kind")
 
 
+@query(f"""SELECT 'order-' || o_orderkey AS s, 'appraisesProperty' AS p, 'cust-' || o_custkey AS o, o_orderkey::VARCHAR AS graph_id FROM {ORDERS} UNION ALL SELECT 'order-' || o_orderkey, 'priority', o_orderpriority, o_orderkey::VARCHAR FROM {ORDERS}
+  UNION ALL SELECT DISTINCT 'line-' || l_orderkey || '-' || l_linenumber, 'type', CASE l_returnflag WHEN 'R' THEN 'SalesComparisonApproach' WHEN 'A' THEN 'CostApproach' ELSE 'IncomeApproach' END, l_orderkey::VARCHAR FROM lineitem""")
+def snk_triples(spark, sf_dir):
+    """SNK1: triples written in clustered folders per predicate and read back, the many types over several files."""
+    wanted = F.col("p").isin(T + "appraisesProperty", T + "priority") | ((F.col("p") == st.TYPE) & F.col("s").startswith("line-"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    src.write_triples(st.star_graph(spark, sf_dir).where(wanted), path, "parquet", file_rows=10_000)
+    back = spark.read.parquet(path)
+    return back.select("s", _short(F.col("p")).alias("p"), F.when(F.col("o_kind") == "iri", _short(F.col("o"))).otherwise(F.col("o")).alias("o"), F.col("graph_id").cast("string").alias("graph_id"))
+
+
+@query(f"SELECT 'brand-' || {_B} || '.xsd' AS package_name, count(DISTINCT p_type) + 1 AS n FROM part GROUP BY 1")
+def src_documents(spark, sf_dir):
+    """SRC1: files of a folder as packages."""
+    found = src.read_documents(spark, st.schema_folder(spark, sf_dir))
+    return found.select("package_name", F.size(F.split(F.decode("content", "UTF-8"), "<xsd:enumeration ")).cast("long").alias("parts")).select("package_name", (F.col("parts") - 1).alias("n"))
+
+
+@query(f"SELECT 'brand-' || b || '.xsd' AS file, true AS ok, row_number() OVER (ORDER BY b)::INTEGER AS place FROM (SELECT DISTINCT {_B} AS b FROM part)")
+def src_schema_files(spark, sf_dir):
+    """SRC2: the schema files of a folder in order of name."""
+    files = src.read_schema_files(spark, st.schema_folder(spark, sf_dir))
+    heads = schema.schema_headers(files).select("file", "ok")
+    return heads.withColumn("place", F.row_number().over(Window.orderBy("file")))  # one row a file of a folder
+
+
 @query(f"SELECT o_orderkey::VARCHAR AS doc_id, status, n AS n_embedded, n AS finding_count FROM (SELECT o_orderkey, ({_EXTRA})::BIGINT AS n, CASE WHEN o_orderkey % 19 = 0 THEN 'failed' ELSE 'passed' END AS status FROM {_DOCS} WHERE fine) UNION ALL SELECT o_orderkey::VARCHAR, 'failed', 1, 1 FROM {_DOCS} WHERE NOT fine")
 def snk_reports(spark, sf_dir):
     """SNK2: nested report records."""
@@ -414,7 +443,6 @@ def _part_sets(spark, sf_dir):
     return resolve.schema_sets(shred.elements(rows), shred.attributes(rows), shred.namespaces(rows), roots)
 
 
-_PART = "regexp_replace(p_brand, '[^0-9]', '', 'g')"
 _CHILDREN = """list_filter([CASE WHEN k % 31 <> 0 THEN 'Id' END, CASE WHEN k % 2 = 0 THEN 'Made' END, CASE WHEN k % 17 = 0 THEN 'Size' WHEN k % 11 <> 0 THEN 'Kind' END, CASE WHEN k % 17 = 0 THEN 'Kind' ELSE 'Size' END, 'Retail', CASE WHEN k % 19 = 0 THEN 'Free' END]
   || CASE WHEN k % 3 = 0 THEN ['Tag', 'Mark', 'Tag'] ELSE [] END, lambda x: x IS NOT NULL)"""
 _FOLLOWS = [("^", "Id"), ("Id", "Made"), ("Id", "Kind"), ("Made", "Kind"), ("Kind", "Size"), ("Size", "Retail"), ("Size", "Free"), *((a, b) for a in ("Retail", "Free", "Tag", "Mark") for b in ("Tag", "Mark", "$"))]
@@ -448,7 +476,7 @@ _OF_PART = """(VALUES ('ThingType', 'Id', 'int', 1, 1, 1), ('ThingType', 'Made',
   ('#root', 'Part', 'PartType', 1, 0, 1), ('#root', 'Tag', 'ShortText', 1, 0, 1)) t(owner, name, type_ref, pos, min_occurs, max_occurs)"""
 
 
-@query(f"SELECT 'brand-' || b || '.xsd' AS set_id, owner, name, type_ref, pos::INTEGER AS pos, min_occurs::INTEGER AS min_occurs, max_occurs::INTEGER AS max_occurs, name IN ('Retail', 'Free') AS in_choice FROM (SELECT DISTINCT {_PART} AS b FROM part), {_OF_PART}")
+@query(f"SELECT 'brand-' || b || '.xsd' AS set_id, owner, name, type_ref, pos::INTEGER AS pos, min_occurs::INTEGER AS min_occurs, max_occurs::INTEGER AS max_occurs, name IN ('Retail', 'Free') AS in_choice FROM (SELECT DISTINCT {_B} AS b FROM part), {_OF_PART}")
 def sch_declarations(spark, sf_dir):
     """SCH3: the declarations of every brand's schema set, base content first."""
     d = _part_sets(spark, sf_dir).declarations
@@ -615,7 +643,6 @@ def str_documentation(spark, sf_dir):
 
 # ---- schemas and vocabularies (SCH, VOC) ---------------------------------------------------------------------------
 
-_B = "regexp_replace(p_brand, '[^0-9]', '', 'g')"
 
 
 def _schema_rows(spark, sf_dir):
@@ -733,7 +760,7 @@ def voc_shapes(spark, sf_dir):
     return vocab.structural_shapes(_components(spark, sf_dir)).select("shape", _short(F.col("path")).alias("path"), "kind", "value").distinct()
 
 
-@query(f"""SELECT 'brand-' || b || '.xsd' AS set_id, name, kind, range FROM (SELECT DISTINCT {_PART} AS b FROM part), (VALUES ('Part', 'ObjectProperty', 'PartType'), ('Free', 'ObjectProperty', NULL), ('Id', 'DatatypeProperty', '{XSD}int'),
+@query(f"""SELECT 'brand-' || b || '.xsd' AS set_id, name, kind, range FROM (SELECT DISTINCT {_B} AS b FROM part), (VALUES ('Part', 'ObjectProperty', 'PartType'), ('Free', 'ObjectProperty', NULL), ('Id', 'DatatypeProperty', '{XSD}int'),
   ('Made', 'DatatypeProperty', 'WhenType'), ('Kind', 'DatatypeProperty', 'KindType'), ('Size', 'DatatypeProperty', 'SizeType'), ('Retail', 'DatatypeProperty', 'AmountType'), ('Tag', 'DatatypeProperty', 'ShortText'), ('Mark', 'DatatypeProperty', '{XSD}string'),
   ('k', 'DatatypeProperty', '{XSD}int'), ('cur', 'DatatypeProperty', '{XSD}string'), ('unit', 'DatatypeProperty', 'UnitType'), ('lot', 'DatatypeProperty', 'ShortText')) t(name, kind, range)""")
 def voc_set_properties(spark, sf_dir):
@@ -751,8 +778,8 @@ _PART_SHAPES = """('Kind', 'minCount', '1'), ('Kind', 'maxCount', '1'), ('Kind',
 @query(f"""WITH own AS (SELECT * FROM (VALUES {_SHAPES}) t(owner, path, kind, value, g, branch)),
   every AS (SELECT * FROM own UNION ALL SELECT 'PartType', path, kind, value, g, branch FROM own UNION ALL SELECT 'AmountType', 'cur', kind, value, '', '' FROM (VALUES ('maxCount', '1'), ('datatype', 'string'), ('in', 'EUR')) t(kind, value)
     UNION ALL SELECT 'PartType', path, kind, value, CASE WHEN path IN ('Retail', 'Free') AND kind = 'minCount' THEN 'choice' ELSE '' END, CASE WHEN path IN ('Retail', 'Free') AND kind = 'minCount' THEN path ELSE '' END FROM (VALUES {_PART_SHAPES}) t(path, kind, value))
-  SELECT 'brand-' || b || '.xsd' AS set_id, owner, path, kind, value, g, branch FROM (SELECT DISTINCT {_PART} AS b FROM part), every
-  UNION ALL SELECT DISTINCT 'brand-' || {_PART} || '.xsd', 'PartType', 'Kind', 'in', p_type, '', '' FROM part""")
+  SELECT 'brand-' || b || '.xsd' AS set_id, owner, path, kind, value, g, branch FROM (SELECT DISTINCT {_B} AS b FROM part), every
+  UNION ALL SELECT DISTINCT 'brand-' || {_B} || '.xsd', 'PartType', 'Kind', 'in', p_type, '', '' FROM part""")
 def voc_set_shapes(spark, sf_dir):
     """VOC9 over includes: inherited content, attributes, facets of base types, node, alternatives of a choice and of a union."""
     rows = vocab.set_shapes(_part_sets(spark, sf_dir))

@@ -6,9 +6,12 @@ order key plant defects, so the expected rows follow from the base tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fixpoint import shared_folder
 from ..schemas import OWL, RDF, RDFS, TERMS, XSD
 
 T = TERMS
@@ -258,3 +261,16 @@ def nested_shapes(spark: SparkSession) -> DataFrame:
     rows += [("S0", "Chain", "made", "pattern", p, "when", b) for b, p in (("year", "^[0-9]{4}$"), ("date", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"))]
     rows += [("S0", "Chain", b, "minCount", "1", "payment", b) for b in ("cash", "loan")]
     return spark.createDataFrame([(s, T + c, T + p, k, v, "violation", g, b) for s, c, p, k, v, g, b in rows], "shape string, target_class string, path string, kind string, value string, severity string, group_id string, branch string")
+
+
+def schema_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the session with one schema file per brand (25 names)."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    schema_documents(spark, sf_dir).select("file", "text").repartition("file").write.partitionBy("file").text(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.globStatus(at(f"{path}/file=*/part-*")):
+        found = part.getPath()
+        fs.rename(found, at(f"{path}/{found.getParent().getName().removeprefix('file=')}"))
+        fs.delete(found.getParent(), True)
+    return path

@@ -91,12 +91,23 @@ def triple_lines(triples: DataFrame) -> DataFrame:
     return triples.select(ntriples(*[F.col(c) for c in ("s", "p", "o", "o_kind", "o_datatype", "o_lang")]).alias("value"))
 
 
-def write_triples(triples: DataFrame, path: str, form: str = "ntriples") -> None:
-    """SNK1: N-Triples text, or Parquet in one folder per predicate (few predicates hold most triples)."""
+#: Triples of a file of ``write_triples``, about.
+FILE_ROWS = 4_000_000
+
+
+def clustered_triples(triples: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``triples`` in ranges of (predicate, graph) of about ``file_rows``: a predicate that holds more is spread over ranges of its graphs
+    (by sampled bounds), and those that hold few share a task, so a folder per predicate gets few files, all of useful size."""
+    n = max(1, -(-triples.count() // file_rows))
+    return triples.repartitionByRange(n, "p", "graph_id").sortWithinPartitions("p", "graph_id", "s")
+
+
+def write_triples(triples: DataFrame, path: str, form: str = "ntriples", file_rows: int = FILE_ROWS) -> None:
+    """SNK1: N-Triples text, or Parquet in one folder per predicate (few predicates hold most triples), clustered before."""
     if form == "ntriples":
         triple_lines(triples).write.mode("overwrite").text(path)
     else:
-        triples.write.mode("overwrite").partitionBy("p").parquet(path)
+        clustered_triples(triples, file_rows).write.mode("overwrite").partitionBy("p").parquet(path)
 
 
 def nested_reports(reports: DataFrame, findings: DataFrame, limit: int | None = None) -> DataFrame:

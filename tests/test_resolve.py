@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shapeforge.operators import conform, resolve, shapes, vocab
 from shapeforge.operators.fixpoint import grown
 from shapeforge.schemas import TERMS, XSD_NS
-from shapeforge.sources import shred
+from shapeforge.sources import documents, shred
 
 X = f'xmlns:x="{XSD_NS}"'
 FILES = {
@@ -162,3 +162,13 @@ def test_node_shapes_reach_untyped_nodes_and_end_on_rings(spark):
     got = {(r.focus, r.shape, r.component, r.value) for r in shapes.validate_shapes(t, table, t.where("false")).collect()}
     # b fails U by its two decimal places, so a fails S; the warning of a fails nothing; a literal conforms to U: it has no properties
     assert got == {("a", "S", "node", "b"), ("a", "S", "minCount", None)}
+
+
+def test_triples_are_written_in_few_files_and_hot_predicates_in_many(spark, tmp_path):
+    rows = spark.range(6000).select(F.concat(F.lit("g"), F.col("id") % 50).alias("graph_id"), F.concat(F.lit("s"), "id").alias("s"), F.when(F.col("id") % 6 == 0, F.concat(F.lit("p"), F.col("id") % 5)).otherwise("type").alias("p"), F.lit("o").alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    documents.write_triples(rows.repartition(16), str(tmp_path / "t"), "parquet", file_rows=500)
+    files = {}
+    for f in (tmp_path / "t").glob("p=*/*.parquet"):
+        files[f.parent.name] = files.get(f.parent.name, 0) + 1
+    assert files.pop("p=type") >= 6 and len(files) == 5 and max(files.values()) <= 3
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "t")).select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
