@@ -244,11 +244,11 @@ def grf_closure(spark, sf_dir):
     return graphs.subclass_closure(st.class_tree(spark, sf_dir))
 
 
-@query("SELECT DISTINCT r_name AS s FROM region UNION SELECT 'x' WHERE false")
+@query("SELECT 'opinion-' || o_orderkey AS s FROM orders WHERE o_orderkey % 7 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def lnt_missing_terms(spark, sf_dir):
-    """LNT2: regions that nothing declares as a class (the tree has axioms only)."""
-    r = st.table(spark, sf_dir, "region").select(F.col("r_name").alias("term"), F.lit(OWL + "Class").alias("cls"))
-    return lint.missing_terms(st.class_tree(spark, sf_dir), r).select(F.col("term").alias("s"))
+    """LNT2: opinions that no graph declares, of those that each order should have."""
+    wanted = st.table(spark, sf_dir, "orders").select(F.concat(F.lit("opinion-"), F.col("o_orderkey").cast("string")).alias("term"), F.lit(T + "OpinionOfValue").alias("cls"))
+    return lint.missing_terms(st.star_graph(spark, sf_dir), wanted).select(F.col("term").alias("s"))
 
 
 # ---- documents (DOC, SRC, SNK) -------------------------------------------------------------------------------------
@@ -859,25 +859,29 @@ def lnk_arcs(spark, sf_dir):
 # ---- lint and reports (LNT, RPT) -----------------------------------------------------------------------------------
 
 
-@query(f"SELECT DISTINCT 'cond-' || o_orderkey AS s FROM {ORDERS} WHERE c_acctbal > 0")
+@query(f"SELECT o_orderkey::VARCHAR AS graph_id, 'order-' || o_orderkey AS s FROM {ORDERS} WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
 def lnt_annotation(spark, sf_dir):
-    """LNT1: ratings carry no label."""
-    return lint.missing_annotation(st.star_graph(spark, sf_dir), T + "PropertyConditionRating", RDFS + "label").select("s")
+    """LNT1: a third of the orders has no label and a fifth a blank one."""
+    key = F.col("o_orderkey").cast("string")
+    label = F.when(F.col("o_orderkey") % 5 == 0, "  ").otherwise(F.col("o_orderpriority"))
+    labels = st.table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(key.alias("graph_id"), F.concat(F.lit("order-"), key).alias("s"), F.lit(RDFS + "label").alias("p"), label.alias("o"))
+    facts = st.star_graph(spark, sf_dir).select("graph_id", "s", "p", "o").unionByName(labels)
+    return lint.missing_annotation(facts, T + "Appraisal", RDFS + "label")
 
 
-@query("SELECT DISTINCT 'tree' AS graph_id, r_name AS s, 'foreign-namespace' AS reason FROM region UNION ALL SELECT 'tree', 'NATION_' || (n_nationkey), 'invalid-local-name' FROM nation WHERE false")
+@query(f"SELECT 'parts' AS graph_id, CASE WHEN p_partkey % 3 = 0 THEN 'urn:other#Part' ELSE '{T}Part ' END || p_partkey AS s, CASE WHEN p_partkey % 3 = 0 THEN 'foreign-namespace' ELSE 'invalid-local-name' END AS reason FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0")
 def lnt_foreign(spark, sf_dir):
-    """LNT3: regions declared as classes outside the namespace of nations."""
-    n, r = st.table(spark, sf_dir, "nation"), st.table(spark, sf_dir, "region")
-    row = lambda df, c: df.select(F.lit("tree").alias("graph_id"), c.alias("s"), F.lit(st.TYPE).alias("p"), F.lit(OWL + "Class").alias("o"))
-    return lint.foreign_terms(row(n, F.col("n_name")).unionByName(row(r, F.col("r_name"))), [OWL + "Class"], "NATION")
+    """LNT3: parts as classes, a third of another namespace, a fifth with a blank in the name."""
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 3 == 0, "urn:other#Part").when(k % 5 == 0, T + "Part ").otherwise(T + "Part"), k.cast("string"))
+    facts = st.table(spark, sf_dir, "part").select(F.lit("parts").alias("graph_id"), name.alias("s"), F.lit(st.TYPE).alias("p"), F.lit(OWL + "Class").alias("o"))
+    return lint.foreign_terms(facts, [OWL + "Class"], T)
 
 
-@query("SELECT count(*) AS n_declared, count(*) = 1 AS ok FROM region")
+@query(f"SELECT count(*) AS n_declared, min('opinion-' || o_orderkey) AS first_iri, max('opinion-' || o_orderkey) AS last_iri, count(*) = 1 AS ok FROM {ORDERS} WHERE o_orderkey % 7 <> 0")
 def lnt_single(spark, sf_dir):
-    """LNT4: regions as ontology declarations: more than one."""
-    r = st.table(spark, sf_dir, "region").select(F.lit("g").alias("graph_id"), F.col("r_name").alias("s"), F.lit(st.TYPE).alias("p"), F.lit(OWL + "Ontology").alias("o"))
-    return lint.single_declaration(r, OWL + "Ontology").select("n_declared", "ok")
+    """LNT4: the opinions of all graphs, of which there should be one."""
+    return lint.single_declaration(st.star_graph(spark, sf_dir), T + "OpinionOfValue")
 
 
 @query("SELECT p_type AS resource_type, round(avg(CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE 1.0 END), 9) AS full_share, count(*) AS n FROM part GROUP BY p_type")
