@@ -212,13 +212,12 @@ def grf_focus_count(spark, sf_dir):
     return graphs.focus_count_check(st.star_graph(spark, sf_dir), T + "Reconciliation", 1)
 
 
-@query("SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'first' WHEN o_orderkey % 11 = 0 THEN 'second' ELSE 'shared' END AS side, count(*) AS n FROM orders WHERE NOT (o_orderkey % 13 = 0 AND o_orderkey % 11 = 0) GROUP BY 1")
+@query(f"SELECT o_orderkey::VARCHAR AS graph_id, 'order-' || o_orderkey AS s, 'cust-' || o_custkey AS o, CASE WHEN o_orderkey % 13 = 0 THEN 'first' WHEN o_orderkey % 11 = 0 THEN 'second' ELSE 'shared' END AS side FROM {ORDERS} WHERE NOT (o_orderkey % 13 = 0 AND o_orderkey % 11 = 0)")
 def grf_diff(spark, sf_dir):
-    """GRF3: two versions of the property facts."""
+    """GRF3: two versions of the property facts, every triple with its side."""
     facts = graphs.match(st.star_graph(spark, sf_dir), p=T + "appraisesProperty")
     key = F.col("graph_id").cast("long")
-    out = graphs.graph_diff(facts.where(key % 11 != 0), facts.where(key % 13 != 0))
-    return out.groupBy("side").agg(F.count("*").alias("n"))
+    return graphs.graph_diff(facts.where(key % 11 != 0), facts.where(key % 13 != 0)).select("graph_id", "s", "o", "side")
 
 
 @query(f"SELECT o_orderkey::VARCHAR AS graph_id, 'order-' || o_orderkey AS s, 'cust-' || o_custkey AS o FROM {ORDERS}")
@@ -390,12 +389,12 @@ def con_choice(spark, sf_dir):
     return _out(conform.choice_violations(_typed(spark, sf_dir), st.declarations(spark)), "observed_value")
 
 
-@query(f"SELECT o_orderkey::VARCHAR AS doc_id, 'missing-attribute' AS error_code, n_lines AS n FROM {_DOCS} WHERE fine AND o_orderkey % 43 = 0 AND n_lines > 0 UNION ALL SELECT o_orderkey::VARCHAR, 'unknown-attribute', 1 FROM {_DOCS} WHERE fine AND o_orderkey % 47 = 0")
+@query(f"""SELECT l_orderkey::VARCHAR AS doc_id, '/Report[1]/Line[' || row_number() OVER (PARTITION BY l_orderkey) || ']' AS data_location, 'missing-attribute' AS error_code, 'Missing attribute n' AS message, '' AS observed_value FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 31 <> 0 AND l_orderkey % 43 = 0
+  UNION ALL SELECT o_orderkey::VARCHAR, '/Report[1]', 'unknown-attribute', 'Unexpected attribute x', '1' FROM {_DOCS} WHERE fine AND o_orderkey % 47 = 0""")
 def con_attributes(spark, sf_dir):
-    """CON6."""
+    """CON6: every finding with its place."""
     rows = _rows(spark, sf_dir).persist()
-    bad = conform.attribute_violations(_typed(spark, sf_dir, rows), shred.attributes(rows), st.declared_attributes(spark))
-    return bad.groupBy("doc_id", "error_code").agg(F.count("*").alias("n"))
+    return _out(conform.attribute_violations(_typed(spark, sf_dir, rows), shred.attributes(rows), st.declared_attributes(spark)), "error_code", "message", "observed_value")
 
 
 @query(f"SELECT o_orderkey::VARCHAR AS doc_id, '/Report[1]/Date[' || i || ']' AS data_location, '2024-13-45' AS observed_value FROM {_DOCS}, (VALUES (1), (2)) v(i) WHERE fine AND o_orderkey % 29 = 0 AND (i = 1 OR o_orderkey % 41 = 0)")
@@ -404,12 +403,12 @@ def con_datatype(spark, sf_dir):
     return _out(conform.datatype_violations(_typed(spark, sf_dir)), "observed_value")
 
 
-@query(f"""SELECT o_orderkey::VARCHAR AS doc_id, 'Size' AS what, 1::BIGINT AS n FROM {_DOCS} WHERE fine AND o_custkey % 100 > 89 UNION ALL SELECT o_orderkey::VARCHAR, 'Form', 1 FROM {_DOCS} WHERE fine
-  UNION ALL SELECT l_orderkey::VARCHAR, 'Part', count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey > 89 AND l_orderkey % 31 <> 0 GROUP BY l_orderkey""")
+@query(f"""SELECT o_orderkey::VARCHAR AS doc_id, '/Report[1]/Size[1]' AS data_location, (o_custkey % 100)::VARCHAR AS observed_value FROM {_DOCS} WHERE fine AND o_custkey % 100 > 89
+  UNION ALL SELECT o_orderkey::VARCHAR, '/Report[1]/Form[1]', CASE WHEN o_orderkey % 61 = 0 THEN 'F2' ELSE 'F1' END FROM {_DOCS} WHERE fine
+  UNION ALL SELECT k::VARCHAR, '/Report[1]/Line[' || i || ']/Part[1]', part::VARCHAR FROM (SELECT l_orderkey AS k, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey) AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE part > 89 AND k % 31 <> 0""")
 def con_facets(spark, sf_dir):
-    """CON8."""
-    found = conform.facet_violations(_typed(spark, sf_dir), st.facets(spark))
-    return found.groupBy("doc_id", F.regexp_extract("data_location", r"/([A-Za-z]+)\[\d+\]$", 1).alias("what")).agg(F.count("*").alias("n"))
+    """CON8: every finding with its place and value."""
+    return _out(conform.facet_violations(_typed(spark, sf_dir), st.facets(spark)), "observed_value")
 
 
 @query(f"SELECT o_orderkey::VARCHAR AS doc_id, '/Report[1]/Status[1]' AS data_location, chr(10) || '    ' || o_orderstatus || chr(10) || '  ' AS observed_value FROM {_DOCS} WHERE fine AND o_orderkey % 23 = 0 AND o_orderkey % 17 <> 0")
@@ -669,12 +668,12 @@ def sch_profile(spark, sf_dir):
     return schema.component_profile(_schema_rows(spark, sf_dir)[0]).select("file", F.array_join("constructs", ",").alias("constructs"))
 
 
-@query(f"SELECT 'brand-' || {_B} || '.xsd' AS file, 'File: brand-' || {_B} || '.xsd' || chr(10) || 'Header line: 4' AS head FROM part GROUP BY {_B}")
+@query(f"""SELECT 'brand-' || b || '.xsd' AS file, array_to_string(['File: brand-' || b || '.xsd', 'Header line: 4', 'Prefix: xsd', 'Attributes:', '  xmlns:xsd="{XSD.rstrip('#')}"', '  targetNamespace="urn:brand:' || b || '"', '  xmlns:b="urn:brand:' || b || '"', 'Constructs:',
+  '  ' || array_to_string(CASE WHEN big THEN {_CONSTRUCTS} ELSE ['annotation', 'documentation', 'enumeration', 'restriction', 'simpleType'] END, chr(10) || '  ')], chr(10)) AS value FROM (SELECT {_B} AS b, max(p_size) > 40 AS big FROM part GROUP BY 1)""")
 def snk_profiles(spark, sf_dir):
-    """SNK3: the text of each file's profile (its first lines)."""
+    """SNK3: the whole text of each file's profile."""
     heads = schema.schema_headers(st.schema_documents(spark, sf_dir))
-    texts = src.profile_texts(heads.join(schema.component_profile(_schema_rows(spark, sf_dir)[0]), "file"))
-    return texts.select("file", F.substring_index("value", "\n", 2).alias("head"))
+    return src.profile_texts(heads.join(schema.component_profile(_schema_rows(spark, sf_dir)[0]), "file"))
 
 
 @query(f"""SELECT file, construct, count(*) AS n, min(o) AS owner FROM (
