@@ -793,12 +793,26 @@ def voc_set_shapes(spark, sf_dir):
 # ---- projection and links (PRJ, LNK) -------------------------------------------------------------------------------
 
 
-@query(f"SELECT o_orderkey::VARCHAR AS graph_id, (1 + 2 + {_STATUS} + 1 + {_CHOICE} + CASE WHEN o_orderkey % 41 = 0 AND false THEN 1 ELSE 0 END + 4 * n_lines + CASE WHEN o_orderkey % 43 = 0 THEN 0 ELSE n_lines END + CASE WHEN o_orderkey % 47 = 0 THEN 1 ELSE 0 END)::BIGINT AS n FROM {_DOCS} WHERE fine")
+@query("""WITH d AS (SELECT o_orderkey AS k, o_orderkey || '/o' || o_orderkey AS root, * FROM orders WHERE o_orderkey % 31 <> 0),
+  l AS (SELECT k, root, l_linenumber AS n, l_returnflag AS f, l_partkey AS part, k || '/' || substr(sha256('/Report[1]/Line[' || row_number() OVER (PARTITION BY k ORDER BY l_linenumber, l_returnflag, l_partkey) || ']'), 1, 20) AS node FROM lineitem JOIN d ON k = l_orderkey)
+  SELECT k::VARCHAR AS graph_id, root AS s, 'type' AS p, 'ReportType' AS o, 'iri' AS o_kind, NULL AS o_datatype FROM d
+  UNION ALL SELECT k::VARCHAR, root, 'Form', CASE WHEN k % 61 = 0 THEN 'F2' ELSE 'F1' END, 'literal', 'string' FROM d
+  UNION ALL SELECT k::VARCHAR, root, 'Status', CASE WHEN k % 23 = 0 THEN chr(10) || '    ' || o_orderstatus || chr(10) || '  ' ELSE o_orderstatus END, 'literal', 'string' FROM d WHERE k % 17 <> 0
+  UNION ALL SELECT k::VARCHAR, root, 'Date', CASE WHEN k % 29 = 0 THEN '2024-13-45' ELSE strftime(o_orderdate, '%Y-%m-%d') END, 'literal', 'string' FROM d
+  UNION ALL SELECT k::VARCHAR, root, 'Cash', '1', 'literal', 'int' FROM d WHERE k % 59 <> 0 AND (k % 53 = 0 OR o_orderpriority = '1-URGENT')
+  UNION ALL SELECT k::VARCHAR, root, 'Loan', '1', 'literal', 'int' FROM d WHERE k % 59 <> 0 AND (k % 53 = 0 OR o_orderpriority <> '1-URGENT')
+  UNION ALL SELECT k::VARCHAR, root, 'Size', (o_custkey % 100)::VARCHAR, 'literal', 'int' FROM d
+  UNION ALL SELECT k::VARCHAR, root, 'x', '1', 'literal', 'string' FROM d WHERE k % 47 = 0
+  UNION ALL SELECT k::VARCHAR, root, 'Line', node, 'iri', NULL FROM l UNION ALL SELECT k::VARCHAR, node, 'type', 'LineType', 'iri', NULL FROM l
+  UNION ALL SELECT k::VARCHAR, node, 'Flag', f, 'literal', 'string' FROM l UNION ALL SELECT k::VARCHAR, node, 'Part', part::VARCHAR, 'literal', 'int' FROM l
+  UNION ALL SELECT k::VARCHAR, node, 'n', n::VARCHAR, 'literal', 'string' FROM l WHERE k % 43 <> 0""")
 def prj_instances(spark, sf_dir):
-    """PRJ1-2: triples per report; equal repeats are one fact."""
+    """PRJ1-2: every triple of every report, node names included; equal repeats are one fact."""
     rows = _rows(spark, sf_dir).persist()
     out = project.project_instances(_typed(spark, sf_dir, rows), shred.attributes(rows))
-    return out.groupBy("graph_id").agg(F.count("*").alias("n"))
+    name = lambda c: F.regexp_replace(c, "^.*/instance/", "")
+    value = F.when(F.col("o_kind") == "iri", _short(name("o"))).otherwise(F.col("o"))
+    return out.select("graph_id", name("s").alias("s"), _short(F.col("p")).alias("p"), value.alias("o"), "o_kind", _short(F.col("o_datatype")).alias("o_datatype"))
 
 
 @query(f"SELECT o_orderkey::VARCHAR AS doc_id FROM {_DOCS} WHERE fine AND o_orderkey % 19 <> 0")
