@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import ancestor_paths, compared, normalize_path, strip
+from ..schemas import XSI_NS
 from .fixpoint import grown, stored
 
 ROOT = "#root"
@@ -92,16 +93,17 @@ def _child_counts(typed: DataFrame) -> DataFrame:
 
 
 def missing_elements(typed: DataFrame, declarations: DataFrame) -> DataFrame:
-    """CON2: required children that are absent; the place is the parent, the only one the document has."""
-    need = declarations.where((F.coalesce("min_occurs", F.lit(1)) > 0) & (F.col("owner") != ROOT) & F.col("choice_id").isNull()).select(F.col("owner").alias("type_ref"), "name", F.coalesce("min_occurs", F.lit(1)).alias("least"))
+    """CON2: required children that are absent; the place is the parent, the only one the document has. What a name needs at several
+    places of a type adds up."""
+    need = declarations.where((F.coalesce("min_occurs", F.lit(1)) > 0) & (F.col("owner") != ROOT) & F.col("choice_id").isNull()).groupBy(F.col("owner").alias("type_ref"), "name").agg(F.sum(F.coalesce("min_occurs", F.lit(1))).cast("int").alias("least"))
     wanted = typed.where("declared").select("doc_id", "path", "type_ref").join(need, "type_ref")
     got = wanted.join(_child_counts(typed), ["doc_id", "path", "name"], "left").where(F.coalesce("n", F.lit(0)) < F.col("least"))
     return got.select(*finding("missing-element", F.concat(F.lit("Missing element "), "name"), F.col("type_ref"), F.coalesce("n", F.lit(0)).cast("string"), F.concat(F.lit("at least "), F.col("least").cast("string"), F.lit(" "), F.col("name"))))
 
 
 def too_many_elements(typed: DataFrame, declarations: DataFrame) -> DataFrame:
-    """CON3: children that stand more often than allowed; one finding per parent and name."""
-    most = declarations.where(F.col("max_occurs").isNotNull()).select(F.col("owner").alias("parent_type"), F.col("name").alias("local_name"), F.col("max_occurs").alias("most"))
+    """CON3: children that stand more often than allowed at all places of their name together; one finding per parent and name."""
+    most = declarations.groupBy(F.col("owner").alias("parent_type"), F.col("name").alias("local_name")).agg(F.when(F.count("max_occurs") == F.count(F.lit(1)), F.sum("max_occurs")).cast("int").alias("most")).where("most is not null")
     rows = typed.where("declared").groupBy("doc_id", "parent_path", "parent_type", "local_name").agg(F.count(F.lit(1)).alias("n"))
     over = rows.join(most, ["parent_type", "local_name"]).where("n > most")
     return over.select(*finding("too-many-elements", F.concat(F.lit("Too many elements "), "local_name"), F.col("parent_type"), F.col("n").cast("string"), F.concat(F.lit("at most "), F.col("most").cast("string")), "parent_path"))
@@ -118,12 +120,14 @@ def order_violations(typed: DataFrame, declarations: DataFrame) -> DataFrame:
 
 
 def choice_violations(typed: DataFrame, declarations: DataFrame) -> DataFrame:
-    """CON5: more than one branch of a choice, or none of a required one (one whose branches all have min_occurs > 0)."""
-    branch = declarations.where(F.col("choice_id").isNotNull()).select(F.col("owner").alias("parent_type"), F.col("name").alias("local_name"), "choice_id", "branch", F.coalesce("min_occurs", F.lit(1)).alias("least"))
+    """CON5: more than one branch of a choice, or none of a required one (one whose branches all have min_occurs > 0). A name that
+    stands elsewhere in the type too may be there for that, so it is no second branch (CON4 judges its place)."""
+    places = declarations.groupBy(F.col("owner").alias("parent_type"), F.col("name").alias("local_name")).agg((F.count(F.lit(1)) > 1).alias("elsewhere"))
+    branch = declarations.where(F.col("choice_id").isNotNull()).select(F.col("owner").alias("parent_type"), F.col("name").alias("local_name"), "choice_id", "branch", F.coalesce("min_occurs", F.lit(1)).alias("least")).join(places, ["parent_type", "local_name"])
     choices = branch.groupBy(F.col("parent_type").alias("type_ref"), "choice_id").agg((F.min("least") > 0).alias("required"))
     parents = typed.where("declared").select("doc_id", "path", "type_ref").join(choices, "type_ref")
-    used = typed.where("declared").join(branch, ["parent_type", "local_name"]).groupBy("doc_id", F.col("parent_path").alias("path"), "choice_id").agg(F.count_distinct("branch").alias("n"))
-    rows = parents.join(used, ["doc_id", "path", "choice_id"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n > 1 or (n = 0 and required)")
+    used = typed.where("declared").join(branch, ["parent_type", "local_name"]).groupBy("doc_id", F.col("parent_path").alias("path"), "choice_id").agg(F.size(F.collect_set("branch")).alias("met"), F.size(F.collect_set(F.when(~F.col("elsewhere"), F.col("branch")))).alias("n"))
+    rows = parents.join(used, ["doc_id", "path", "choice_id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("met", "n")}).where("n > 1 or (met = 0 and required)")
     return rows.select(*finding("choice", F.concat(F.lit("Choice "), "choice_id"), F.col("type_ref"), F.col("n").cast("string"), F.lit("exactly one branch")))
 
 
@@ -255,27 +259,50 @@ def datatype_violations(typed: DataFrame, unions: DataFrame | None = None) -> Da
     return rows.where(~good).select(*finding("datatype", F.concat(F.lit("Not a valid "), "type_ref"), F.col("type_ref"), F.col("value"), F.col("type_ref")))
 
 
+def breaks_facet(facet: Column, limit: Column, v: Column) -> Column:
+    """Whether the value ``v`` is outside a facet's limit; null for facets that don't limit values."""
+    fraction = F.length(F.regexp_extract(v, r"\.([0-9]*)\z", 1))
+    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
+    return (
+        F.when(facet == "maxLength", F.char_length(v) > limit.try_cast("int"))
+        .when(facet == "minLength", F.char_length(v) < limit.try_cast("int"))
+        .when(facet == "length", F.char_length(v) != limit.try_cast("int"))
+        .when(facet == "minInclusive", F.coalesce(compared(v, limit) < 0, F.lit(False)))
+        .when(facet == "maxInclusive", F.coalesce(compared(v, limit) > 0, F.lit(False)))
+        .when(facet == "minExclusive", F.coalesce(compared(v, limit) <= 0, F.lit(False)))
+        .when(facet == "maxExclusive", F.coalesce(compared(v, limit) >= 0, F.lit(False)))
+        .when(facet == "fractionDigits", fraction > limit.try_cast("int"))
+        .when(facet == "totalDigits", digits > limit.try_cast("int"))
+        .when(facet == "pattern", ~F.regexp_like(v, F.concat(F.lit(r"\A(?:"), limit, F.lit(r")\z"))))
+    )
+
+
 def facet_violations(typed: DataFrame, facets: DataFrame) -> DataFrame:
     """CON8: one finding per failing facet (``type_ref, facet, limit``)."""
     rows = simple_values(typed).join(facets, "type_ref")
     v, limit = F.col("value"), F.col("limit")
-    fraction = F.length(F.regexp_extract(v, r"\.([0-9]*)\z", 1))
-    digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    bad = (
-        F.when(F.col("facet") == "maxLength", F.char_length(v) > limit.try_cast("int"))
-        .when(F.col("facet") == "minLength", F.char_length(v) < limit.try_cast("int"))
-        .when(F.col("facet") == "length", F.char_length(v) != limit.try_cast("int"))
-        .when(F.col("facet") == "minInclusive", F.coalesce(compared(v, limit) < 0, F.lit(False)))
-        .when(F.col("facet") == "maxInclusive", F.coalesce(compared(v, limit) > 0, F.lit(False)))
-        .when(F.col("facet") == "minExclusive", F.coalesce(compared(v, limit) <= 0, F.lit(False)))
-        .when(F.col("facet") == "maxExclusive", F.coalesce(compared(v, limit) >= 0, F.lit(False)))
-        .when(F.col("facet") == "fractionDigits", fraction > limit.try_cast("int"))
-        .when(F.col("facet") == "totalDigits", digits > limit.try_cast("int"))
-        .when(F.col("facet") == "pattern", ~F.regexp_like(v, F.concat(F.lit(r"\A(?:"), limit, F.lit(r")\z"))))
-    )
+    bad = breaks_facet(F.col("facet"), limit, v)
     return rows.where(bad).select(*finding("facet", F.concat(F.lit("Facet "), "facet"), F.col("type_ref"), v, F.concat("facet", F.lit(" "), "limit")))
 
 
+def union_violations(typed: DataFrame, alternatives: DataFrame) -> DataFrame:
+    """CON7, CON8, CON9: values of a union that have the form of some member but meet the facets and the list of none
+    (``type_ref, alternatives``, see ``resolve.schema_sets``). Values without the form of any are those of ``datatype_violations``."""
+    rows = simple_values(typed).join(alternatives, "type_ref")
+    v = F.col("value")
+    formed = lambda a: a["kind"].isNull() | is_lexical(a["kind"], v)
+    meets = lambda a: formed(a) & (a["listed"].isNull() | F.array_contains(a["listed"], v)) & ~F.exists(a["facets"], lambda f: F.coalesce(breaks_facet(f["facet"], f["limit"], v), F.lit(False)))
+    bad = rows.where(F.exists("alternatives", formed) & ~F.exists("alternatives", meets))
+    return bad.select(*finding("union", F.lit("Value is none of the union's members"), F.col("type_ref"), v, F.concat(F.lit("a value of a member of "), "type_ref")))
+
+
+def abstract_violations(typed: DataFrame, attributes: DataFrame, types: DataFrame) -> DataFrame:
+    """Elements of an abstract type (``type_ref, abstract``) that name no other one by ``xsi:type``."""
+    named = attributes.where((F.col("ns") == XSI_NS) & (F.col("name") == "type")).select("doc_id", "seq")
+    rows = typed.where("declared").join(types.where("abstract").select("type_ref"), "type_ref").join(named, ["doc_id", "seq"], "left_anti")
+    return rows.select(*finding("abstract-type", F.concat(F.lit("Abstract type of element "), "local_name"), F.col("type_ref"), F.col("local_name"), F.lit("a type that isn't abstract")))
+
+
 def enumeration_violations(typed: DataFrame, enumerations: DataFrame) -> DataFrame:
     """CON9: raw values that are not in the controlled list (``type_ref, value``); blanks around a value fail."""
     listed = enumerations.select("type_ref").distinct()
@@ -321,6 +348,6 @@ def check_against(typed: DataFrame, attributes: DataFrame, schema) -> DataFrame:
     found = [
         unknown_elements(typed, schema.wildcards), missing_elements(typed, decl), too_many_elements(typed, decl), sequence_violations(typed, schema.follows), choice_violations(typed, decl),
         attribute_violations(typed, attributes, schema.attributes), datatype_violations(values, schema.unions), facet_violations(values, schema.facets),
-        enumeration_violations(values, schema.values), fixed_violations(values, fixed_with_attributes(decl, schema.attributes)),
+        union_violations(values, schema.alternatives), abstract_violations(typed, attributes, schema.types), enumeration_violations(values, schema.values), fixed_violations(values, fixed_with_attributes(decl, schema.attributes)),
     ]
     return reduce(DataFrame.unionByName, found)

@@ -9,7 +9,10 @@ numbers the places, names choices and branches and works out which child may fol
 Keys of types are ``set|{namespace}name``, ``set|{namespace}#file:seq`` for types without a name, and the bare local name for
 built-in types, so they are unique over all sets and the checks of ``conform`` need no other key.
 
-Left out: substitution groups, redefinitions, identity constraints, ``xsi:type``; a wildcard admits any child.
+Where the head of a substitution group may stand, a choice of all that may stand for it is declared, to any depth of the group; abstract
+heads are no branch of it and no root. A union whose members have facets or lists of values keeps them apart, an alternative a member.
+
+Left out: redefinitions, identity constraints, ``xsi:type``; a wildcard admits any child.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from ..schemas import XSD_NS
 from .conform import ROOT
 from .fixpoint import grown, stored
 
-_NAMES = ("name", "ref", "type", "base", "minOccurs", "maxOccurs", "use", "fixed", "value", "schemaLocation", "namespace", "targetNamespace", "memberTypes")
+_NAMES = ("name", "ref", "type", "base", "minOccurs", "maxOccurs", "use", "fixed", "value", "schemaLocation", "namespace", "targetNamespace", "memberTypes", "substitutionGroup", "abstract")
 _COMPOSITORS = ("sequence", "choice", "all")
 FACETS = ("length", "minLength", "maxLength", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "fractionDigits", "totalDigits", "pattern", "enumeration", "whiteSpace")
 #: First and last mark of a type's children in ``follows``.
@@ -34,6 +37,10 @@ START, END = "^", "$"
 ANY = "*"
 
 
+def _true(column: str) -> Column:
+    return F.coalesce(F.col(column).isin("true", "1"), F.lit(False))
+
+
 def schema_nodes(elements: DataFrame, attributes: DataFrame) -> DataFrame:
     """``file, seq, parent_seq, depth, path, parent_path, construct`` and a column ``a_*`` per attribute that schemas use."""
     own = attributes.where(F.col("ns").isNull() & F.col("name").isin(*_NAMES)).groupBy("doc_id", "seq").pivot("name", list(_NAMES)).agg(F.first("value"))
@@ -94,13 +101,14 @@ class SchemaSets:
     """Tables of all schema sets. Key of each: ``set_id`` and the type keys, which hold it too."""
 
     files: DataFrame  # set_id, file, space, depth, present
-    types: DataFrame  # set_id, type_ref, name, kind (complex or simple), base, derivation (extension or restriction), doc
+    types: DataFrame  # set_id, type_ref, name, kind (complex or simple), base, derivation (extension or restriction), abstract, doc
     declarations: DataFrame  # set_id, owner, name, type_ref, pos, min_occurs, max_occurs, fixed, choice_id, branch
     follows: DataFrame  # set_id, owner, before, after: children that may stand next to each other
     attributes: DataFrame  # set_id, owner, name, type_ref, use, fixed
     unions: DataFrame  # type_ref, member: built-in types any of which a value may have
     facets: DataFrame  # type_ref, facet, limit
     values: DataFrame  # type_ref, value
+    alternatives: DataFrame  # type_ref, alternatives: of unions with restricted members, see ``_alternatives``
 
     @property
     def wildcards(self) -> DataFrame:
@@ -117,6 +125,48 @@ def _owners(nodes: DataFrame) -> DataFrame:
     return up.join(held, ["file", "at"]).groupBy("file", "seq").agg(F.max_by("c_seq", F.length("at")).alias("c_seq"))
 
 
+def _substitutes(globals_: DataFrame, heads: DataFrame) -> DataFrame:
+    """``member, head, distance``: which global elements (``ref``) may stand for which, each for itself at distance 0. ``heads``: ``at,
+    above``, the group that an element names."""
+    start = globals_.where("construct = 'element'").select(F.col("ref").alias("member"), F.col("ref").alias("head"), F.lit(0).alias("distance"))
+    return grown(start, lambda f: f.join(heads, F.col("head") == F.col("at")).select("member", F.col("above").alias("head"), (F.col("distance") + 1).alias("distance")), ["member", "head"])
+
+
+def _heads_opened(parts: DataFrame, globals_: DataFrame, group: DataFrame) -> DataFrame:
+    """``parts`` with a choice in place of each reference (``head``) to an element that others may stand for, or that is abstract."""
+    elements = globals_.where("construct = 'element'").select(F.col("ref").alias("member"), "r_name", "r_type", "r_fixed", "r_abstract")
+    swapped = group.where("distance > 0").select("head").unionByName(elements.where("r_abstract").select(F.col("member").alias("head"))).distinct().withColumn("swap", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy("head").orderBy("distance", "member"))
+    branches = group.join(elements.where("not r_abstract"), "member").select("head", "r_name", "r_type", "r_fixed", nth.alias("nth"))
+    rows, _ = stored(parts.join(swapped, "head", "left"))
+    made = rows.where("swap").drop("name", "type_ref", "fixed").join(branches, "head").withColumns({
+        "up": F.col("key"), "key": F.concat("key", F.array("nth")), "construct": F.lit("element"), "name": F.col("r_name"), "type_ref": F.coalesce("r_type", F.lit("anyType")), "fixed": F.col("r_fixed"), "min_occurs": F.lit(1), "max_occurs": F.lit(1),
+    })
+    kept = rows.withColumns({"construct": F.when(F.col("swap"), "choice").otherwise(F.col("construct")), **{c: F.when(F.col("swap").isNull(), F.col(c)) for c in ("name", "type_ref", "fixed")}})
+    return kept.select(*parts.columns).unionByName(made.select(*parts.columns))
+
+
+_ALTERNATIVES = "type_ref string, alternatives array<struct<kind:string,facets:array<struct<facet:string,limit:string>>,listed:array<string>>>"
+
+
+def _alternatives(ancestors: DataFrame, bases: DataFrame, members: DataFrame, unions: DataFrame, facets: DataFrame, values: DataFrame) -> DataFrame:
+    """For each type with a union above it, the types that a value may have: the built-in type, facets and list (null: none) of each member
+    that is no union itself. Only types of which some member has facets or a list: for others ``unions`` tells all."""
+    mixed = ancestors.join(members.select(F.col("type_ref").alias("from")).distinct(), "from", "left_semi").select(F.col("owner").alias("type_ref")).distinct().persist()
+    plain = bases.join(mixed, "type_ref", "left_semi").join(members, "type_ref", "left_anti").select("type_ref", "base")
+    ways = members.unionByName(plain).select(F.col("type_ref").alias("at"), F.col("base").alias("next")).persist()
+    found = grown(mixed.select("type_ref", F.col("type_ref").alias("leaf")), lambda f: f.join(ways, F.col("leaf") == F.col("at")).select("type_ref", F.col("next").alias("leaf")), ["type_ref", "leaf"])
+    leaves = found.join(mixed.select(F.col("type_ref").alias("leaf")), "leaf", "left_anti")
+    kinds = unions.groupBy(F.col("type_ref").alias("leaf")).agg(F.min("member").alias("kind"))
+    limits = facets.groupBy(F.col("type_ref").alias("leaf")).agg(F.collect_list(F.struct("facet", "limit")).alias("facets"))
+    lists = values.groupBy(F.col("type_ref").alias("leaf")).agg(F.collect_list("value").alias("listed"))
+    rows = leaves.join(kinds, "leaf", "left").join(limits, "leaf", "left").join(lists, "leaf", "left")
+    kind = F.coalesce("kind", F.when(~F.col("leaf").contains("|"), F.col("leaf")))
+    one = F.struct(kind.alias("kind"), F.coalesce("facets", F.array().cast("array<struct<facet:string,limit:string>>")).alias("facets"), "listed")
+    out = rows.groupBy("type_ref").agg(F.collect_list(one).alias("alternatives"))
+    return out.where(F.exists("alternatives", lambda a: (F.size(a["facets"]) > 0) | a["listed"].isNotNull()))
+
+
 _LEAF = "set_id string, owner string, pos int, name string, type_ref string, min_occurs int, max_occurs int, fixed string, choice_id string, branch string, before string, after string"
 
 
@@ -217,7 +267,7 @@ def schema_sets(elements: DataFrame, attributes: DataFrame, namespaces: DataFram
     # types and groups by their keys
     boxes = own.where("construct in ('complexType', 'simpleType') or (construct in ('group', 'attributeGroup') and a_ref is null)").join(here, "file")
     local = F.coalesce("a_name", F.concat(F.lit("#"), "file", F.lit(":"), F.col("seq").cast("string")))
-    boxes, _ = stored(boxes.select("set_id", "file", "seq", "parent_seq", "path", "construct", "a_name", "depth", _key("set_id", "space", local).alias("key")))
+    boxes, _ = stored(boxes.select("set_id", "file", "seq", "parent_seq", "path", "construct", "a_name", "a_abstract", "depth", _key("set_id", "space", local).alias("key")))
     # a type's derivation: the restriction or extension nearest below, whatever content element stands between
     derived = own.where("construct in ('restriction', 'extension', 'union', 'list') and c_seq is not null")
     links = named(derived, "a_base", "base").join(derived.select("file", "seq", "c_seq", "construct"), ["file", "seq"])
@@ -231,7 +281,7 @@ def schema_sets(elements: DataFrame, attributes: DataFrame, namespaces: DataFram
     types = boxes.where("construct in ('complexType', 'simpleType')").join(links, ["set_id", "file", "seq"], "left").join(under, ["set_id", "file", "seq"], "left").join(texts, ["file", "seq"], "left")
     types = types.select(
         "set_id", F.col("key").alias("type_ref"), F.col("a_name").alias("name"), F.when(F.col("construct") == "complexType", "complex").otherwise("simple").alias("kind"), F.coalesce("base", "under").alias("base"),
-        F.coalesce("derivation", F.when(F.col("under").isNotNull(), "restriction")).alias("derivation"), "doc",
+        F.coalesce("derivation", F.when(F.col("under").isNotNull(), "restriction")).alias("derivation"), _true("a_abstract").alias("abstract"), "doc",
     )
     types, _ = stored(types.dropDuplicates(["type_ref"]))
 
@@ -239,28 +289,40 @@ def schema_sets(elements: DataFrame, attributes: DataFrame, namespaces: DataFram
     keyed = boxes.select("set_id", "file", F.col("seq").alias("c_seq"), F.col("key").alias("owner"), F.col("construct").alias("box"))
     inner = boxes.where("a_name is null and construct in ('complexType', 'simpleType')").select("set_id", "file", F.col("parent_seq").alias("seq"), F.col("key").alias("inline")).dropDuplicates(["set_id", "file", "seq"])
     uses = own.where("construct in ('element', 'attribute')")
-    declared = uses.join(here, "file").select("set_id", "file", "space", "seq", "depth", "c_seq", "construct", "a_name", "a_fixed", "a_use", "a_minOccurs", "a_maxOccurs")
+    declared = uses.join(here, "file").select("set_id", "file", "space", "seq", "depth", "c_seq", "construct", "a_name", "a_fixed", "a_use", "a_abstract")
     declared = declared.join(named(uses, "a_type", "typed"), ["set_id", "file", "seq"], "left").join(inner, ["set_id", "file", "seq"], "left").join(named(uses, "a_ref", "ref"), ["set_id", "file", "seq"], "left")
     declared = declared.withColumn("type_ref", F.coalesce("typed", "inline"))
-    globals_ = declared.where("depth = 1 and a_name is not null").select("set_id", "construct", _key("set_id", "space", "a_name").alias("ref"), F.col("a_name").alias("r_name"), F.col("type_ref").alias("r_type"), F.col("a_fixed").alias("r_fixed")).dropDuplicates(["construct", "ref"])
-    declared = declared.join(globals_, ["set_id", "construct", "ref"], "left")
+    declared = declared.withColumn("own", F.when((F.col("depth") == 1) & F.col("a_name").isNotNull(), _key("set_id", "space", "a_name")))
+    globals_ = declared.where("own is not null").select("set_id", "construct", F.col("own").alias("ref"), F.col("a_name").alias("r_name"), F.col("type_ref").alias("r_type"), F.col("a_fixed").alias("r_fixed"), _true("a_abstract").alias("r_abstract")).dropDuplicates(["construct", "ref"])
+    grouped = uses.where("construct = 'element' and depth = 1 and (a_substitutionGroup is not null or a_abstract in ('true', '1'))")
+    group = None
+    if grouped.limit(1).count():
+        globals_, _ = stored(globals_)
+        heads, _ = stored(declared.join(named(grouped, "a_substitutionGroup", "above"), ["set_id", "file", "seq"]).select(F.col("own").alias("at"), "above").distinct())
+        group = _substitutes(globals_, heads)
+        # an element without a type has that of the nearest head with one
+        lent = globals_.where("construct = 'element' and r_type is not null").select(F.col("ref").alias("head"), F.col("r_type").alias("lent"))
+        lent = group.where("distance > 0").join(lent, "head").groupBy(F.col("member").alias("ref")).agg(F.min_by("lent", "distance").alias("lent")).withColumn("construct", F.lit("element"))
+        globals_, _ = stored(globals_.join(lent, ["construct", "ref"], "left").withColumn("r_type", F.coalesce("r_type", "lent")).drop("lent"))
+    declared = declared.withColumn("head", F.when(F.col("construct") == "element", F.col("ref"))).withColumn("ref", F.coalesce("ref", "own")).join(globals_, ["set_id", "construct", "ref"], "left")
     # references to what no file declares keep their local name
     bare = F.regexp_replace(F.element_at(F.split("ref", "[|]"), -1), r"\A\{[^}]*\}", "")
     plain = {"element": "anyType", "attribute": "anySimpleType"}
     kind = F.coalesce("type_ref", "r_type", F.create_map(*[F.lit(x) for kv in plain.items() for x in kv])[F.col("construct")])
-    declared, _ = stored(declared.select("set_id", "file", "seq", "depth", "c_seq", "construct", F.coalesce("a_name", "r_name", bare).alias("name"), kind.alias("type_ref"), F.coalesce("a_fixed", "r_fixed").alias("fixed"), "a_use"))
+    declared, _ = stored(declared.select("set_id", "file", "seq", "depth", "c_seq", "construct", F.coalesce("a_name", "r_name", bare).alias("name"), kind.alias("type_ref"), F.coalesce("a_fixed", "r_fixed").alias("fixed"), "a_use", "head", _true("a_abstract").alias("abstract")))
 
     # the content of a box, in keys of arrays: a reference's content gets the reference's key in front
     up = own.where(F.col("construct").isin(*_COMPOSITORS, "element", "any", "group") & F.col("c_seq").isNotNull() & ~((F.col("construct") == "group") & F.col("a_ref").isNull()))
     compositors = up.where(F.col("construct").isin(*_COMPOSITORS)).select("file", F.col("seq").alias("parent_seq"), F.lit(True).alias("inside"))
     count = lambda c: F.when(F.col(c) == "unbounded", None).otherwise(F.coalesce(F.col(c).cast("int"), F.lit(1)))
     parts = up.join(compositors, ["file", "parent_seq"], "left").join(keyed, ["file", "c_seq"]).where("box in ('complexType', 'group')")
-    parts = parts.join(declared.where("construct = 'element'").select("set_id", "file", "seq", "name", "type_ref", "fixed"), ["set_id", "file", "seq"], "left").join(named(up.where("construct = 'group'"), "a_ref", "ref"), ["set_id", "file", "seq"], "left")
+    parts = parts.join(declared.where("construct = 'element'").select("set_id", "file", "seq", "name", "type_ref", "fixed", "head"), ["set_id", "file", "seq"], "left").join(named(up.where("construct = 'group'"), "a_ref", "ref"), ["set_id", "file", "seq"], "left")
     none = F.array().cast("array<int>")
-    parts, _ = stored(parts.select(
+    parts = parts.select(
         "set_id", "owner", "box", F.array("seq").alias("key"), F.when(F.col("inside"), F.array("parent_seq")).otherwise(none).alias("up"), F.when(F.col("construct") == "group", "sequence").otherwise(F.col("construct")).alias("construct"),
-        "name", "type_ref", "fixed", count("a_minOccurs").alias("min_occurs"), count("a_maxOccurs").alias("max_occurs"), "ref", F.array().cast("array<string>").alias("trail"),
-    ))
+        "name", "type_ref", "fixed", count("a_minOccurs").alias("min_occurs"), count("a_maxOccurs").alias("max_occurs"), "ref", F.array().cast("array<string>").alias("trail"), "head",
+    )
+    parts, _ = stored((parts if group is None else _heads_opened(parts, globals_, group)).drop("head"))
     groups = parts.where("box = 'group'").select(F.col("owner").alias("g_owner"), *[F.col(c).alias(f"g_{c}") for c in ("key", "up", "construct", "name", "type_ref", "fixed", "min_occurs", "max_occurs", "ref")])
 
     def opened(front: DataFrame) -> DataFrame:
@@ -286,7 +348,7 @@ def schema_sets(elements: DataFrame, attributes: DataFrame, namespaces: DataFram
     whole = whole.select("set_id", "owner", F.concat(front, "key").alias("key"), F.when(F.size("up") > 0, F.concat(front, "up")).otherwise(none).alias("up"), "construct", "name", "type_ref", "fixed", "min_occurs", "max_occurs")
     shut = types.where("kind = 'complex'").select("set_id", F.col("type_ref").alias("owner"))
     compiled, _ = stored(whole.groupBy("set_id", "owner").applyInPandas(_compiled, _LEAF))
-    top = declared.where("depth = 1 and construct = 'element'").select("set_id", F.lit(ROOT).alias("owner"), "name", "type_ref", F.lit(1).alias("pos"), F.lit(0).alias("min_occurs"), F.lit(1).alias("max_occurs"), "fixed", F.lit(None).cast("string").alias("choice_id"), F.lit(None).cast("string").alias("branch"))
+    top = declared.where("depth = 1 and construct = 'element' and not abstract").select("set_id", F.lit(ROOT).alias("owner"), "name", "type_ref", F.lit(1).alias("pos"), F.lit(0).alias("min_occurs"), F.lit(1).alias("max_occurs"), "fixed", F.lit(None).cast("string").alias("choice_id"), F.lit(None).cast("string").alias("branch"))
     cols = top.columns
     declarations = top.dropDuplicates(["set_id", "name"]).unionByName(compiled.where("name is not null").select(*cols))
     bare_types = shut.join(compiled.select("owner").distinct(), "owner", "left_anti").select("set_id", "owner", F.lit(START).alias("before"), F.lit(END).alias("after"))
@@ -316,4 +378,8 @@ def schema_sets(elements: DataFrame, attributes: DataFrame, namespaces: DataFram
     lists = chain.where("facet = 'enumeration'")
     nearest_list = lists.groupBy("owner").agg(F.min("distance").alias("distance"))
     values = lists.join(nearest_list, ["owner", "distance"]).select(F.col("owner").alias("type_ref"), F.col("limit").alias("value")).distinct()
-    return SchemaSets(files, types, stored(declarations)[0], stored(follows)[0], stored(attributes_)[0], stored(unions)[0], stored(facets)[0], stored(values)[0])
+    unions, facets, values = (stored(x)[0] for x in (unions, facets, values))
+    alternatives = elements.sparkSession.createDataFrame([], _ALTERNATIVES)
+    if members.where(F.col("base").contains("|")).limit(1).count():
+        alternatives = stored(_alternatives(ancestors, bases, members.distinct(), unions, facets, values))[0]
+    return SchemaSets(files, types, stored(declarations)[0], stored(follows)[0], stored(attributes_)[0], unions, facets, values, alternatives)

@@ -470,6 +470,26 @@ def con_schema(spark, sf_dir):
     return conform.check_against(typed, shred.attributes(rows), sets).select("doc_id", "error_code", "data_location", "observed_value")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AS moved FROM orders),
+  found AS (SELECT k, 'unknown-element' AS error_code, '/Account[1]/Move[1]' AS loc, 'Move' AS v FROM o WHERE k % 7 <> 0 AND k % 5 = 0
+    UNION ALL SELECT k, 'unknown-element', '/Account[1]/Fee[1]', 'Fee' FROM o WHERE k % 23 = 0
+    UNION ALL SELECT k, 'choice', '/Account[1]', '0' FROM o WHERE NOT moved UNION ALL SELECT k, 'content-model', '/Account[1]/Code[1]', 'Code after the start' FROM o WHERE NOT moved
+    UNION ALL SELECT k, 'datatype', '/Account[1]/' || CASE WHEN k % 3 = 0 THEN 'Reversal' ELSE 'Debit' END || '[1]', 'much' FROM o WHERE moved AND k % 11 = 0
+    UNION ALL SELECT k, 'union', '/Account[1]/Code[1]', CASE WHEN k % 13 = 0 THEN 'C' ELSE '100' END FROM o WHERE k % 13 = 0 OR k % 17 = 0
+    UNION ALL SELECT k, 'abstract-type', '/Account[1]/Holder[1]', 'Holder' FROM o WHERE k % 29 = 0)
+  SELECT k::VARCHAR AS doc_id, error_code, loc AS data_location, v AS observed_value FROM found""")
+def con_substitution(spark, sf_dir):
+    """SCH3, CON1, CON5, CON7-9: elements that stand for abstract ones, over two steps of a substitution group, with the type of the
+    nearest head; abstract types; a union of a list of values and a bounded number."""
+    rows = shred.shredded(st.ledger_schemas(spark, sf_dir)).persist()
+    roots = rows.where("depth = 0 and doc_id like 'ledger-%'").select(F.col("doc_id").alias("file"))
+    sets = resolve.schema_sets(shred.elements(rows), shred.attributes(rows), shred.namespaces(rows), roots)
+    docs = st.ledger_documents(spark, sf_dir)
+    rows = shred.shredded(docs).persist()
+    typed = conform.typed_elements(shred.elements(rows).join(docs.select("doc_id", "set_id"), "doc_id"), sets.declarations).persist()
+    return conform.check_against(typed, shred.attributes(rows), sets).select("doc_id", "error_code", "data_location", "observed_value")
+
+
 _OF_PART = """(VALUES ('ThingType', 'Id', 'int', 1, 1, 1), ('ThingType', 'Made', 'WhenType', 2, 0, 1), ('PartType', 'Id', 'int', 1, 1, 1), ('PartType', 'Made', 'WhenType', 2, 0, 1), ('PartType', 'Kind', 'KindType', 3, 1, 1),
   ('PartType', 'Size', 'SizeType', 4, 1, 1), ('PartType', 'Retail', 'AmountType', 5, 1, 1), ('PartType', 'Free', '', 5, 1, 1), ('PartType', 'Tag', 'ShortText', 6, 0, NULL), ('PartType', 'Mark', 'string', 6, 0, NULL),
   ('#root', 'Part', 'PartType', 1, 0, 1), ('#root', 'Tag', 'ShortText', 1, 0, 1)) t(owner, name, type_ref, pos, min_occurs, max_occurs)"""

@@ -240,6 +240,41 @@ def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(key.alias("doc_id"), F.concat(F.lit("brand-"), F.regexp_replace("p_brand", "[^0-9]", ""), F.lit(".xsd")).alias("set_id"), F.encode(F.concat(head, body, F.lit("</Part>")), "UTF-8").alias("content"))
 
 
+def ledger_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, content``: a root schema per order priority that includes a common file of moves, which stand for an abstract one."""
+    one = F.substring("o_orderpriority", 1, 1)
+    text = F.concat(
+        F.lit('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" xmlns:m="urn:ledger:'), one, F.lit('" targetNamespace="urn:ledger:'), one, F.lit('"><xs:include schemaLocation="moves.xsd"/><xs:element name="Account"><xs:complexType><xs:sequence>'
+              '<xs:element ref="m:Move"/><xs:element name="Code" type="m:CodeType"/><xs:element name="Holder" type="m:Party" minOccurs="0"/><xs:element ref="m:Fee" minOccurs="0" maxOccurs="unbounded"/></xs:sequence></xs:complexType></xs:element></xs:schema>'),
+    )
+    roots = table(spark, sf_dir, "orders").select(F.concat(F.lit("ledger-"), one, F.lit(".xsd")).alias("doc_id"), text.alias("text")).distinct()
+    common = spark.createDataFrame([("moves.xsd", _MOVES)], "doc_id string, text string")
+    return roots.unionByName(common).select("doc_id", F.encode("text", "UTF-8").alias("content"))
+
+
+_MOVES = """<x:schema xmlns:x="http://www.w3.org/2001/XMLSchema">
+<x:element name="Move" type="x:decimal" abstract="true"/><x:element name="Debit" substitutionGroup="Move"/><x:element name="Credit" substitutionGroup="Move" abstract="true"/><x:element name="Reversal" substitutionGroup="Credit"/>
+<x:element name="Fee" type="x:int" abstract="true"/><x:element name="WireFee" substitutionGroup="Fee"/>
+<x:complexType name="Party" abstract="true"><x:sequence/></x:complexType>
+<x:simpleType name="Letter"><x:restriction base="x:string"><x:enumeration value="A"/><x:enumeration value="B"/></x:restriction></x:simpleType>
+<x:simpleType name="CodeType"><x:union memberTypes="Letter"><x:simpleType><x:restriction base="x:int"><x:maxInclusive value="99"/></x:restriction></x:simpleType></x:union></x:simpleType>
+</x:schema>"""
+
+
+def ledger_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, set_id, content``: a document per order, with defects by residue, to be checked against its priority's schema."""
+    o = table(spark, sf_dir, "orders")
+    mod = lambda n: F.col("o_orderkey") % n == 0
+    opt = lambda cond, c: F.when(cond, c).otherwise("")
+    el = lambda name, c: F.concat(F.lit("<"), name, F.lit(">"), c, F.lit("</"), name, F.lit(">"))
+    move = F.when(mod(5), F.lit("Move")).when(mod(3), F.lit("Reversal")).otherwise(F.lit("Debit"))
+    code = F.when(mod(13), "C").when(mod(17), "100").when(mod(2), "A").otherwise("42")
+    holder = F.when(mod(29), "<Holder/>").when(mod(31), '<Holder xmlns:i="http://www.w3.org/2001/XMLSchema-instance" i:type="Person"/>').otherwise("")
+    body = F.concat(opt(~mod(7), el(move, F.when(mod(11), "much").otherwise("1.50"))), el(F.lit("Code"), code), holder, opt(mod(19), F.lit("<WireFee>1</WireFee><WireFee>2</WireFee>")), opt(mod(23), F.lit("<Fee>3</Fee>")))
+    set_id = F.concat(F.lit("ledger-"), F.substring("o_orderpriority", 1, 1), F.lit(".xsd"))
+    return o.select(F.col("o_orderkey").cast("string").alias("doc_id"), set_id.alias("set_id"), F.encode(F.concat(F.lit("<Account>"), body, F.lit("</Account>")), "UTF-8").alias("content"))
+
+
 def nested_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order a chain of ten nodes, the last of which holds a value, and a ring of three peers, one of which may lack a tag."""
     o = table(spark, sf_dir, "orders")

@@ -24,6 +24,7 @@ OWL = "http://www.w3.org/2002/07/owl#"
 SKOS = "http://www.w3.org/2004/02/skos/core#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 XSD_NS = "http://www.w3.org/2001/XMLSchema"
+XSI_NS = "http://www.w3.org/2001/XMLSchema-instance"
 #: Namespace of this library's own terms; every function that mints takes another one.
 BASE = "https://example.org/reports/"
 TERMS = BASE + "ontology#"

@@ -129,6 +129,43 @@ def test_wildcards_cycles_and_missing_names(spark):
     assert sets_of(spark, {"e.xsd": "<none/>"}).declarations.count() == 0
 
 
+GROUPS = f"""<x:schema {X} targetNamespace="urn:g" xmlns="urn:g"><x:element name="H" type="x:int"/><x:element name="I" substitutionGroup="H"/><x:element name="J" substitutionGroup="I" abstract="true"/><x:element name="K" substitutionGroup="J" type="Short"/>
+<x:element name="L" substitutionGroup="gone"/><x:element name="Y" substitutionGroup="Z"/><x:element name="Z" substitutionGroup="Y"/>
+<x:group name="G"><x:sequence><x:element ref="H" maxOccurs="unbounded"/></x:sequence></x:group>
+<x:element name="R"><x:complexType><x:sequence><x:element ref="I"/><x:element name="S" type="Narrow"/><x:group ref="G"/><x:element ref="Y" minOccurs="0"/></x:sequence></x:complexType></x:element>
+<x:simpleType name="Short"><x:restriction base="x:int"><x:maxInclusive value="9"/></x:restriction></x:simpleType>
+<x:simpleType name="Wide"><x:union memberTypes="x:date Short"><x:simpleType><x:union memberTypes="Word"/></x:simpleType></x:union></x:simpleType>
+<x:simpleType name="Word"><x:restriction base="x:string"><x:enumeration value="none"/><x:enumeration value="all"/></x:restriction></x:simpleType>
+<x:simpleType name="Narrow"><x:restriction base="Wide"/></x:simpleType></x:schema>"""
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    return sets_of(spark, {"g.xsd": GROUPS})
+
+
+def test_what_may_stand_for_an_element_is_a_choice(groups):
+    rows = groups.declarations.where("owner like '%#%' and owner <> '#root'").collect()
+    short = lambda t: t.split("}")[-1]
+    got = sorted((r.pos, r.name, short(r.type_ref), r.min_occurs, r.max_occurs, r.choice_id is not None) for r in rows)
+    # J is abstract; I lends it, and has from H, the type int; K has its own; Y and Z stand for each other
+    assert got == [(1, "I", "int", 1, 1, True), (1, "K", "Short", 1, 1, True), (2, "S", "Narrow", 1, 1, False), (3, "H", "int", 0, None, False), (3, "I", "int", 0, None, False), (3, "K", "Short", 0, None, False), (4, "Y", "anyType", 0, 1, True), (4, "Z", "anyType", 0, 1, True)]
+    assert {r.name for r in groups.declarations.where("owner = '#root'").collect()} == {"H", "I", "K", "L", "R", "Y", "Z"}
+
+
+def test_substitutes_and_unions_of_restricted_members_are_checked(spark, groups):
+    cases = [
+        ("I", "5", "<H>1</H><K>2</K><I>3</I><Z/>", set()), ("K", "2024-02-01", "<H>1</H>", set()), ("K", "all", "<K>10</K>", {("facet", "10")}), ("J", "none", "<H>1</H>", {("unknown-element", "J"), ("choice", "0"), ("content-model", "S after the start")}),
+        ("I", "10", "<H>x</H>", {("union", "10"), ("datatype", "x")}), ("I", "some", "<H>1</H><Y/><Z/>", {("union", "some"), ("choice", "2"), ("content-model", "Z after Y")}), ("I", "", "", {("union", ""), ("content-model", "the end after S")}),
+        ("I", "1", "<H>1</H><S>2</S>", {("too-many-elements", "2"), ("content-model", "S after H"), ("content-model", "the end after S")}),
+    ]
+    docs = [(str(i), f"<R><{first}>1</{first}><S>{value}</S>{rest}</R>".encode()) for i, (first, value, rest, _) in enumerate(cases)]
+    rows = shred.shredded(spark.createDataFrame(docs, "doc_id string, content binary")).persist()
+    typed = conform.typed_elements(shred.elements(rows).withColumn("set_id", F.lit("g.xsd")), groups.declarations).persist()
+    found = {(r.doc_id, r.error_code, r.observed_value) for r in conform.check_against(typed, shred.attributes(rows), groups).collect()}
+    assert found == {(str(i), *f) for i, (*_, want) in enumerate(cases) for f in want}
+
+
 @pytest.mark.parametrize("file, location, want", [("a/b.xsd", "c.xsd", "a/c.xsd"), ("a/b.xsd", "../c.xsd", "c.xsd"), ("b.xsd", "./x/../c.xsd", "c.xsd"), ("b.xsd", "../c.xsd", "../c.xsd"), ("a/b.xsd", "http://h/c.xsd", "http://h/c.xsd"), ("a/b.xsd", "/c.xsd", "/c.xsd")])
 def test_locations(spark, file, location, want):
     assert spark.range(1).select(resolve.joined_location(F.lit(file), F.lit(location))).first()[0] == want
