@@ -67,11 +67,12 @@ def typed_elements(elements: DataFrame, declarations: DataFrame, max_depth: int
     by = ["set_id"] if "set_id" in declarations.columns else []
     paths = occurring_paths(elements, declarations) if max_depth is None or by else schema_paths(declarations, max_depth)
     paths = _pinned(paths.select(*by, "schema_path", "type_ref", F.lit(True).alias("declared")))
-    bare = F.regexp_replace("path", r"\[\d+\]", "")
+    bare = F.col("bare_path") if "bare_path" in elements.columns else F.regexp_replace("path", r"\[\d+\]", "")
     out = elements.withColumn("schema_path", bare).join(paths, [*by, "schema_path"], "left")
     up = paths.select(*by, F.col("schema_path").alias("up"), F.col("type_ref").alias("parent_type"), F.lit(True).alias("up_declared"))
-    out = out.withColumn("up", F.regexp_replace("schema_path", r"/[^/]*\z", "")).join(up, [*by, "up"], "left")
-    return out.drop("up").withColumn("parent_type", F.when(F.col("depth") == 0, ROOT).otherwise(F.col("parent_type")))
+    above = F.left("schema_path", F.char_length("schema_path") - F.char_length(F.substring_index("schema_path", "/", -1)) - 1)
+    out = out.withColumn("up", above).join(up, [*by, "up"], "left")
+    return out.drop("up", "bare_path").withColumn("parent_type", F.when(F.col("depth") == 0, ROOT).otherwise(F.col("parent_type")))
 
 
 def finding(code: str, message: Column, component: Column, observed: Column, expected: Column, path: Column | str = "path") -> list[Column]:
@@ -88,24 +89,31 @@ def unknown_elements(typed: DataFrame, wildcards: DataFrame | None = None) -> Da
     return bad.select(*finding("unknown-element", F.concat(F.lit("Unexpected element "), "local_name"), F.col("parent_type"), F.col("local_name"), F.lit("a declared child")))
 
 
-def _child_counts(typed: DataFrame) -> DataFrame:
-    return typed.where("declared").groupBy("doc_id", F.col("parent_path").alias("path"), F.col("local_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+def _n_of(name: Column) -> Column:
+    """How often an element's children have a name."""
+    return F.aggregate(F.filter("children", lambda c: c["name"] == name), F.lit(0), lambda n, c: n + c["n"])
 
 
 def missing_elements(typed: DataFrame, declarations: DataFrame) -> DataFrame:
     """CON2: required children that are absent; the place is the parent, the only one the document has. What a name needs at several
-    places of a type adds up."""
+    places of a type adds up. Children are counted where the document is parsed, so a parent is judged by its own row."""
     need = declarations.where((F.coalesce("min_occurs", F.lit(1)) > 0) & (F.col("owner") != ROOT) & F.col("choice_id").isNull()).groupBy(F.col("owner").alias("type_ref"), "name").agg(F.sum(F.coalesce("min_occurs", F.lit(1))).cast("int").alias("least"))
-    wanted = typed.where("declared").select("doc_id", "path", "type_ref").join(need, "type_ref")
-    got = wanted.join(_child_counts(typed), ["doc_id", "path", "name"], "left").where(F.coalesce("n", F.lit(0)) < F.col("least"))
-    return got.select(*finding("missing-element", F.concat(F.lit("Missing element "), "name"), F.col("type_ref"), F.coalesce("n", F.lit(0)).cast("string"), F.concat(F.lit("at least "), F.col("least").cast("string"), F.lit(" "), F.col("name"))))
+    need = need.groupBy("type_ref").agg(F.collect_list(F.struct("name", "least")).alias("needs"))
+    few = F.transform(F.filter("needs", lambda x: _n_of(x["name"]) < x["least"]), lambda x: F.struct(x["name"].alias("name"), x["least"].alias("least"), _n_of(x["name"]).alias("n")))
+    got = typed.where("declared").join(need, "type_ref").select("doc_id", "path", "type_ref", F.explode(few).alias("x")).select("doc_id", "path", "type_ref", "x.*")
+    return got.select(*finding("missing-element", F.concat(F.lit("Missing element "), "name"), F.col("type_ref"), F.col("n").cast("string"), F.concat(F.lit("at least "), F.col("least").cast("string"), F.lit(" "), F.col("name"))))
 
 
 def too_many_elements(typed: DataFrame, declarations: DataFrame) -> DataFrame:
     """CON3: children that stand more often than allowed at all places of their name together; one finding per parent and name."""
-    most = declarations.groupBy(F.col("owner").alias("parent_type"), F.col("name").alias("local_name")).agg(F.when(F.count("max_occurs") == F.count(F.lit(1)), F.sum("max_occurs")).cast("int").alias("most")).where("most is not null")
-    rows = typed.where("declared").groupBy("doc_id", "parent_path", "parent_type", "local_name").agg(F.count(F.lit(1)).alias("n"))
-    over = rows.join(most, ["parent_type", "local_name"]).where("n > most")
+    most = declarations.groupBy("owner", "name").agg(F.when(F.count("max_occurs") == F.count(F.lit(1)), F.sum("max_occurs")).cast("int").alias("most")).where("most is not null")
+    most = most.groupBy(F.col("owner").alias("parent_type")).agg(F.collect_list(F.struct("name", "most")).alias("limits"))
+    here, one = typed.where("declared"), lambda name, n: F.array(F.struct(name.alias("name"), n.alias("n")))
+    # a document's root is the one child of the place above it
+    parents = F.array(F.struct(F.col("type_ref").alias("parent_type"), F.col("path").alias("parent_path"), F.col("children").alias("children")), F.when(F.col("depth") == 0, F.struct(F.lit(ROOT).alias("parent_type"), F.lit("").alias("parent_path"), one(F.col("local_name"), F.lit(1)).alias("children"))))
+    rows = here.select("doc_id", F.explode(F.filter(parents, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*").join(most, "parent_type")
+    many = F.transform(F.filter("limits", lambda x: _n_of(x["name"]) > x["most"]), lambda x: F.struct(x["name"].alias("local_name"), x["most"].alias("most"), _n_of(x["name"]).alias("n")))
+    over = rows.select("doc_id", "parent_path", "parent_type", F.explode(many).alias("x")).select("doc_id", "parent_path", "parent_type", "x.*")
     return over.select(*finding("too-many-elements", F.concat(F.lit("Too many elements "), "local_name"), F.col("parent_type"), F.col("n").cast("string"), F.concat(F.lit("at most "), F.col("most").cast("string")), "parent_path"))
 
 
@@ -113,8 +121,8 @@ def order_violations(typed: DataFrame, declarations: DataFrame) -> DataFrame:
     """CON4: a child that stands anywhere behind a sibling which the sequence puts after it; the members of a choice have the
     choice's place. The sibling named is the last-placed one before it."""
     pos = declarations.select(F.col("owner").alias("parent_type"), F.col("name").alias("local_name"), "pos")
-    rows = typed.where("declared").join(pos, ["parent_type", "local_name"])
-    w = Window.partitionBy("doc_id", "parent_path").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = typed.where("declared and depth > 0").select("doc_id", "parent_seq", "seq", "parent_type", "local_name", "path").join(pos, ["parent_type", "local_name"])
+    w = Window.partitionBy("doc_id", "parent_seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("top", F.max(F.struct("pos", "local_name")).over(w)).where("top.pos > pos").withColumn("before_name", F.col("top.local_name"))
     return rows.select(*finding("order", F.concat(F.lit("Element out of order: "), "local_name"), F.col("parent_type"), F.concat("local_name", F.lit(" after "), "before_name"), F.concat("local_name", F.lit(" before "), "before_name")))
 
@@ -122,12 +130,12 @@ def order_violations(typed: DataFrame, declarations: DataFrame) -> DataFrame:
 def choice_violations(typed: DataFrame, declarations: DataFrame) -> DataFrame:
     """CON5: more than one branch of a choice, or none of a required one (one whose branches all have min_occurs > 0). A name that
     stands elsewhere in the type too may be there for that, so it is no second branch (CON4 judges its place)."""
-    places = declarations.groupBy(F.col("owner").alias("parent_type"), F.col("name").alias("local_name")).agg((F.count(F.lit(1)) > 1).alias("elsewhere"))
-    branch = declarations.where(F.col("choice_id").isNotNull()).select(F.col("owner").alias("parent_type"), F.col("name").alias("local_name"), "choice_id", "branch", F.coalesce("min_occurs", F.lit(1)).alias("least")).join(places, ["parent_type", "local_name"])
-    choices = branch.groupBy(F.col("parent_type").alias("type_ref"), "choice_id").agg((F.min("least") > 0).alias("required"))
-    parents = typed.where("declared").select("doc_id", "path", "type_ref").join(choices, "type_ref")
-    used = typed.where("declared").join(branch, ["parent_type", "local_name"]).groupBy("doc_id", F.col("parent_path").alias("path"), "choice_id").agg(F.size(F.collect_set("branch")).alias("met"), F.size(F.collect_set(F.when(~F.col("elsewhere"), F.col("branch")))).alias("n"))
-    rows = parents.join(used, ["doc_id", "path", "choice_id"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("met", "n")}).where("n > 1 or (met = 0 and required)")
+    places = declarations.groupBy(F.col("owner").alias("type_ref"), "name").agg((F.count(F.lit(1)) > 1).alias("elsewhere"))
+    branch = declarations.where(F.col("choice_id").isNotNull()).select(F.col("owner").alias("type_ref"), "name", "choice_id", "branch", F.coalesce("min_occurs", F.lit(1)).alias("least")).join(places, ["type_ref", "name"])
+    choices = branch.groupBy("type_ref", "choice_id").agg((F.min("least") > 0).alias("required"), F.collect_list(F.struct("branch", "name", "elsewhere")).alias("branches"))
+    used = lambda ok: F.size(F.array_distinct(F.transform(F.filter("branches", lambda b: b["branch"].isNotNull() & ok(b) & (_n_of(b["name"]) > 0)), lambda b: b["branch"])))
+    parents = typed.where("declared").select("doc_id", "path", "type_ref", "children").join(choices, "type_ref")
+    rows = parents.select("doc_id", "path", "type_ref", "choice_id", "required", used(lambda b: F.lit(True)).alias("met"), used(lambda b: ~b["elsewhere"]).alias("n")).where("n > 1 or (met = 0 and required)")
     return rows.select(*finding("choice", F.concat(F.lit("Choice "), "choice_id"), F.col("type_ref"), F.col("n").cast("string"), F.lit("exactly one branch")))
 
 

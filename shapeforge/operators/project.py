@@ -56,7 +56,7 @@ def unprojectable(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """PRJ3: (findings of constructs that no declaration covers, documents without any): nothing is guessed."""
     bad = typed.where(F.col("declared").isNull())
     found = bad.select(*finding("unsupported-construct", F.concat(F.lit("Unsupported construct "), "local_name"), F.col("local_name"), F.col("path"), F.lit("a declared construct")))
-    return found, typed.select("doc_id").distinct().join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
+    return found, typed.groupBy("doc_id").agg(F.bool_or(F.col("declared").isNull()).alias("bad")).where("not bad").select("doc_id")
 
 
 _ARC = ("arcrole", "from", "to", "label", "type")

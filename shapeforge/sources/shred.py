@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import cache
+from itertools import accumulate
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -11,91 +12,191 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import strip
 
+_CHILDREN_TYPE = "array<struct<name:string,n:int>>"
 _ROW = (
     "doc_id string, kind string, seq int, parent_seq int, depth int, ns string, local_name string, sibling_index int, "
-    "path string, parent_path string, line int, col int, text string, n_children int, "
-    "attrs array<struct<ns:string,name:string,value:string>>, message string, spaces array<struct<prefix:string,uri:string>>"
+    "path string, parent_path string, bare_path string, line int, col int, text string, n_children int, "
+    f"attrs array<struct<ns:string,name:string,value:string>>, message string, spaces array<struct<prefix:string,uri:string>>, children {_CHILDREN_TYPE}"
 )
-_ATTRIBUTE = pa.struct([("ns", pa.string()), ("name", pa.string()), ("value", pa.string())])
-_SPACE = pa.struct([("prefix", pa.string()), ("uri", pa.string())])
-_TYPES = {"int": pa.int32(), "string": pa.string(), "array<struct<ns:string,name:string,value:string>>": pa.list_(_ATTRIBUTE), "array<struct<prefix:string,uri:string>>": pa.list_(_SPACE)}
-_FIELDS = pa.schema([(name, _TYPES[kind]) for name, kind in (c.strip().split(" ") for c in _ROW.split(", "))])
-#: Places in a row that are filled in after it was begun.
-_TEXT, _CHILDREN = _FIELDS.get_field_index("text"), _FIELDS.get_field_index("n_children")
+_KINDS = dict(c.split(" ") for c in _ROW.split(", "))
+_FLAT = {"int": pa.int32(), "string": pa.string()}
+#: Columns of lists, by the types of their structs' fields.
+_LISTS = {"attrs": [("ns", pa.string()), ("name", pa.string()), ("value", pa.string())], "spaces": [("prefix", pa.string()), ("uri", pa.string())], "children": [("name", pa.string()), ("n", pa.int32())]}
 #: Rows handed back at once.
 _CHUNK = 20_000
 
 
+@cache
 def _split_name(name: str) -> tuple[str | None, str]:
     ns, _, local = name.rpartition("}")
     return (ns or None), local.rsplit(":", 1)[-1]
 
 
-def parse(doc_id: str, content: bytes) -> list[list]:
-    """Element rows of a document; an ``error`` row alone if it is not well formed. Lines and columns count from 1."""
+def _parse_into(cols: dict[str, list], doc_id: str, content: bytes) -> None:
+    """Adds a document's element rows to the columns asked for, or an ``error`` row alone if it is not well formed. Lines and columns
+    count from 1. What nobody asked for is neither made nor kept."""
     parser = expat.ParserCreate(namespace_separator="}")
-    parser.ordered_attributes, parser.buffer_text = True, True
-    rows: list[list] = []
-    stack: list[tuple[list, dict, list]] = []
-    top: dict = defaultdict(int)
-    bound: list[dict] = []
+    parser.ordered_attributes = parser.buffer_text = True
+    first = len(cols["seq"])
+    seqs = cols["seq"]
+    get = cols.get
+    parents, depths, spaces_of, names, indexes, paths, ups, bares, lines, places, texts, sizes, attrs, spaces, children = (
+        get(c) for c in ("parent_seq", "depth", "ns", "local_name", "sibling_index", "path", "parent_path", "bare_path", "line", "col", "text", "n_children", "attrs", "spaces", "children")
+    )
+    with_path, placed = paths is not None or ups is not None, lines is not None or places is not None
+    later = [c for c in (texts, sizes, children) if c is not None]
+    stack: list[tuple] = []
+    top: dict[str, int] = {}
+    bound: list[tuple] = []
 
     def bind(prefix, uri):
-        bound.append({"prefix": prefix or "", "uri": uri or ""})
+        bound.append((prefix or "", uri or ""))
 
-    def start(name, attributes):
+    def start(name, given):
         ns, local = _split_name(name)
         if stack:
-            parent, counts, _ = stack[-1]
-            up, up_seq = parent[8], parent[2]
-            parent[_CHILDREN] += 1
+            up_seq, counts, _, up, up_bare = stack[-1]
         else:
-            counts, up, up_seq = top, "", None
-        counts[local] += 1
-        n = counts[local]
-        attrs = [dict(zip(("ns", "name"), _split_name(k)), value=v) for k, v in zip(attributes[::2], attributes[1::2], strict=True)] if attributes else []
-        row = [doc_id, "element", len(rows), up_seq, len(stack), ns, local, n, f"{up}/{local}[{n}]", up, parser.CurrentLineNumber, parser.CurrentColumnNumber + 1, None, 0, attrs, None, bound[:]]
-        bound.clear()
-        rows.append(row)
-        stack.append((row, defaultdict(int), []))
+            up_seq, counts, up, up_bare = None, top, "", ""
+        counts[local] = n = counts.get(local, 0) + 1
+        path = f"{up}/{local}[{n}]" if with_path else ""
+        bare = f"{up_bare}/{local}" if bares is not None else ""
+        seq = len(seqs) - first
+        seqs.append(seq)
+        if parents is not None:
+            parents.append(up_seq)
+        if depths is not None:
+            depths.append(len(stack))
+        if spaces_of is not None:
+            spaces_of.append(ns)
+        if names is not None:
+            names.append(local)
+        if indexes is not None:
+            indexes.append(n)
+        if paths is not None:
+            paths.append(path)
+        if ups is not None:
+            ups.append(up)
+        if bares is not None:
+            bares.append(bare)
+        if placed:
+            if lines is not None:
+                lines.append(parser.CurrentLineNumber)
+            if places is not None:
+                places.append(parser.CurrentColumnNumber + 1)
+        if attrs is not None:
+            attrs.append([(*_split_name(k), v) for k, v in zip(given[::2], given[1::2], strict=True)] if given else ())
+        if spaces is not None:
+            spaces.append(bound[:] if bound else ())
+            bound.clear()
+        for col in later:
+            col.append(None)
+        stack.append((seq, {}, [], path, bare))
 
     def end(_):
-        row, _, texts = stack.pop()
-        row[_TEXT] = "".join(texts)
+        seq, counts, found, _, _ = stack.pop()
+        at = first + seq
+        if texts is not None:
+            texts[at] = found[0] if len(found) == 1 else "".join(found)
+        if sizes is not None:
+            sizes[at] = sum(counts.values()) if counts else 0
+        if children is not None:
+            children[at] = list(counts.items()) if counts else ()
 
     def chars(data):
         if stack:
             stack[-1][2].append(data)
 
-    parser.StartNamespaceDeclHandler = bind
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
+    if spaces is not None:
+        parser.StartNamespaceDeclHandler = bind
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    if texts is not None:
+        parser.CharacterDataHandler = chars
     try:
         parser.Parse(content, True)
     except expat.ExpatError as e:
-        return [[doc_id, "error", None, None, None, None, None, None, "/", None, e.lineno, e.offset + 1, None, None, [], str(e), []]]
-    return rows
+        made = {"seq": None, "path": "/", "line": e.lineno, "col": e.offset + 1, "message": str(e), "attrs": (), "spaces": (), "children": ()}
+        for c, col in cols.items():
+            if c not in ("doc_id", "kind", "message"):
+                del col[first:]
+                col.append(made.get(c))
+        kind, message, n = "error", made["message"], 1
+    else:
+        kind, message, n = "element", None, len(seqs) - first
+    for c, value in (("doc_id", doc_id), ("kind", kind), ("message", message)):
+        if c in cols:
+            cols[c] += [value] * n
+
+
+def _columns(names) -> dict[str, list]:
+    return {c: [] for c in dict.fromkeys(["seq", *names])}
+
+
+def parse(doc_id: str, content: bytes, columns: tuple[str, ...] = tuple(_KINDS)) -> list[dict]:
+    """The rows of one document."""
+    cols = _columns(columns)
+    _parse_into(cols, doc_id, content)
+    lists = {c: [n for n, _ in fields] for c, fields in _LISTS.items()}
+    full = {c: [[dict(zip(lists[c], x, strict=True)) for x in v] for v in cols[c]] if c in lists else cols[c] for c in columns}
+    return [dict(zip(columns, values, strict=True)) for values in zip(*full.values(), strict=True)]
+
+
+def _array(name: str, values: list) -> pa.Array:
+    """A column of Arrow; lists of structs are put together from flat columns."""
+    if name not in _LISTS:
+        return pa.array(values, _FLAT[_KINDS[name]])
+    flat = [x for v in values for x in v]
+    fields = _LISTS[name]
+    parts = [pa.array([x[i] for x in flat], kind) for i, (_, kind) in enumerate(fields)]
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), pa.StructArray.from_arrays(parts, names=[n for n, _ in fields]))
+
+
+def _parser_of(columns: tuple[str, ...]):
+    def batches_of(batches):
+        for batch in batches:
+            cols = _columns(columns)
+            contents = batch.column(1)
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                _parse_into(cols, doc_id, contents[i].as_py() or b"")
+                whole = len(cols["seq"]) // _CHUNK * _CHUNK
+                if whole:
+                    for at in range(0, whole, _CHUNK):
+                        yield pa.RecordBatch.from_arrays([_array(c, cols[c][at : at + _CHUNK]) for c in columns], names=list(columns))
+                    cols = {c: v[whole:] for c, v in cols.items()}
+            if cols["seq"]:
+                yield pa.RecordBatch.from_arrays([_array(c, cols[c]) for c in columns], names=list(columns))
+
+    return batches_of
+
+
+def shredded(documents: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One pass of the parser: element and error rows together, of the given columns where not all are needed. Write or persist it
+    before taking more than one part.
+
+    ``children`` counts an element's children by name, so checks of counts look at one row each.
+    """
+    names = tuple(_KINDS) if columns is None else tuple(columns)
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(_parser_of(names), ", ".join(f"{c} {_KINDS[c]}" for c in names))
+
+
+def _errors_of(batches):
+    for batch in batches:
+        found = []
+        for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
+            try:
+                expat.ParserCreate(namespace_separator="}").Parse(content.as_py() or b"", True)
+            except expat.ExpatError as e:
+                found.append((doc_id.as_py(), "error", "/", e.lineno, e.offset + 1, str(e)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, _FLAT[_KINDS[n]]) for n, c in zip(_ERROR, zip(*found, strict=True), strict=True)], names=list(_ERROR))
 
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FIELDS, strict=True)], schema=_FIELDS)
+_ERROR = ("doc_id", "kind", "path", "line", "col", "message")
 
 
-def _parse_batches(batches):
-    for batch in batches:
-        rows: list[list] = []
-        for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows += parse(doc_id.as_py(), content.as_py() or b"")
-            whole = len(rows) // _CHUNK * _CHUNK
-            for at in range(0, whole, _CHUNK):
-                yield _batch(rows[at : at + _CHUNK])
-            rows = rows[whole:]
-        if rows:
-            yield _batch(rows)
-
-
-def shredded(documents: DataFrame) -> DataFrame:
-    """One pass of the parser: element and error rows together. Write or persist it before taking more than one part."""
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(_parse_batches, _ROW)
+def unparsed(documents: DataFrame) -> DataFrame:
+    """The error rows of ``shredded`` alone: no element row is made."""
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(_errors_of, ", ".join(f"{c} {_KINDS[c]}" for c in _ERROR))
 
 
 def elements(rows: DataFrame) -> DataFrame:
