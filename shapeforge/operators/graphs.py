@@ -103,6 +103,10 @@ def graph_sizes(triples: DataFrame, graphs: DataFrame | None = None) -> DataFram
 def focus_count_check(triples: DataFrame, cls: str, n: int = 1, graphs: DataFrame | None = None) -> DataFrame:
     """GRF6: ``graph_id, n_focus, ok``: whether each graph has exactly ``n`` subjects of a class."""
     typed = (F.col("p") == TYPE) & (F.col("o") == cls)
+    if graphs is None:
+        # graphs are those of the triples: one pass counts and lists them
+        counts = triples.groupBy("graph_id").agg(F.count_distinct(F.when(typed, F.col("s"))).alias("n_focus"))
+        return counts.withColumn("ok", F.col("n_focus") == n)
     counts = triples.where(typed).groupBy("graph_id").agg(F.count_distinct("s").alias("n_focus"))
-    every = (triples if graphs is None else graphs).select("graph_id").distinct()
+    every = graphs.select("graph_id").distinct()
     return every.join(counts, "graph_id", "left").select("graph_id", F.coalesce("n_focus", F.lit(0)).alias("n_focus")).withColumn("ok", F.col("n_focus") == n)

@@ -53,16 +53,21 @@ def star_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         (None, order, T + "status", F.col("o_orderstatus"), "literal", XSD + "string"), (None, order, T + "priority", F.col("o_orderpriority"), "literal", None),
         (None, order, T + "size", F.col("o_custkey") % 100, "literal", XSD + "int"),
     ])
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey").distinct()
+    # only the line items' facts can repeat (orders are unique), and they repeat within a line: its few keys are shuffled, never triples
+    flag, kinds = F.col("l_returnflag"), F.create_map(*[x for k, v in APPROACH.items() for x in (F.lit(k), F.lit(T + v))])
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.collect_set(F.struct(kinds[flag].alias("cls"))).alias("kinds"), F.collect_set(F.when(flag == "R", F.struct("l_partkey"))).alias("parts"),
+    )
     lkey = F.col("l_orderkey").cast("string")
     line = F.concat_ws("-", F.lit("line"), lkey, F.col("l_linenumber").cast("string"))
-    kind = F.create_map(*[x for k, v in APPROACH.items() for x in (F.lit(k), F.lit(T + v))])[F.col("l_returnflag")]
-    b = _triples(li, lkey, [
-        (None, F.concat(F.lit("order-"), lkey), T + "usesValuationApproach", line, "iri", None), (None, line, TYPE, kind, "iri", None),
-        (F.col("l_returnflag") == "R", line, T + "usesComparableSale", F.concat(F.lit("part-"), F.col("l_partkey").cast("string")), "iri", None),
-    ])
-    # orders are unique, so only the line items' facts can repeat
-    return a.unionByName(b.dropDuplicates())
+    none = F.lit(None).cast("string")
+    fact = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), none.alias("o_datatype"))
+    facts = F.concat(
+        F.array(fact(F.concat(F.lit("order-"), lkey), T + "usesValuationApproach", line)), F.transform("kinds", lambda k: fact(line, TYPE, k["cls"])),
+        F.transform("parts", lambda x: fact(line, T + "usesComparableSale", F.concat(F.lit("part-"), x["l_partkey"].cast("string")))),
+    )
+    b = li.select(lkey.alias("graph_id"), F.explode(facts).alias("t")).select("graph_id", "t.*", none.alias("o_lang"))
+    return a.unionByName(b)
 
 
 def ontology(spark: SparkSession) -> DataFrame:
