@@ -20,3 +20,9 @@ def test_focus_counts_in_one_pass(spark):
     out = graphs.focus_count_check(triples, "C")
     assert {tuple(r) for r in out.collect()} == {("g", 1, True), ("h", 0, False)}
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shape_queries_keep_no_copy_of_the_triples(spark):
+    spark.catalog.clearCache()
+    plan = QUERIES["shp_conforms"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in QUERIES["shp_conforms"](spark, DATA)._jdf.queryExecution().withCachedData().toString() and "Join" in plan
