@@ -314,9 +314,9 @@ def mine_stems(sample: DataFrame, toxic: float, clean: float, most: int = STEMS)
     need, free, kept = np.where(is_toxic, 2.0, 0.0), np.ones(len(words), bool), []
     while len(kept) < most and free.any():
         gain = np.where(free, (weight * np.minimum(need, 1)) @ hits - cost, -np.inf)
-        k = max(np.flatnonzero(gain >= 0.97 * gain.max()).tolist(), key=lambda k: (len(words[k][0]), gain[k]))  # of much the same, the most specific
-        if gain[k] < 2:
+        if gain.max() < 2:
             break
+        k = max(np.flatnonzero(gain >= max(2, 0.97 * gain.max())).tolist(), key=lambda k: (len(words[k][0]), gain[k]))  # of much the same, the most specific
         kept.append(words[k])
         need = np.maximum(need - hits[:, k], 0)
         free &= [not (s.startswith(words[k][0]) or words[k][0].startswith(s)) for s, _ in words]

@@ -97,3 +97,10 @@ def test_without_both_classes_the_general_voters_score(spark, labels):
     assert model.linear is None and got[1] > 0.5 > got[2] and len(got) == 3
     empty, _ = toxicity.classify(docs.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(False))
     assert empty.count() == 0 and empty.columns == ["doc_id", "held_out", "score"]
+
+
+def test_stems_that_cost_more_than_they_bring_end_the_mining(spark):
+    toxic, clean = 40, 400
+    texts = [(1.0, 1.0, "qworpal drestvo yalminz")] * toxic + [(0.0, 1.0, "yalminz calm" if i < 5 else "calm") for i in range(clean)]
+    stems = toxicity.mine_stems(spark.createDataFrame(texts, "y double, weight double, text string"), toxic, clean)
+    assert {s for s, _ in stems} == {b"qworpal", b"drestvo"}
