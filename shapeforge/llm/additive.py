@@ -5,9 +5,11 @@ residuals of a bounded sample; codes are found by beam search, and the norm of t
 query's distance to every coded vector is a sum of looked-up inner products plus that norm. The best of all are reranked
 with exact distances of the original vectors.
 
-Queries and codes meet in tiles: query blocks of ``QUERY_TILE`` against shards of ``SHARD`` codes, both cut by hash, one task
-per pair of blocks, so a tile is bounded whatever the size of the tables. Only ids, codes and norms go through the tiles; the
-shortlists of the tiles are merged by estimate to one of ``shortlist_size`` a query, and original vectors are joined to that.
+Queries and codes meet in tiles: blocks of at most ``QUERY_TILE`` queries against one of at most ``SHARDS`` shards of the codes,
+both cut by hash. A tile's codes pass by in batches while its queries keep their nearest, so its memory is bounded whatever the
+size of the tables, and a query has at most ``SHARDS`` shortlists. Every code is looked at for every query, so that work is the product
+of their numbers. Only ids, codes and norms go through the tiles; the shortlists are merged by estimate to one of ``shortlist_size`` a
+query, and original vectors are joined to that.
 
 Defined results: null, empty, zero vectors and those with null or non-finite components take no part; vectors of another
 length than the most usual one of the sample take no part; where an id is repeated its rows are candidates of their own
@@ -31,7 +33,10 @@ from .vectors import matrix, usable_vectors
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: The codebooks are fitted on at most so many vectors, the first by hash of the id.
 SAMPLE = 8192
-SHARD, QUERY_TILE = 8192, 1024
+#: Codes of a shard at least, and shards at most: a query has one shortlist a shard, so their number must not grow.
+SHARD, SHARDS = 8192, 4
+#: Queries of a tile at most, and, while there are fewer than TILES tiles, at least.
+QUERY_TILE, SMALL_TILE, TILES = 8192, 128, 4
 #: Candidates of a query that are reranked exactly: this share of all vectors, but this many at most.
 SHARE, SHORTLIST = 0.05, 400
 
@@ -133,25 +138,76 @@ def encode(vectors: DataFrame, books: Codebooks, beam: int = BEAM) -> DataFrame:
 _NEAR = "query_id long, vec_id long, estimate double"
 
 
-def _tile(books: Codebooks, take: int, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-    """The ``take`` codes of a shard that are nearest to each query by look-up tables, ties to smaller ids."""
-    if len(q) and len(c):
-        c = c.sort_values("vec_id", kind="stable")
+class _Nearest:
+    """The ``take`` codes nearest to each query of a tile among those met so far, by look-up tables. Codes come by ascending id, so of
+    equal estimates those met first stay."""
+
+    def __init__(self, books: Codebooks, take: int):
+        m, self.words, d = books.words.shape
+        self.books, self.take, self.flat = books, take, books.words.reshape(m * self.words, d)
+        self.ids, self.queries, self.far, self.met, self.worst = [], [], [], [], []
+
+    def ask(self, q: pd.DataFrame) -> None:
+        self.ids += q["vec_id"].tolist()
+        self.queries += list(self.books.scaled(matrix(q["v"])))
+        for kept, new in ((self.far, np.zeros(0, np.float32)), (self.met, np.zeros(0, np.int64)), (self.worst, np.inf)):
+            kept += [new] * len(q)
+
+    def meet(self, c: pd.DataFrame) -> None:
         ids, norms = c["vec_id"].to_numpy(), c["norm"].to_numpy(np.float32)
-        m, words, d = books.words.shape
-        slots = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1).astype(np.int64) + np.arange(m) * words
-        flat = books.words.reshape(m * words, d)
-        out = []
-        for query, x in zip(q["vec_id"].to_numpy(), books.scaled(matrix(q["v"])), strict=True):
-            table = flat @ x  # the look-up table: <query, codeword>
+        slots = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1).astype(np.int64)
+        slots += np.arange(slots.shape[1]) * self.words
+        for i, x in enumerate(self.queries):
+            table = self.flat @ x  # the look-up table: <query, codeword>
             near = norms - 2 * table[slots].sum(1)
-            near = np.where(ids == query, np.inf, near)
-            some = np.flatnonzero(near <= np.partition(near, min(take, len(near)) - 1)[min(take, len(near)) - 1])
-            some = some[np.argsort(near[some], kind="stable")][:take]
-            some = some[ids[some] != query]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[some], "estimate": near[some].astype(float)}))
-        return pd.concat(out)
-    return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "estimate": np.zeros(0)})
+            some = np.flatnonzero((near < self.worst[i]) & (ids != self.ids[i]))
+            if len(some):
+                far, met = np.concatenate((self.far[i], near[some])), np.concatenate((self.met[i], ids[some]))
+                if len(far) > self.take:
+                    first = np.argsort(far, kind="stable")[: self.take]
+                    far, met = far[first], met[first]
+                    self.worst[i] = far[-1]
+                self.far[i], self.met[i] = far, met
+
+    def found(self):
+        for at in range(0, len(self.ids), 64):
+            part = slice(at, at + 64)
+            yield pd.DataFrame({"query_id": np.repeat(self.ids[part], [len(x) for x in self.met[part]]), "vec_id": np.concatenate(self.met[part]), "estimate": np.concatenate(self.far[part]).astype(float)})
+
+
+def _scan(shared, take: int):
+    """Tiles one after the other, each with its queries first: a tile's codes pass by and only its queries' nearest are kept."""
+
+    def run(it):
+        key = tile = None
+        for pdf in it:
+            for now, part in pdf.groupby(["tile", "shard"], sort=False):
+                if now != key:
+                    if tile is not None:
+                        yield from tile.found()
+                    key, tile = now, _Nearest(shared.value, take)
+                stored = part["code"].notna()
+                if not stored.all():
+                    tile.ask(part[~stored])
+                if stored.any() and tile.ids:
+                    tile.meet(part[stored])
+        if tile is not None:
+            yield from tile.found()
+
+    return run
+
+
+def shortlists(index: DataFrame, asked: DataFrame, books: Codebooks, take: int, n: int, n_asked: int, shard: int = SHARD) -> DataFrame:
+    """``query_id, vec_id, estimate``: of each shard of ``index`` the ``take`` codes nearest to each query of ``asked`` (``vec_id, v``)."""
+    shards, tiles = max(1, min(SHARDS, -(-n // shard))), max(1, -(-n_asked // QUERY_TILE), min(TILES, n_asked // SMALL_TILE))
+    part = lambda seed, of: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    none = lambda kind: F.lit(None).cast(kind)
+    queries = asked.select("vec_id", "v", none("binary").alias("code"), none("float").alias("norm"), part(1, tiles).alias("tile"), every(shards).alias("shard"))
+    stored = index.select("vec_id", none(asked.schema["v"].dataType).alias("v"), "code", "norm", part(2, shards).alias("shard"), every(tiles).alias("tile"))
+    # twice as many partitions as tiles: fewer of them share one
+    met = queries.unionByName(stored).repartition(2 * shards * tiles, "tile", "shard").sortWithinPartitions("tile", "shard", F.col("code").isNotNull(), "vec_id")
+    return met.mapInPandas(_scan(index.sparkSession.sparkContext.broadcast(books), take), _NEAR)
 
 
 def _distances(it):
@@ -174,15 +230,7 @@ def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     asked = cut(vectors.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")))
     n, n_asked = index.count(), asked.count()
     take = shortlist_size(n, k) if shortlist is None else shortlist
-    shards, tiles = max(1, -(-n // shard)), max(1, -(-n_asked // QUERY_TILE))
-    part = lambda seed, of: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    shared = spark.sparkContext.broadcast(books)
-    queries = asked.select("vec_id", "v", part(1, tiles).alias("tile"), every(shards).alias("shard"))
-    stored = index.select("vec_id", "code", "norm", part(2, shards).alias("shard"), every(tiles).alias("tile"))
-    near = (
-        queries.groupBy("tile", "shard").cogroup(stored.groupBy("tile", "shard")).applyInPandas(lambda q, c: _tile(shared.value, take, q, c), _NEAR)
-    )
+    near = shortlists(index, asked, books, take, n, n_asked, shard)
     first = Window.partitionBy("query_id").orderBy("estimate", "vec_id")
     merged = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= take).select("query_id", "vec_id").distinct()
     both = merged.join(vectors, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")

@@ -62,6 +62,22 @@ def test_search_where_the_shortlist_is_a_small_share(spark):
     assert hits / 300 >= 0.9
 
 
+def test_shortlists_do_not_grow_with_the_shards(spark):
+    """Twenty shards' worth of codes give a query no more than SHARDS shortlists, which hold the nearest of all by estimate."""
+    x = clustered(2000, seed=4)
+    rows = additive.usable_vectors(vectors(spark, x), "vec_id", "embedding")
+    books = additive.sample_fit(rows, 500)
+    index, asked = additive.encode(rows, books).cache(), rows.where("vec_id % 100 = 0").select("vec_id", "v")
+    near = additive.shortlists(index, asked, books, 30, 2000, 20, shard=100).collect()
+    assert len(near) == 20 * 30 * additive.SHARDS
+    codes = {r.vec_id: (np.frombuffer(r.code, np.uint8), r.norm) for r in index.collect()}
+    for q in (0, 700):
+        estimate = {i: n - 2 * float(books.words[np.arange(len(c)), c].sum(0) @ books.scaled(x[q])) for i, (c, n) in codes.items() if i != q}
+        best = sorted(estimate.values())[:30]
+        mine = sorted(r.estimate for r in near if r.query_id == q)[:30]
+        assert np.allclose(best, mine, atol=1e-3) and all(abs(estimate[r.vec_id] - r.estimate) < 1e-3 for r in near if r.query_id == q)
+
+
 def test_search_repeated_ids_and_large_numbers(spark):
     more = [(1, [9.0] * 16, 1), (1, [9.0] * 16, 1), (2, [1e30] * 16, 1)]
     got = additive.search(vectors(spark, clustered(60), more), F.col("vec_id") == 1, k=70).collect()
