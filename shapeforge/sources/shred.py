@@ -1,11 +1,17 @@
-"""Documents to element tables, with places. The parser is the library's one Python helper; it runs over Arrow batches."""
+"""Documents to element tables, with places. The parser is the library's one Python helper; it runs over Arrow batches.
+
+Where neither lines nor namespace bindings are asked for, documents become trees in C and the rows that follow from names and
+nesting are made once for all documents of one form.
+"""
 
 from __future__ import annotations
 
 from functools import cache
 from itertools import accumulate
+from xml.etree import ElementTree
 from xml.parsers import expat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,6 +175,125 @@ def _parser_of(columns: tuple[str, ...]):
     return batches_of
 
 
+#: What a tree of C-made nodes gives; lines and bindings of prefixes need the parser's own events.
+_OF_TREES = frozenset(_KINDS) - {"line", "col", "spaces"}
+#: Columns that follow from names and nesting alone.
+_OF_SHAPES = frozenset(_OF_TREES) - {"doc_id", "kind", "message", "text", "attrs"}
+#: Element rows of the shapes that are kept from one document to the next.
+_KEPT = 100_000
+
+
+def _shape_rows(cols: dict[str, list], tags: list[str], sizes: list[int]) -> None:
+    """Adds the rows of a tree given by its names and numbers of children in document order."""
+    names, n = [_split_name(t.removeprefix("{")) for t in tags], len(tags)
+    ups, depths, indexes, paths, bares, counts = [None] * n, [0] * n, [1] * n, [""] * n, [""] * n, [{} for _ in range(n)]
+    above: list[list[int]] = []
+    for i, (_, local) in enumerate(names):
+        while above and not above[-1][1]:
+            above.pop()
+        up, path, bare = None, "", ""
+        if above:
+            up = above[-1][0]
+            above[-1][1] -= 1
+            counts[up][local] = indexes[i] = counts[up].get(local, 0) + 1
+            path, bare = paths[up], bares[up]
+        ups[i], depths[i] = up, 0 if up is None else depths[up] + 1
+        paths[i], bares[i] = f"{path}/{local}[{indexes[i]}]", f"{bare}/{local}"
+        above.append([i, sizes[i]])
+    made = {
+        "seq": lambda: range(n), "parent_seq": lambda: ups, "depth": lambda: depths, "ns": lambda: [x for x, _ in names], "local_name": lambda: [x for _, x in names],
+        "sibling_index": lambda: indexes, "path": lambda: paths, "parent_path": lambda: ["" if u is None else paths[u] for u in ups], "bare_path": lambda: bares,
+        "n_children": lambda: sizes, "children": lambda: [list(c.items()) for c in counts],
+    }
+    for c, col in cols.items():
+        col += made[c]()
+
+
+def _text_of(e) -> str:
+    return "".join([e.text or "", *(x.tail or "" for x in e)]) if len(e) else e.text or ""
+
+
+class _Shapes:
+    """Trees seen before: documents of one form have the same rows but for their values, so these rows are made once and taken
+    again by their numbers."""
+
+    def __init__(self, columns: tuple[str, ...]):
+        self.columns = columns
+        self.fresh()
+
+    def fresh(self) -> None:
+        self.at: dict[tuple, np.ndarray] = {}
+        self.cols = {c: [] for c in self.columns}
+        self.arrays = {c: _array(c, []) for c in self.columns}
+        self.size = self.built = 0
+
+    def rows(self, tags: list[str], sizes: list[int]) -> np.ndarray:
+        """The numbers of the shape's rows."""
+        key = (*tags, *sizes)
+        found = self.at.get(key)
+        if found is None:
+            _shape_rows(self.cols, tags, sizes)
+            found = self.at[key] = np.arange(self.size, self.size + len(tags))
+            self.size += len(tags)
+        return found
+
+    def taken(self, numbers: np.ndarray) -> dict[str, pa.Array]:
+        if self.built != self.size:
+            self.arrays = {c: pa.concat_arrays([self.arrays[c], _array(c, v)]) for c, v in self.cols.items()}
+            self.cols, self.built = {c: [] for c in self.columns}, self.size
+        return {c: a.take(pa.array(numbers)) for c, a in self.arrays.items()}
+
+
+def _tree_parser_of(columns: tuple[str, ...]):
+    """``_parser_of`` for columns of ``_OF_TREES``: the tree is made in C and told apart from others by its names and its numbers of
+    children. What is not well formed goes to the parser that reports it."""
+    shaped = tuple(c for c in columns if c in _OF_SHAPES)
+    texts, attrs = "text" in columns, "attrs" in columns
+
+    def batches_of(batches):
+        shapes = _Shapes(shaped)
+
+        def batches_from(ids, numbers, own):
+            docs, rows = pa.array(np.repeat(np.arange(len(ids)), [len(x) for x in numbers])), np.concatenate(numbers)
+            ids = pa.array(ids, pa.string())
+            for at in range(0, len(rows), _CHUNK):
+                made = shapes.taken(rows[at : at + _CHUNK]) | {c: _array(c, v[at : at + _CHUNK]) for c, v in own.items()}
+                n = min(_CHUNK, len(rows) - at)
+                made |= {"doc_id": ids.take(docs[at : at + n]), "kind": pa.repeat("element", n), "message": pa.nulls(n, pa.string())}
+                yield pa.RecordBatch.from_arrays([made[c] for c in columns], names=list(columns))
+            if shapes.size > _KEPT:
+                shapes.fresh()
+
+        for batch in batches:
+            errors = _columns(columns)
+            ids, numbers, n = [], [], 0
+            own = {c: [] for c, wanted in (("text", texts), ("attrs", attrs)) if wanted}
+            contents = batch.column(1)
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                content = contents[i].as_py() or b""
+                try:
+                    found = list(ElementTree.fromstring(content).iter())
+                except (ElementTree.ParseError, ValueError):
+                    _parse_into(errors, doc_id, content)
+                    continue
+                ids.append(doc_id)
+                numbers.append(shapes.rows([e.tag for e in found], [len(e) for e in found]))
+                n += len(found)
+                if texts:
+                    own["text"] += [_text_of(e) for e in found]
+                if attrs:
+                    own["attrs"] += [[(*_split_name(k.removeprefix("{")), v) for k, v in e.items()] for e in found]
+                if n >= _CHUNK:
+                    yield from batches_from(ids, numbers, own)
+                    ids, numbers, n, own = [], [], 0, {c: [] for c in own}
+            if ids:
+                yield from batches_from(ids, numbers, own)
+            if errors["seq"]:
+                yield pa.RecordBatch.from_arrays([_array(c, errors[c]) for c in columns], names=list(columns))
+
+    return batches_of
+
+
 def shredded(documents: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """One pass of the parser: element and error rows together, of the given columns where not all are needed. Write or persist it
     before taking more than one part.
@@ -176,7 +301,7 @@ def shredded(documents: DataFrame, columns: tuple[str, ...] | None = None) -> Da
     ``children`` counts an element's children by name, so checks of counts look at one row each.
     """
     names = tuple(_KINDS) if columns is None else tuple(columns)
-    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(_parser_of(names), ", ".join(f"{c} {_KINDS[c]}" for c in names))
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow((_tree_parser_of if _OF_TREES.issuperset(names) else _parser_of)(names), ", ".join(f"{c} {_KINDS[c]}" for c in names))
 
 
 def _errors_of(batches):
