@@ -98,22 +98,24 @@ def missing_elements(typed: DataFrame, declarations: DataFrame) -> DataFrame:
     """CON2: required children that are absent; the place is the parent, the only one the document has. What a name needs at several
     places of a type adds up. Children are counted where the document is parsed, so a parent is judged by its own row."""
     need = declarations.where((F.coalesce("min_occurs", F.lit(1)) > 0) & (F.col("owner") != ROOT) & F.col("choice_id").isNull()).groupBy(F.col("owner").alias("type_ref"), "name").agg(F.sum(F.coalesce("min_occurs", F.lit(1))).cast("int").alias("least"))
-    need = need.groupBy("type_ref").agg(F.collect_list(F.struct("name", "least")).alias("needs"))
-    few = F.transform(F.filter("needs", lambda x: _n_of(x["name"]) < x["least"]), lambda x: F.struct(x["name"].alias("name"), x["least"].alias("least"), _n_of(x["name"]).alias("n")))
-    got = typed.where("declared").join(need, "type_ref").select("doc_id", "path", "type_ref", F.explode(few).alias("x")).select("doc_id", "path", "type_ref", "x.*")
+    # a lookup for each need, rather than functions over lists, which run uncompiled
+    kids = typed.where("declared").select("doc_id", "path", "type_ref", F.map_from_entries("children").alias("kids"))
+    got = kids.join(need, "type_ref").withColumn("n", F.coalesce(F.col("kids")[F.col("name")], F.lit(0))).where("n < least")
     return got.select(*finding("missing-element", F.concat(F.lit("Missing element "), "name"), F.col("type_ref"), F.col("n").cast("string"), F.concat(F.lit("at least "), F.col("least").cast("string"), F.lit(" "), F.col("name"))))
 
 
 def too_many_elements(typed: DataFrame, declarations: DataFrame) -> DataFrame:
     """CON3: children that stand more often than allowed at all places of their name together; one finding per parent and name."""
     most = declarations.groupBy("owner", "name").agg(F.when(F.count("max_occurs") == F.count(F.lit(1)), F.sum("max_occurs")).cast("int").alias("most")).where("most is not null")
-    most = most.groupBy(F.col("owner").alias("parent_type")).agg(F.collect_list(F.struct("name", "most")).alias("limits"))
-    here, one = typed.where("declared"), lambda name, n: F.array(F.struct(name.alias("name"), n.alias("n")))
+    most = most.select(F.col("owner").alias("parent_type"), F.col("name").alias("local_name"), "most")
     # a document's root is the one child of the place above it
-    parents = F.array(F.struct(F.col("type_ref").alias("parent_type"), F.col("path").alias("parent_path"), F.col("children").alias("children")), F.when(F.col("depth") == 0, F.struct(F.lit(ROOT).alias("parent_type"), F.lit("").alias("parent_path"), one(F.col("local_name"), F.lit(1)).alias("children"))))
-    rows = here.select("doc_id", F.explode(F.filter(parents, lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*").join(most, "parent_type")
-    many = F.transform(F.filter("limits", lambda x: _n_of(x["name"]) > x["most"]), lambda x: F.struct(x["name"].alias("local_name"), x["most"].alias("most"), _n_of(x["name"]).alias("n")))
-    over = rows.select("doc_id", "parent_path", "parent_type", F.explode(many).alias("x")).select("doc_id", "parent_path", "parent_type", "x.*")
+    parent = lambda *cols: F.struct(*[c.alias(n) for n, c in zip(("parent_type", "parent_path", "kids"), cols, strict=True)])
+    parents = F.array(
+        parent(F.col("type_ref"), F.col("path"), F.map_from_entries("children")),
+        F.when(F.col("depth") == 0, parent(F.lit(ROOT), F.lit(""), F.create_map(F.col("local_name"), F.lit(1)))),
+    )
+    rows = typed.where("declared").select("doc_id", F.explode(parents).alias("x")).where("x is not null").select("doc_id", "x.*").join(most, "parent_type")
+    over = rows.withColumn("n", F.col("kids")[F.col("local_name")]).where("n > most")
     return over.select(*finding("too-many-elements", F.concat(F.lit("Too many elements "), "local_name"), F.col("parent_type"), F.col("n").cast("string"), F.concat(F.lit("at most "), F.col("most").cast("string")), "parent_path"))
 
 
@@ -182,10 +184,22 @@ _ZONE = r"(?:Z|[+-](?:0[0-9]|1[0-3]):[0-5][0-9]|[+-]14:00)"
 _TIME = r"(?:(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?|24:00:00(?:\.0+)?)"
 
 
-def is_lexical(kind: Column, value: Column) -> Column:
+def _cases(of: Column, cases: list[tuple], names, other: Column) -> Column:
+    """The value of the case that ``of`` names, else ``other``. Cases of no name among ``names`` (None: any) are left out, so the code
+    of a pass stays short."""
+    out = F
+    for wanted, value in cases:
+        wanted = [x for x in wanted if names is None or x in names]
+        if wanted:
+            out = out.when(of.isin(*wanted), value)
+    return other if out is F else out.otherwise(other)
+
+
+def is_lexical(kind: Column, value: Column, kinds=None) -> Column:
     """Whether ``value`` is in the lexical space of the built-in or domain type ``kind``; unknown types accept anything.
 
-    Patterns come first and casts after: casts trim and round. Calendar dates must exist.
+    Patterns come first and casts after: casts trim and round. Calendar dates must exist. ``kinds``: all names that ``kind`` may
+    have, where they are known.
     """
     full = lambda p: value.rlike(rf"\A(?:{p})\z")
     as_int = value.try_cast("bigint")
@@ -194,44 +208,44 @@ def is_lexical(kind: Column, value: Column) -> Column:
     day = F.substring(value, 1, 10).try_cast("date").isNotNull()
     year, month = full("[0-9]{4}"), full("[0-9]{4}-(?:0[1-9]|1[0-2])")
     date = full(r"[0-9]{4}-[0-9]{2}-[0-9]{2}") & day
-    return (
-        F.when(kind.isin("Amount", "Percent", "Rate", "Numeric", "decimal"), full(_DECIMAL))
-        .when(kind == "Count", full(_INTEGER) & (as_int >= 0) & (as_int <= 2147483647))
-        .when(kind == "SequenceNumber", full(_INTEGER) & (as_int >= 1) & (as_int <= 2147483647))
-        .when(kind == "Year", full(_INTEGER) & as_int.between(1, 9999))
-        .when(kind == "integer", full(_INTEGER))
-        .when(kind == "nonNegativeInteger", full(r"\+?[0-9]+|-0+"))
-        .when(kind == "positiveInteger", full(r"\+?0*[1-9][0-9]*"))
-        .when(kind == "nonPositiveInteger", full(r"-[0-9]+|\+?0+"))
-        .when(kind == "negativeInteger", full(r"-0*[1-9][0-9]*"))
-        .when(kind == "byte", whole(-(1 << 7), (1 << 7) - 1))
-        .when(kind == "short", whole(-(1 << 15), (1 << 15) - 1))
-        .when(kind == "int", whole(-(1 << 31), (1 << 31) - 1))
-        .when(kind == "long", full(_INTEGER) & as_int.isNotNull())
-        .when(kind.isin("unsignedByte", "unsignedShort", "unsignedInt"), whole(0, (1 << 32) - 1))
-        .when(kind.isin("double", "float"), full(rf"(?:{_DECIMAL})(?:[eE][+-]?[0-9]+)?|-?INF|NaN"))
-        .when(kind == "gYear", full(rf"-?[0-9]{{4,}}{_ZONE}?"))
-        .when(kind == "gYearMonth", full(rf"-?[0-9]{{4,}}-(?:0[1-9]|1[0-2]){_ZONE}?"))
-        .when(kind == "gMonthDay", full(rf"--(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]){_ZONE}?"))
-        .when(kind.isin("NMTOKEN", "NMTOKENS"), full(r"[\w.:-]+" + r"(?: [\w.:-]+)*"))
-        .when(kind.isin("NCName", "ID", "IDREF", "ENTITY"), full(r"[A-Za-z_\u00C0-\uFFFD][\w.\u00B7-\uFFFD-]*"))
-        .when(kind == "language", full("[a-zA-Z]{1,8}(?:-[a-zA-Z0-9]{1,8})*"))
-        .when(kind == "hexBinary", full("(?:[0-9a-fA-F]{2})*"))
-        .when(kind == "Date", year | month | date)
-        .when(kind == "date", full(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_ZONE}?") & day)
-        .when(kind == "Datetime", full(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}{_ZONE}") & full(r"[^.]*(?:\.[0-9]{1,9}(?![0-9]).*)?") & day)
-        .when(kind == "dateTime", full(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}{_ZONE}?") & day)
-        .when(kind == "Indicator", value.isin("true", "false"))
-        .when(kind == "boolean", value.isin("true", "false", "1", "0"))
-        .when(kind == "NumericString", full("[0-9]*"))
-        .when(kind.isin("Day", "gDay"), full(rf"---(?:0[1-9]|[12][0-9]|3[01]){_ZONE}?"))
-        .when(kind.isin("Month", "gMonth"), full(rf"--(?:0[1-9]|1[0-2]){_ZONE}?"))
-        .when(kind.isin("Time", "time"), full(rf"{_TIME}{_ZONE}?"))
-        .when(kind.isin("URI", "anyURI"), ~value.rlike(r"[\s<>\"{}|\\^`]"))
-        .when(kind.isin("Enum", "Code"), F.char_length(value) <= 80)
-        .when(kind.isin("String", "Identifier", "Value"), F.char_length(value) <= 16383)
-        .otherwise(True)
-    )
+    cases = [
+        (("Amount", "Percent", "Rate", "Numeric", "decimal"), full(_DECIMAL)),
+        (("Count",), full(_INTEGER) & (as_int >= 0) & (as_int <= 2147483647)),
+        (("SequenceNumber",), full(_INTEGER) & (as_int >= 1) & (as_int <= 2147483647)),
+        (("Year",), full(_INTEGER) & as_int.between(1, 9999)),
+        (("integer",), full(_INTEGER)),
+        (("nonNegativeInteger",), full(r"\+?[0-9]+|-0+")),
+        (("positiveInteger",), full(r"\+?0*[1-9][0-9]*")),
+        (("nonPositiveInteger",), full(r"-[0-9]+|\+?0+")),
+        (("negativeInteger",), full(r"-0*[1-9][0-9]*")),
+        (("byte",), whole(-(1 << 7), (1 << 7) - 1)),
+        (("short",), whole(-(1 << 15), (1 << 15) - 1)),
+        (("int",), whole(-(1 << 31), (1 << 31) - 1)),
+        (("long",), full(_INTEGER) & as_int.isNotNull()),
+        (("unsignedByte", "unsignedShort", "unsignedInt"), whole(0, (1 << 32) - 1)),
+        (("double", "float"), full(rf"(?:{_DECIMAL})(?:[eE][+-]?[0-9]+)?|-?INF|NaN")),
+        (("gYear",), full(rf"-?[0-9]{{4,}}{_ZONE}?")),
+        (("gYearMonth",), full(rf"-?[0-9]{{4,}}-(?:0[1-9]|1[0-2]){_ZONE}?")),
+        (("gMonthDay",), full(rf"--(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]){_ZONE}?")),
+        (("NMTOKEN", "NMTOKENS"), full(r"[\w.:-]+" + r"(?: [\w.:-]+)*")),
+        (("NCName", "ID", "IDREF", "ENTITY"), full(r"[A-Za-z_\u00C0-\uFFFD][\w.\u00B7-\uFFFD-]*")),
+        (("language",), full("[a-zA-Z]{1,8}(?:-[a-zA-Z0-9]{1,8})*")),
+        (("hexBinary",), full("(?:[0-9a-fA-F]{2})*")),
+        (("Date",), year | month | date),
+        (("date",), full(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{_ZONE}?") & day),
+        (("Datetime",), full(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}{_ZONE}") & full(r"[^.]*(?:\.[0-9]{1,9}(?![0-9]).*)?") & day),
+        (("dateTime",), full(rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}{_ZONE}?") & day),
+        (("Indicator",), value.isin("true", "false")),
+        (("boolean",), value.isin("true", "false", "1", "0")),
+        (("NumericString",), full("[0-9]*")),
+        (("Day", "gDay"), full(rf"---(?:0[1-9]|[12][0-9]|3[01]){_ZONE}?")),
+        (("Month", "gMonth"), full(rf"--(?:0[1-9]|1[0-2]){_ZONE}?")),
+        (("Time", "time"), full(rf"{_TIME}{_ZONE}?")),
+        (("URI", "anyURI"), ~value.rlike(r"[\s<>\"{}|\\^`]")),
+        (("Enum", "Code"), F.char_length(value) <= 80),
+        (("String", "Identifier", "Value"), F.char_length(value) <= 16383),
+    ]
+    return _cases(kind, cases, kinds, F.lit(True))
 
 
 def simple_values(typed: DataFrame) -> DataFrame:
@@ -255,41 +269,44 @@ def fixed_with_attributes(declarations: DataFrame, declared: DataFrame) -> DataF
     return declarations.select("owner", "name", "fixed").unionByName(declared.select("owner", F.concat(F.lit("@"), "name").alias("name"), "fixed"))
 
 
-def datatype_violations(typed: DataFrame, unions: DataFrame | None = None) -> DataFrame:
-    """CON7: values outside the lexical space of their type; with ``unions(type_ref, member)`` any member will do."""
+def datatype_violations(typed: DataFrame, unions: DataFrame | None = None, kinds=None) -> DataFrame:
+    """CON7: values outside the lexical space of their type; with ``unions(type_ref, member)`` any member will do. ``kinds``: all types
+    and members there are, where they are known."""
     rows = simple_values(typed)
     if unions is not None:
         members = unions.groupBy("type_ref").agg(F.collect_set("member").alias("members"))
         rows = rows.join(members, "type_ref", "left")
-        good = F.when(F.col("members").isNull(), is_lexical(F.col("type_ref"), F.col("value"))).otherwise(F.exists("members", lambda m: is_lexical(m, F.col("value"))))
+        good = F.when(F.col("members").isNull(), is_lexical(F.col("type_ref"), F.col("value"), kinds)).otherwise(F.exists("members", lambda m: is_lexical(m, F.col("value"), kinds)))
     else:
-        good = is_lexical(F.col("type_ref"), F.col("value"))
+        good = is_lexical(F.col("type_ref"), F.col("value"), kinds)
     return rows.where(~good).select(*finding("datatype", F.concat(F.lit("Not a valid "), "type_ref"), F.col("type_ref"), F.col("value"), F.col("type_ref")))
 
 
-def breaks_facet(facet: Column, limit: Column, v: Column) -> Column:
-    """Whether the value ``v`` is outside a facet's limit; null for facets that don't limit values."""
+def breaks_facet(facet: Column, limit: Column, v: Column, names=None) -> Column:
+    """Whether the value ``v`` is outside a facet's limit; null for facets that don't limit values. ``names``: all that ``facet`` may
+    be, where they are known."""
     fraction = F.length(F.regexp_extract(v, r"\.([0-9]*)\z", 1))
     digits = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    return (
-        F.when(facet == "maxLength", F.char_length(v) > limit.try_cast("int"))
-        .when(facet == "minLength", F.char_length(v) < limit.try_cast("int"))
-        .when(facet == "length", F.char_length(v) != limit.try_cast("int"))
-        .when(facet == "minInclusive", F.coalesce(compared(v, limit) < 0, F.lit(False)))
-        .when(facet == "maxInclusive", F.coalesce(compared(v, limit) > 0, F.lit(False)))
-        .when(facet == "minExclusive", F.coalesce(compared(v, limit) <= 0, F.lit(False)))
-        .when(facet == "maxExclusive", F.coalesce(compared(v, limit) >= 0, F.lit(False)))
-        .when(facet == "fractionDigits", fraction > limit.try_cast("int"))
-        .when(facet == "totalDigits", digits > limit.try_cast("int"))
-        .when(facet == "pattern", ~F.regexp_like(v, F.concat(F.lit(r"\A(?:"), limit, F.lit(r")\z"))))
-    )
+    cases = [
+        (("maxLength",), F.char_length(v) > limit.try_cast("int")),
+        (("minLength",), F.char_length(v) < limit.try_cast("int")),
+        (("length",), F.char_length(v) != limit.try_cast("int")),
+        (("minInclusive",), F.coalesce(compared(v, limit) < 0, F.lit(False))),
+        (("maxInclusive",), F.coalesce(compared(v, limit) > 0, F.lit(False))),
+        (("minExclusive",), F.coalesce(compared(v, limit) <= 0, F.lit(False))),
+        (("maxExclusive",), F.coalesce(compared(v, limit) >= 0, F.lit(False))),
+        (("fractionDigits",), fraction > limit.try_cast("int")),
+        (("totalDigits",), digits > limit.try_cast("int")),
+        (("pattern",), ~F.regexp_like(v, F.concat(F.lit(r"\A(?:"), limit, F.lit(r")\z")))),
+    ]
+    return _cases(facet, cases, names, F.lit(None).cast("boolean"))
 
 
-def facet_violations(typed: DataFrame, facets: DataFrame) -> DataFrame:
+def facet_violations(typed: DataFrame, facets: DataFrame, names=None) -> DataFrame:
     """CON8: one finding per failing facet (``type_ref, facet, limit``)."""
     rows = simple_values(typed).join(facets, "type_ref")
     v, limit = F.col("value"), F.col("limit")
-    bad = breaks_facet(F.col("facet"), limit, v)
+    bad = breaks_facet(F.col("facet"), limit, v, names)
     return rows.where(bad).select(*finding("facet", F.concat(F.lit("Facet "), "facet"), F.col("type_ref"), v, F.concat("facet", F.lit(" "), "limit")))
 
 

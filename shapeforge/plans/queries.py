@@ -275,6 +275,11 @@ def _typed(spark, sf_dir, *columns):
     return conform.typed_elements(shred.elements(rows), st.declarations(spark), max_depth=2)
 
 
+def _named(schema_table, column):
+    """What a column of a schema table names."""
+    return {r[0] for r in schema_table.select(column).distinct().collect()}
+
+
 #: Columns of the checks of values and of children.
 _FOR_VALUES, _FOR_CHILDREN = ("n_children", "text"), ("children",)
 
@@ -406,7 +411,7 @@ def con_attributes(spark, sf_dir):
 @query(f"SELECT o_orderkey::VARCHAR AS doc_id, '/Report[1]/Date[' || i || ']' AS data_location, '2024-13-45' AS observed_value FROM {_DOCS}, (VALUES (1), (2)) v(i) WHERE fine AND o_orderkey % 29 = 0 AND (i = 1 OR o_orderkey % 41 = 0)")
 def con_datatype(spark, sf_dir):
     """CON7."""
-    return _out(conform.datatype_violations(_typed(spark, sf_dir, *_FOR_VALUES)), "observed_value")
+    return _out(conform.datatype_violations(_typed(spark, sf_dir, *_FOR_VALUES), kinds=_named(st.declarations(spark), "type_ref")), "observed_value")
 
 
 @query(f"""SELECT o_orderkey::VARCHAR AS doc_id, '/Report[1]/Size[1]' AS data_location, (o_custkey % 100)::VARCHAR AS observed_value FROM {_DOCS} WHERE fine AND o_custkey % 100 > 89
@@ -414,7 +419,7 @@ def con_datatype(spark, sf_dir):
   UNION ALL SELECT k::VARCHAR, '/Report[1]/Line[' || i || ']/Part[1]', part::VARCHAR FROM (SELECT l_orderkey AS k, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey) AS i FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE part > 89 AND k % 31 <> 0""")
 def con_facets(spark, sf_dir):
     """CON8: every finding with its place and value."""
-    return _out(conform.facet_violations(_typed(spark, sf_dir, *_FOR_VALUES), st.facets(spark)), "observed_value")
+    return _out(conform.facet_violations(_typed(spark, sf_dir, *_FOR_VALUES), st.facets(spark), _named(st.facets(spark), "facet")), "observed_value")
 
 
 @query(f"SELECT o_orderkey::VARCHAR AS doc_id, '/Report[1]/Status[1]' AS data_location, chr(10) || '    ' || o_orderstatus || chr(10) || '  ' AS observed_value FROM {_DOCS} WHERE fine AND o_orderkey % 23 = 0 AND o_orderkey % 17 <> 0")
@@ -529,7 +534,7 @@ def con_locate(spark, sf_dir):
 def fnd_reports(spark, sf_dir):
     """FND1: parse errors and bad dates; passed documents have reports too."""
     docs = st.order_documents(spark, sf_dir)
-    found = _with_place(conform.datatype_violations(_typed(spark, sf_dir, *_FOR_VALUES)), docs).unionByName(shred.parse_findings(shred.unparsed(docs)))
+    found = _with_place(conform.datatype_violations(_typed(spark, sf_dir, *_FOR_VALUES), kinds=_named(st.declarations(spark), "type_ref")), docs).unionByName(shred.parse_findings(shred.unparsed(docs)))
     return findings.schema_reports(docs, found).select("doc_id", "well_formed", "schema_valid", "status", "finding_count")
 
 

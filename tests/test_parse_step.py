@@ -82,3 +82,20 @@ def test_rows_of_a_form_are_made_once(monkeypatch):
     out = list(shred._tree_parser_of(("doc_id", "kind", "path", "text"))([batch]))
     assert made == [["a", "b"]] and sum(b.num_rows for b in out) == 2000
     assert out[-1].to_pylist()[-1] == {"doc_id": "999", "kind": "element", "path": "/a[1]/b[1]", "text": "999"}
+
+
+def test_checks_look_only_at_the_types_there_are(spark):
+    rows = spark.createDataFrame([(k, v) for k in ("Count", "Date", "Year", "Other", None) for v in ("1", "x", "2024-02-30", "99999999999999999999", None)], "k string, v string")
+    kinds = {"Count", "Date", "Year", "Other"}
+    short, full = conform.is_lexical(F.col("k"), F.col("v"), kinds), conform.is_lexical(F.col("k"), F.col("v"))
+    assert rows.where(~short.eqNullSafe(full)).count() == 0
+    plan = lambda c: rows.where(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "gYear" not in plan(short) and len(plan(short)) < len(plan(full)) / 3
+    facet = conform.breaks_facet(F.col("k"), F.lit("2"), F.col("v"), {"maxLength"})
+    assert "totalDigits" not in plan(facet) and "maxLength" in plan(facet)
+
+
+def test_missing_elements_are_looked_up_not_searched(spark):
+    typed = conform.typed_elements(shred.elements(shred.shredded(_docs(spark))), st.declarations(spark), max_depth=2)
+    for check in (conform.missing_elements, conform.too_many_elements):
+        assert "lambda" not in check(typed, st.declarations(spark))._jdf.queryExecution().optimizedPlan().toString()
