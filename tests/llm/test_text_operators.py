@@ -5,6 +5,7 @@ import random
 import re
 import time
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -368,6 +369,27 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, all_pairs, block)
     assert sum(got[i] == want[i] for i in got) >= 0.97 * len(rows)
 
 
+def test_rare_runs_stay_rare_in_a_large_crowd(spark, monkeypatch):
+    """Bins grow with the texts: with too few, runs of a passage look as frequent as those of one text alone, and meet as rows."""
+    monkeypatch.setattr(order_minhash, "FEWEST_COUNTS", 1 << 12)
+    passage = [f"common{k}" for k in range(90)]
+    docs = spark.createDataFrame([(i, i, " ".join([*passage, *(f"own{i}x{k}" for k in range(90))])) for i in range(400)], "doc long, part long, text string")
+    counts = order_minhash._run_counts(docs, 2)
+    assert len(counts) > 400 * 90 and counts.dtype == np.uint8 and counts.max() == 255
+    shared = spark.sparkContext.broadcast(counts)
+    rows = docs.mapInPandas(order_minhash._prefix_rows(0.8, 2, shared), "run long, doc long, part long, n int, pos int")
+    # no text need show the passage; what is counted once goes no further
+    assert order_minhash._sizes(rows, "run").where("size > 8").count() == 0
+    assert rows.count() < 400 * order_minhash.prefix_size(180, 0.8, 2)
+
+
+def test_crowded_runs_are_few_rows_of_a_text():
+    rows = pd.DataFrame({"run": [5, 1, 2, 3, 4, 6, 1], "doc": [7, 7, 7, 7, 7, 7, 8], "n": 9})
+    shown = lambda runs: pd.concat(order_minhash._shown(SimpleNamespace(value=np.array(runs, np.int64)))(iter([rows])))
+    assert shown([1, 2, 3, 4, 6])[["run", "doc"]].values.tolist() == [[1, 7], [2, 7], [3, 7], [4, 7], [1, 8]]
+    assert shown([99]).empty
+
+
 def test_repeated_ids_link_by_each_of_their_texts(spark):
     rng = random.Random(22)
     a, z = ([f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(2))
