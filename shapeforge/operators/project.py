@@ -18,17 +18,30 @@ def node_iri(doc_id: Column, path: Column, xml_id: Column | None = None, base: s
     return mint_path_iri(F.lit("instance"), doc_id, F.coalesce(F.nullif(xml_id, F.lit("")), key) if xml_id is not None else key, base=base)
 
 
-def project_instances(typed: DataFrame, attributes: DataFrame, terms: str = TERMS, base: str = BASE, datatypes: dict[str, str] | None = None) -> DataFrame:
-    """PRJ1: triples of declared elements with their place: containers become typed resources, values and attributes
-    literals with a datatype, containment an object fact. Repeats are repeated facts; equal triples are one."""
-    own = attributes.groupBy("doc_id", "seq").agg(
-        F.min(F.when(F.col("name") == "id", F.col("value"))).alias("xml_id"), F.count_if(F.col("name") != "id").alias("n_attrs"),
-        F.collect_list(F.when((F.col("name") != "id") & (F.coalesce("ns", F.lit("")) != XLINK), F.struct("name", "value"))).alias("attrs"),
-    )
-    els = typed.where("declared").join(own, ["doc_id", "seq"], "left").withColumn("iri", node_iri(F.col("doc_id"), F.col("path"), F.col("xml_id"), base))
+def project_instances(typed: DataFrame, attributes: DataFrame | None = None, terms: str = TERMS, base: str = BASE, datatypes: dict[str, str] | None = None, once: bool = False) -> DataFrame:
+    """PRJ1: triples of declared elements with their place (as far as ``typed`` has it): containers become typed resources, values and
+    attributes literals with a datatype, containment an object fact. Repeats are repeated facts; equal triples are one.
+
+    Where ``typed`` has ``attrs, own_id, up_id, parent_path, again``, a row tells all its facts by itself, so nothing is joined. With ``once``
+    no documents share a ``doc_id`` and none is ``alike``: then what the parser found to be said ``again`` are all repeats, and nothing is
+    shuffled to be distinct.
+    """
+    els = typed.where("declared")
+    if attributes is None:
+        named = F.coalesce("attrs", F.array().cast("array<struct<ns:string,name:string,value:string>>"))
+        plain = F.filter(named, lambda a: a["name"] != "id")
+        els = els.withColumn("xml_id", F.col("own_id")).withColumn("n_attrs", F.when(F.size("attrs") > 0, F.size(plain)).otherwise(0))
+        els = els.withColumn("attrs", F.when(F.size("attrs") > 0, F.filter(plain, lambda a: F.coalesce(a["ns"], F.lit("")) != XLINK)))
+        els = els.withColumn("iri", node_iri(F.col("doc_id"), F.col("path"), F.col("xml_id"), base)).withColumn("up_iri", F.when(F.col("up_declared"), node_iri(F.col("doc_id"), F.col("parent_path"), F.col("up_id"), base)))
+    else:
+        own = attributes.groupBy("doc_id", "seq").agg(
+            F.min(F.when(F.col("name") == "id", F.col("value"))).alias("xml_id"), F.count_if(F.col("name") != "id").alias("n_attrs"),
+            F.collect_list(F.when((F.col("name") != "id") & (F.coalesce("ns", F.lit("")) != XLINK), F.struct("ns", "name", "value"))).alias("attrs"),
+        )
+        els = els.join(own, ["doc_id", "seq"], "left").withColumn("iri", node_iri(F.col("doc_id"), F.col("path"), F.col("xml_id"), base))
+        up = els.select("doc_id", F.col("seq").alias("parent_seq"), F.col("iri").alias("up_iri"))
+        els = els.join(up, ["doc_id", "parent_seq"], "left")
     els = els.withColumn("is_node", (F.col("n_children") > 0) | (F.coalesce("n_attrs", F.lit(0)) > 0) | (F.col("depth") == 0) | F.col("xml_id").isNotNull())
-    up = els.select("doc_id", F.col("seq").alias("parent_seq"), F.col("iri").alias("up_iri"))
-    els = els.join(up, ["doc_id", "parent_seq"], "left")
     known = F.create_map(*[x for k, v in (datatypes or {"Amount": "decimal", "Count": "int", "Year": "int", "Indicator": "boolean"}).items() for x in (F.lit(k), F.lit(XSD + v))])
     dt = F.coalesce(F.try_element_at(known, "type_ref"), F.lit(XSD + "string"))
     none = F.lit(None).cast("string")
@@ -46,10 +59,13 @@ def project_instances(typed: DataFrame, attributes: DataFrame, terms: str = TERM
         F.when(below & ~node, fact(F.col("up_iri"), term(F.col("local_name")), F.coalesce(text, F.lit("")), "literal", dt)),
         F.when(node & (F.col("n_children") == 0) & (text != "") & (F.col("depth") > 0), fact(iri, F.lit(RDF + "value"), text, "literal", dt)),
     )
-    held = F.transform(F.coalesce("attrs", F.array().cast("array<struct<name:string,value:string>>")), lambda a: fact(iri, term(a["name"]), a["value"], "literal", F.lit(XSD + "string")))
-    rows = els.select(F.col("doc_id").alias("graph_id"), "path", "line", "col", F.explode(F.concat(facts, held)).alias("f")).where("f is not null")
-    out = rows.select("graph_id", "f.*", none.alias("o_lang"), "path", "line", "col")
-    return out.dropDuplicates(["graph_id", "s", "p", "o", "o_kind", "o_datatype"])
+    held = F.transform(F.coalesce("attrs", F.array().cast("array<struct<ns:string,name:string,value:string>>")), lambda a: fact(iri, term(a["name"]), a["value"], "literal", F.lit(XSD + "string")))
+    place = [c for c in ("path", "line", "col") if c in els.columns]
+    if once:
+        els = els.where("not again")
+    rows = els.select(F.col("doc_id").alias("graph_id"), *place, F.explode(F.concat(facts, held)).alias("f")).where("f is not null")
+    out = rows.select("graph_id", "f.*", none.alias("o_lang"), *place)
+    return out if once else out.dropDuplicates(["graph_id", "s", "p", "o", "o_kind", "o_datatype"])
 
 
 def unprojectable(typed: DataFrame) -> tuple[DataFrame, DataFrame]:

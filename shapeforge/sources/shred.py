@@ -22,10 +22,14 @@ _CHILDREN_TYPE = "array<struct<name:string,n:int>>"
 _ROW = (
     "doc_id string, kind string, seq int, parent_seq int, depth int, ns string, local_name string, sibling_index int, "
     "path string, parent_path string, bare_path string, line int, col int, text string, n_children int, "
-    f"attrs array<struct<ns:string,name:string,value:string>>, message string, spaces array<struct<prefix:string,uri:string>>, children {_CHILDREN_TYPE}"
+    f"attrs array<struct<ns:string,name:string,value:string>>, message string, spaces array<struct<prefix:string,uri:string>>, children {_CHILDREN_TYPE}, "
+    "own_id string, up_id string, again boolean, alike boolean"
 )
 _KINDS = dict(c.split(" ") for c in _ROW.split(", "))
-_FLAT = {"int": pa.int32(), "string": pa.string()}
+_FLAT = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+#: Columns that say which facts of a document are equal, and what they are made from.
+_SAMENESS = ("own_id", "up_id", "again", "alike")
+_SAME_FROM = ("parent_seq", "local_name", "text", "n_children", "attrs")
 #: Columns of lists, by the types of their structs' fields.
 _LISTS = {"attrs": [("ns", pa.string()), ("name", pa.string()), ("value", pa.string())], "spaces": [("prefix", pa.string()), ("uri", pa.string())], "children": [("name", pa.string()), ("n", pa.int32())]}
 #: Rows handed back at once.
@@ -38,6 +42,32 @@ def _split_name(name: str) -> tuple[str | None, str]:
     return (ns or None), local.rsplit(":", 1)[-1]
 
 
+def _same(names: list, ups: list, texts: list, sizes: list, attrs: list) -> dict[str, list]:
+    """The columns of ``_SAMENESS`` for a document's elements: the ``id`` of an element and of its parent; ``again``: a leaf without
+    attributes that says what a sibling before it says; ``alike``: the document may say something twice in another way (elements
+    that share an id or have one that looks like a hash, attributes of one name and value, an attribute and a child)."""
+    ids, said, n_said, again, leaves = [], set(), 0, [False] * len(names), set()
+    for i, given in enumerate(attrs):
+        own = [v for _, name, v in given if name == "id"] if given else None
+        ids.append(min(own) if own else None)
+        for _, name, v in given:
+            if name != "id":
+                said.add((i, name, v))
+                n_said += 1
+        if ids[i]:
+            said.add(ids[i])
+            n_said += 1 + _HASHED.issuperset(ids[i])
+        if not given and not sizes[i] and ups[i] is not None:
+            leaf = (ups[i], names[i], texts[i] or "")
+            again[i] = leaf in leaves
+            leaves.add(leaf)
+    alike = len(said) < n_said or not said.isdisjoint(leaves)
+    return {"own_id": ids, "up_id": [None if u is None else ids[u] for u in ups], "again": again, "alike": [alike] * len(names)}
+
+
+_HASHED = frozenset("0123456789abcdef")
+
+
 def _parse_into(cols: dict[str, list], doc_id: str, content: bytes) -> None:
     """Adds a document's element rows to the columns asked for, or an ``error`` row alone if it is not well formed. Lines and columns
     count from 1. What nobody asked for is neither made nor kept."""
@@ -129,13 +159,17 @@ def _parse_into(cols: dict[str, list], doc_id: str, content: bytes) -> None:
         kind, message, n = "error", made["message"], 1
     else:
         kind, message, n = "element", None, len(seqs) - first
+        if any(c in cols for c in _SAMENESS):
+            for c, made in _same(*(cols[c][first:] for c in ("local_name", "parent_seq", "text", "n_children", "attrs"))).items():
+                if c in cols:
+                    cols[c] += made
     for c, value in (("doc_id", doc_id), ("kind", kind), ("message", message)):
         if c in cols:
             cols[c] += [value] * n
 
 
 def _columns(names) -> dict[str, list]:
-    return {c: [] for c in dict.fromkeys(["seq", *names])}
+    return {c: [] for c in dict.fromkeys(["seq", *names, *(_SAME_FROM if any(c in _SAMENESS for c in names) else ())])}
 
 
 def parse(doc_id: str, content: bytes, columns: tuple[str, ...] = tuple(_KINDS)) -> list[dict]:
@@ -178,7 +212,7 @@ def _parser_of(columns: tuple[str, ...]):
 #: What a tree of C-made nodes gives; lines and bindings of prefixes need the parser's own events.
 _OF_TREES = frozenset(_KINDS) - {"line", "col", "spaces"}
 #: Columns that follow from names and nesting alone.
-_OF_SHAPES = frozenset(_OF_TREES) - {"doc_id", "kind", "message", "text", "attrs"}
+_OF_SHAPES = frozenset(_OF_TREES) - {"doc_id", "kind", "message", "text", "attrs", *_SAMENESS}
 #: Element rows of the shapes that are kept from one document to the next.
 _KEPT = 100_000
 
@@ -244,10 +278,21 @@ class _Shapes:
         return {c: a.take(pa.array(numbers)) for c, a in self.arrays.items()}
 
 
+def _same_of(found: list, texts: list[str], attrs: list) -> dict[str, list]:
+    """``_same`` of a tree's elements in document order."""
+    place = {e: i for i, e in enumerate(found)}
+    ups: list[int | None] = [None] * len(found)
+    for i, e in enumerate(found):
+        for c in e:
+            ups[place[c]] = i
+    return _same([_split_name(e.tag.removeprefix("{"))[1] for e in found], ups, texts, [len(e) for e in found], attrs)
+
+
 def _tree_parser_of(columns: tuple[str, ...]):
     """``_parser_of`` for columns of ``_OF_TREES``: the tree is made in C and told apart from others by its names and its numbers of
     children. What is not well formed goes to the parser that reports it."""
     shaped = tuple(c for c in columns if c in _OF_SHAPES)
+    sameness = tuple(c for c in columns if c in _SAMENESS)
     texts, attrs = "text" in columns, "attrs" in columns
 
     def batches_of(batches):
@@ -267,7 +312,7 @@ def _tree_parser_of(columns: tuple[str, ...]):
         for batch in batches:
             errors = _columns(columns)
             ids, numbers, n = [], [], 0
-            own = {c: [] for c, wanted in (("text", texts), ("attrs", attrs)) if wanted}
+            own = {c: [] for c in (*sameness, *(c for c, wanted in (("text", texts), ("attrs", attrs)) if wanted))}
             contents = batch.column(1)
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 content = contents[i].as_py() or b""
@@ -279,10 +324,16 @@ def _tree_parser_of(columns: tuple[str, ...]):
                 ids.append(doc_id)
                 numbers.append(shapes.rows([e.tag for e in found], [len(e) for e in found]))
                 n += len(found)
+                said = [_text_of(e) for e in found] if texts or sameness else []
+                given = [[(*_split_name(k.removeprefix("{")), v) for k, v in e.items()] if e.attrib else () for e in found] if attrs or sameness else []
                 if texts:
-                    own["text"] += [_text_of(e) for e in found]
+                    own["text"] += said
                 if attrs:
-                    own["attrs"] += [[(*_split_name(k.removeprefix("{")), v) for k, v in e.items()] for e in found]
+                    own["attrs"] += given
+                if sameness:
+                    same = _same_of(found, said, given)
+                    for c in sameness:
+                        own[c] += same[c]
                 if n >= _CHUNK:
                     yield from batches_from(ids, numbers, own)
                     ids, numbers, n, own = [], [], 0, {c: [] for c in own}
@@ -304,6 +355,26 @@ def shredded(documents: DataFrame, columns: tuple[str, ...] | None = None) -> Da
     return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow((_tree_parser_of if _OF_TREES.issuperset(names) else _parser_of)(names), ", ".join(f"{c} {_KINDS[c]}" for c in names))
 
 
+def _alike_of(batches):
+    for batch in batches:
+        kept = []
+        for content in batch.column(1):
+            try:
+                found = list(ElementTree.fromstring(content.as_py() or b"").iter())
+            except (ElementTree.ParseError, ValueError):
+                cols = _columns(("alike",))
+                _parse_into(cols, "", content.as_py() or b"")
+                kept.append(bool(cols["alike"][0]))
+                continue
+            kept.append(_same_of(found, [_text_of(e) for e in found], [[(*_split_name(k.removeprefix("{")), v) for k, v in e.items()] if e.attrib else () for e in found])["alike"][0])
+        yield batch.filter(pa.array(kept, pa.bool_()))
+
+
+def alike(documents: DataFrame) -> DataFrame:
+    """``doc_id, content`` of the documents whose rows are ``alike``; no element row is made."""
+    return documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("content").cast("binary").alias("content")).mapInArrow(_alike_of, "doc_id string, content binary")
+
+
 def _errors_of(batches):
     for batch in batches:
         found = []
