@@ -1,4 +1,6 @@
-"""Node shapes follow failures only, and graphs are dealt by number."""
+"""Shape validation shuffles no triples that come dealt by graph, node shapes follow failures only."""
+
+import re
 
 from shapeforge.operators import graphs, shapes
 from shapeforge.plans import stand_ins as st
@@ -35,3 +37,31 @@ def test_graphs_are_dealt_by_number(spark, monkeypatch):
     monkeypatch.setattr(st, "TASK_ORDERS", 100)
     n = -(-st.table(spark, DATA, "orders").count() // 100)
     assert st.nested_graph(spark, DATA, by_graph=True).rdd.getNumPartitions() == n
+
+
+def _shuffles(df):
+    return re.findall(r"hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_triples_dealt_by_graph_are_not_shuffled(spark):
+    ontology, rows = st.ontology(spark), st.shapes(spark)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        triples = st.star_graph(spark, DATA, by_graph=True)
+        results = shapes.validate_shapes(triples, rows, ontology)
+        defects = shapes.classify_defects(results, triples, rows, graphs.subclass_closure(ontology))
+        verdicts = shapes.conforms(triples.where(f"o = '{st.T}Appraisal'"), results)
+        for made in (results, defects, verdicts):
+            # orders meet their customers and rows are dealt by graph; nothing else is
+            assert all(re.fullmatch(r"(o_custkey|c_custkey|graph_id)#\w+, \d+", keys) for keys in _shuffles(made)), _shuffles(made)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    want = shapes.validate_shapes(st.star_graph(spark, DATA), rows, ontology)
+    assert sorted(map(str, results.collect())) == sorted(map(str, want.collect()))
+
+
+def test_null_values_meet_nothing(spark):
+    rows = spark.createDataFrame([("g", "a", 1), ("g", None, 2), ("h", "a", 3)], "graph_id string, value string, n int")
+    marks = spark.createDataFrame([("g", "a"), ("g", "a"), ("g", None)], "graph_id string, value string")
+    assert sorted((r.n, r.met) for r in shapes._met(rows, marks, ["graph_id", "value"]).collect()) == [(1, True), (2, False), (3, False)]
